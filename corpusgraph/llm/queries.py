@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op6_multiset_fingerprints
+from .packing import op8_best_fit_packing
+from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hilbert_sharding": op1_hilbert_sharding,
         "op3_token_counts": op3_token_counts,
+        "op6_multiset_fingerprints": op6_multiset_fingerprints,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
