@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op6_multiset_fingerprints
+from .licenses import OP2_SQL, op2_license_templates
 from .packing import op8_best_fit_packing
 from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
@@ -15,6 +16,7 @@ from .token_counts import op3_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_sharding": op1_hilbert_sharding,
+        "op2_license_templates": op2_license_templates,
         "op3_token_counts": op3_token_counts,
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_templates": OP2_SQL}
