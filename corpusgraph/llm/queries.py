@@ -11,6 +11,7 @@ from .licenses import OP2_SQL, op2_license_templates
 from .packing import op8_best_fit_packing
 from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_toxicity": op9_toxicity,
     }
 
 
