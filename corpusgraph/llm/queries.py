@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op6_multiset_fingerprints
 from .licenses import OP2_SQL, op2_license_templates
 from .packing import op8_best_fit_packing
+from .quality import op4_quality_classifier
 from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hilbert_sharding": op1_hilbert_sharding,
         "op2_license_templates": op2_license_templates,
         "op3_token_counts": op3_token_counts,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
