@@ -13,6 +13,7 @@ from .quality import op4_quality_classifier
 from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
+from .url_templates import op10_url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
+        "op10_url_templates": op10_url_templates,
     }
 
 
