@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import OP5_SQL, op5_benchmark_containment
 from .fingerprints import op6_multiset_fingerprints
 from .licenses import OP2_SQL, op2_license_templates
 from .packing import op8_best_fit_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_templates": op2_license_templates,
         "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_benchmark_containment": op5_benchmark_containment,
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_templates": OP2_SQL}
+    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL}
