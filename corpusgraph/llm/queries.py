@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP5_SQL, op5_benchmark_containment
 from .fingerprints import op6_multiset_fingerprints
 from .licenses import OP2_SQL, op2_license_templates
+from .near_dedup import OP7_SQL, op7_near_duplicates
 from .packing import op8_best_fit_packing
 from .quality import op4_quality_classifier
 from .sharding import op1_hilbert_sharding
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_containment": op5_benchmark_containment,
         "op6_multiset_fingerprints": op6_multiset_fingerprints,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
         "op10_url_templates": op10_url_templates,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL}
+    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL, "op7_near_duplicates": OP7_SQL}
