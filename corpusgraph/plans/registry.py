@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .adapters import with_tables
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with its comparison SQL over the library's tables."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = with_tables(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import corpus_queries, discovery_queries, graph_queries, note_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
