@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The entities that the plain-text job resolves.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 @F.pandas_udf("string")
@@ -56,7 +56,7 @@ def html_to_text(c: str | Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, "(?s)<!--.*?-->", "\n"), "(?s)<[^>]*>", "\n")
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 

@@ -138,5 +138,7 @@ def with_tables(sql: str) -> str:
         names.append(f"{n} as ({duckdb_text(n)})")
     sql = sql.strip()
     own = re.match(r"with\s+(recursive\s+)?", sql)
+    if not names:
+        return sql
     head = "with " + ("recursive " if own and own[1] else "") + ", ".join(names)
     return f"{head}, {sql[own.end():]}" if own else f"{head} {sql}"
