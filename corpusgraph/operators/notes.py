@@ -81,7 +81,7 @@ def extract_fields(notes: DataFrame, text_col: str = "content") -> DataFrame:
     def step(acc: Column, s: Column) -> Column:
         key = F.regexp_extract(s, r"^([A-Za-z0-9_-]+):", 1)
         new = F.struct(key.alias("key"), F.trim(F.regexp_extract(s, r"^[A-Za-z0-9_-]+:\s*(.*)$", 1)).alias("raw"), F.array().cast("array<string>").alias("below"))
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["key"].alias("key"), last["raw"].alias("raw"), F.array_append(last["below"], F.trim(s)).alias("below"))))
         return F.when(key != "", F.array_append(acc, new)).when(F.size(acc) > 0, grown).otherwise(acc)
 
@@ -91,7 +91,7 @@ def extract_fields(notes: DataFrame, text_col: str = "content") -> DataFrame:
     listed = F.transform(F.filter("below", lambda x: x.startswith("- ")), lambda x: strip(F.substring(x, 3, 100_000)))
     mapped = F.map_from_entries(F.transform(F.filter("below", lambda x: x.rlike("^[^-:][^:]*:")), lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]+):", 1)).alias("key"), strip(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1)).alias("value"))))
     empty = (F.col("raw") == "") & (F.size("below") > 0)
-    is_list = empty & F.element_at("below", 1).startswith("- ")
+    is_list = empty & F.coalesce(F.try_element_at("below", F.lit(1)).startswith("- "), F.lit(False))
     kind = F.when(is_list, "array").when(empty, "object").otherwise(F.col("v.kind"))
     return own.select("path", "key", kind.alias("kind"), F.col("v.str").alias("str"), F.col("v.num").alias("num"), F.when(is_list, listed).otherwise(F.col("v.items")).alias("items"), F.when(empty & ~is_list, mapped).alias("entries"))
 

@@ -28,7 +28,7 @@ def segment_pages(docs: DataFrame, id_col: str = "source_id", text_col: str = "t
     pieces = F.slice(F.split(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), r"\n(?=\[\[page \d+\]\][ \t\r]*\n)"), 2, 1_000_000)
     rows = docs.select(F.col(id_col), F.posexplode(pieces).alias("turn", "piece"))
     page = F.regexp_extract("piece", r"^\[\[page (\d+)\]\]", 1).cast("int")
-    body = F.regexp_replace(F.regexp_replace("piece", r"^\[\[page \d+\]\][ \t\r]*\n", ""), r"\n$", "")
+    body = F.regexp_replace(F.regexp_replace("piece", r"^\[\[page \d+\]\][ \t\r]*(\n|$)", ""), r"\n$", "")
     return rows.select(id_col, page.alias("page_no"), "turn", body.alias("text")).groupBy(id_col, "page_no").agg(F.max_by("text", "turn").alias("text"))
 
 
