@@ -15,7 +15,7 @@ from .quality import op4_quality_classifier
 from .sharding import op1_hilbert_sharding
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
-from .url_templates import op10_url_templates
+from .url_templates import OP10_SQL, op10_url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op10_url_templates": OP10_SQL}

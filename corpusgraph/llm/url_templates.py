@@ -28,6 +28,7 @@ SMOOTHING = 5.0
 PURITY = 0.8
 WILD = "*"
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
+VARIABLE = r"(?s)\A(?:[0-9]+|[0-9a-fA-F-]{8,}|[^.]*[0-9]{3,}[^.]*|.{40,}?)(\.[A-Za-z0-9]{1,5})?\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +50,7 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
 def shape(path: Column) -> Column:
     """Segments of a path; those that look variable are wildcards, an extension stays."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    variable = lambda s: F.regexp_replace(s, r"(?s)\A(?:[0-9]+|[0-9a-fA-F-]{8,}|[^.]*[0-9]{3,}[^.]*|.{40,}?)(\.[A-Za-z0-9]{1,5})?\z", WILD + "$1")
+    variable = lambda s: F.regexp_replace(s, VARIABLE, WILD + "$1")
     shaped = F.transform(segments, variable)
     return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit(WILD)))).otherwise(shaped)
 
@@ -108,3 +109,47 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def _round_sql(k: int) -> str:
+    """One round of merging, as common table expressions from s{k-1} to s{k}."""
+    p = k - 1
+    return f"""
+n{k} as (select host, shape, i as lvl, segs[i] as segment, array_to_string(segs[1:i - 1], '/') as above, coalesce(segs[i + 1], '') as below, pages, blocked, allowed
+  from (select *, unnest(range(1, len(segs) + 1)) as i from s{p}) x),
+b{k} as (select host, lvl, above, segment, sum(pages) as pages, sum(blocked) as blocked, sum(allowed) as allowed, min(below) as low, max(below) as high from n{k} group by all),
+a{k} as (select host, lvl, above, count(*) as width, sum(pages) as ap, sum(blocked) as ab, sum(allowed) as aa, min(low) as al, max(high) as ah from b{k} group by all),
+c{k} as (select b{k}.*, width, ap, ab, al, ah, blocked + allowed as own, ab + aa - blocked - allowed as rest from b{k} join a{k} using (host, lvl, above)),
+d{k} as (select host, lvl, above, segment, case when (width > {MANY} and pages < {RARE} * ap) or (width > 1 and low = al and high = ah and case when own = 0 and rest = 0 then true when own = 0 or rest = 0 then false
+    else abs(blocked / own - (ab - blocked) / rest) <= {Z} * sqrt((ab / (own + rest)) * (1 - ab / (own + rest)) * (1 / own + 1 / rest)) end) then '{WILD}' else segment end as merged from c{k}),
+s{k} as (select host, shape, list(merged order by lvl) as segs, any_value(pages) as pages, any_value(blocked) as blocked, any_value(allowed) as allowed from n{k} join d{k} using (host, lvl, above, segment) group by host, shape
+  union all select * from s{p} where len(segs) = 0)"""
+
+
+def _sql() -> str:
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"when (host = '{h}' or suffix(host, '.{h}')) and starts_with(path, '{p}') then" for _, h, p in ordered]
+    rule = "case " + " ".join(f"{f} '{r[1] + r[2]}'" for f, r in zip(fits, ordered)) + " end"
+    verdict = "case " + " ".join(f"{f} '{r[0]}'" for f, r in zip(fits, ordered)) + " end"
+    return f"""
+with cut as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) as path from pages
+), named as (
+  select *, {rule} as rule, {verdict} as said, list_transform(list_filter(split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '{VARIABLE}', '{WILD}\\1')) as all_segs from cut
+), parted as (
+  select * exclude (all_segs), case when len(all_segs) > {DEPTH} then list_append(all_segs[1:{DEPTH}], '{WILD}') else all_segs end as segs, array_to_string(case when len(all_segs) > {DEPTH} then list_append(all_segs[1:{DEPTH}], '{WILD}') else all_segs end, '/') as shape from named
+), s0 as (
+  select host, shape, segs, count(*) as pages, sum(case when said = 'block' then 1 else 0 end) as blocked, sum(case when said = 'allow' then 1 else 0 end) as allowed from parted group by all
+), {_round_sql(1)}, {_round_sql(2)}, templates as (
+  select *, '/' || array_to_string(segs, '/') as template from s2
+), total as (
+  select coalesce(sum(blocked) / nullif(sum(blocked) + sum(allowed), 0), 0) as prior from templates
+), pure as (
+  select host, template, (sum(blocked) + {SMOOTHING} * any_value(prior)) / (sum(blocked) + sum(allowed) + {SMOOTHING}) as purity, sum(blocked) + sum(allowed) > 0 as seen from templates, total group by host, template
+)
+select page_id, host, path, rule, coalesce(said, case when seen and purity >= {PURITY} then 'block' else 'allow' end) as verdict, template, purity
+from parted join templates using (host, shape) join pure using (host, template)
+"""
+
+
+OP10_SQL = _sql()
