@@ -131,15 +131,16 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", use=None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Lexicon:
-    """Terms from one half of the sample, the coefficients of the score from the other."""
+    """Terms from the sample. The coefficients come from one half of it, scored with terms that only the other half taught."""
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, fit_rows, id_col, text_col)
     half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2))
-    weights = {t: START_WEIGHT for t in INSULTS} | learn_terms(sample.where(half == 0))
-    lexicon = Lexicon(weights, (-4.0, 1.0, 1.0))
+    start = {t: START_WEIGHT for t in INSULTS}
+    lexicon = Lexicon(start | learn_terms(sample.where(half == 0)), (-4.0, 1.0, 1.0))
     rows = scored_sums(sample.where(half == 1), lexicon, ["label"], "text").select("label", "total", "words").toPandas()  # three numbers for each of fit_rows
     if rows["label"].nunique() == 2:
         x = features(rows["total"].to_numpy(float), rows["words"].to_numpy(float))
         lexicon.coefficients = tuple(map(float, logistic(x, rows["label"].to_numpy(float))))
+    lexicon.weights = start | learn_terms(sample)
     return lexicon
 
 
