@@ -14,12 +14,14 @@ order among pieces of a length is that of id and piece. Columns beside the id an
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,33 +33,89 @@ from .token_counts import SPACE
 CAPACITY = 4096
 END_TOKEN = 1
 KEPT_CHUNKS = 250_000
+GROUP_BYTES = 8 << 20  # encoded at a time
 CHUNK = re.compile(f"[^{SPACE}]+")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
 
 class Encoder:
-    """Token ids as little-endian bytes. White space parts chunks that do not influence each other; recent ones are kept."""
+    """Token ids as little-endian bytes. White space parts chunks that do not influence each other; recent ones are kept.
+
+    Most chunks are Latin letters with signs behind them. Letters and signs are pieces of their own, alike in any case;
+    new pieces are encoded many at a time, and the tokens that end a piece part them again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """A worker outlives its task; what it has kept must not take memory from the next stages."""
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        groups = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            if len(ends) == len(group):
+                self.pieces.update(zip(group, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                self.pieces.update(zip(group, self.alone(group)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.pieces) > KEPT_CHUNKS:
+            self.pieces = {"": b""}
         if len(self.young) > KEPT_CHUNKS:
-            self.young, self.old = {}, self.young
+            self.young, self.old = {"": b""}, self.young
         young, old = self.young, self.old
-        found = [CHUNK.findall(x) for x in texts]
-        new = [c for c in set().union(*found) if c not in young]
-        young.update((c, old[c]) for c in new if c in old)
-        new = [c for c in new if c not in young]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                young[chunk] = np.array(got.ids, "<u4").tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        plain, odd = [], []
+        for c in chunks:
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                elif m := PLAIN.fullmatch(c):
+                    plain.append((c, m[1].lower(), m[2]))
+                else:
+                    odd.append(c)
+        self.learn([*{p for _, *two in plain for p in two} - self.pieces.keys()])
+        known = self.pieces
+        young.update((c, known[letters] + known[signs]) for c, letters, signs in plain)
+        young.update(zip(odd, self.alone(odd)))
+        return [young[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and their bounds. Each distinct chunk is looked up once."""
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # signs that only some libraries take for white space
+            parts = [CHUNK.findall(x) for x in texts.to_pylist()]
+            chunks = pa.array(list(itertools.chain.from_iterable(parts)), pa.string())
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+            bounds = np.asarray(lists.offsets).astype(np.int64)
+            chunks = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+            bounds = bounds - bounds[0]
+        coded = chunks.dictionary_encode()
+        known = self.lookup(coded.dictionary.to_pylist())
+        index = np.asarray(coded.indices)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        each = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], each) + np.arange(ends[-1])
+        return flat[at], ends[bounds]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -81,20 +139,30 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_token], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer)
+        try:
+            yield from cut(batches, own.encode)
+        finally:
+            own.forget()
+
+    def cut(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1))), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // GROUP_BYTES)) + 1).tolist(), batch.num_rows]
+            for first, last in itertools.pairwise(cuts):
+                part = batch.slice(first, last - first)
                 rows, pieces, lengths, sums, parts = [], [], [], [], []
-                for row, ids in enumerate(encode(part.column(1).to_pylist())):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
+                ids, bounds = encode(part.column(1))
+                for row, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
+                    whole = ids[a:b].tobytes() + end
+                    for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        ids_of = whole[at : at + 4 * capacity]
                         rows.append(row)
                         pieces.append(piece)
-                        lengths.append(len(cut) // 4)
-                        sums.append(zlib.crc32(cut))
-                        parts.append(cut)
+                        lengths.append(len(ids_of) // 4)
+                        sums.append(zlib.crc32(ids_of))
+                        if with_ids:
+                            parts.append(ids_of)
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(np.array(pieces, np.int64) * capacity), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(parts, pa.binary())] if with_ids else []), names=schema.names)
 

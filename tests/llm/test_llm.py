@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -75,6 +76,17 @@ def test_packing_is_gapless_and_exact(spark, odd, none):
     assert sum(len(x) // 4 for x in whole.ids) == rows.length.sum()
 
 
+def test_encoder_that_keeps_little_stays_exact(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_CHUNKS", 5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(4)
+    words = ["The!!", "the", "Éa's", "x<|endoftext|>y", "\x1c", "1.2", "ab,", "AB", "cd.", "ef", "gh", "ij;", "漢字"]
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(4)]
+        ids, bounds = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_runs_cover_all_ranks_without_overlap():
     rng = random.Random(5)
     for _ in range(30):
