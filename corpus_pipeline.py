@@ -9,34 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusgraph.llm import decontamination, near_dedup, packing, quality, toxicity
-from corpusgraph.llm.common import materialize, read_table
+from corpusgraph.llm.common import bound_batches, materialize, read_table
 from corpusgraph.llm.sampling import id_remainder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon rejects go."""
+    bound_batches(spark)
     lexicon = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), use=id_remainder("doc_id", 5) != 0)
     return toxicity.drop_toxic(docs, lexicon)
 
 
 def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    bound_batches(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), use=id_remainder("doc_id", 3) != 1)
     return quality.drop_poor(docs, model)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document with the least id stays."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item (0.8 of its shingles) go."""
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 4096."""
+    bound_batches(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
