@@ -32,8 +32,8 @@ from .token_counts import SPACE
 
 CAPACITY = 4096
 END_TOKEN = 1
-KEPT_CHUNKS = 250_000
-GROUP_BYTES = 8 << 20  # encoded at a time
+KEPT_CHUNKS = 150_000
+GROUP_BYTES = 2 << 20  # encoded at a time
 CHUNK = re.compile(f"[^{SPACE}]+")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
 
@@ -139,6 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_token], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of what the worker did before
         own = encoder(tokenizer)
         try:
             yield from cut(batches, own.encode)
