@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans.schema import EDGE_CONFIDENCE, ENTITY_TYPES, LEGACY_KEYS, edge_types, enum_defaults, field_defs
+from ..sources.storage import materialize
 from .graph import _needs_reverse, _typed, glob_regex
 
 FINDING = ["check_id", "severity", "fixable", "file", "line", "message"]
@@ -185,6 +186,36 @@ def check_dangling_edges(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return finding(ends.join(notes.select("slug").distinct(), "slug", "left_anti"), "L17", "src", F.concat_ws(" ", F.lit("dangling"), "slug", "type"))
 
 
-def run_checks(findings: list[DataFrame]) -> DataFrame:
-    """All findings together."""
-    return reduce(DataFrame.unionByName, findings)
+#: Each check as a function of the corpus, a dict of tables by name.
+RUNS = {
+    "L01": lambda c: check_required(c["notes"], c["note_fields"]), "L02": lambda c: check_types(c["notes"], c["note_fields"]), "L03": lambda c: check_slug_style(c["notes"]),
+    "L04": lambda c: check_orphans(c["notes"], c["links"]), "L05": lambda c: check_broken_links(c["links"], c["notes"]), "L06": lambda c: check_missing_reverse(c["edges"]),
+    "L07": lambda c: check_symmetric_duplicates(c["edges"]), "L08": lambda c: check_edge_confidence(c["edges"], c.get("needing")), "L09": lambda c: check_catalog(c["notes"], c["catalog_refs"]),
+    "L10": lambda c: check_alias_conflicts(c["foundations"]), "L11": lambda c: check_confidence(c["notes"], c["note_fields"]), "L12": lambda c: check_raw_paths(c["note_fields"], c["files"]),
+    "L13": lambda c: check_id_coverage(c["sources"]), "L14": lambda c: check_id_validity(c["sources"]), "L16": lambda c: check_id_mismatch(c["sources"]), "L17": lambda c: check_dangling_edges(c["edges"], c["notes"]),
+}
+
+
+class _Written(dict):
+    """The tables of a corpus, each written to shared storage when it is first asked for."""
+
+    def __init__(self, corpus: dict[str, DataFrame]):
+        super().__init__()
+        self.corpus = corpus
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = materialize(self.corpus[name])
+        return self[name]
+
+    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
+        return self[name] if name in self.corpus else default
+
+
+def run_checks(corpus: dict[str, DataFrame], checks: list[str] | None = None) -> DataFrame:
+    """The findings of the named checks, or of all.
+
+    corpus: notes, note_fields, links (resolved), edges, catalog_refs, foundations, files, sources (path, urls, external_ids),
+    and needing if some edge types need confidence. Only the tables of the named checks are read; each is written once.
+    """
+    tables = _Written(corpus)
+    return reduce(DataFrame.unionByName, [RUNS[c](tables) for c in (CHECKS if checks is None else checks)])

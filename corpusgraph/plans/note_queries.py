@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import checks, notes, repair, report, verify
 from ..sources import files
+from . import graph_queries  # noqa: F401, its SQL is used here
 from .adapters import table
-from .registry import query
+from .registry import query, sql_of
 from .schema import ENUM_DEFAULTS, field_rows, sql_values
 
 DEFS = "defs as (select * from " + sql_values([(t, k, f, r, "," + ",".join(a) + "," if a else None) for t, k, f, r, a in field_rows()]) + " v(entity_type, key, field_type, required, allowed))"
@@ -124,11 +125,31 @@ def l16(spark, d):
     return checks.check_id_mismatch(sources(spark, d)).select("file", "message")
 
 
-@query("l20_run_checks")
+def corpus(spark, d):
+    """All tables that the checks read."""
+    n = table(spark, d, "notes")
+    listed = n.where("entity_type = 'people' and length(basename) <= 3").select(F.col("basename").alias("target"))
+    return {
+        "notes": n, "note_fields": fields(spark, d), "links": notes.resolve_links(links(spark, d), n), "edges": table(spark, d, "edges"), "catalog_refs": listed,
+        "foundations": table(spark, d, "foundations"), "files": raw_files(spark, d), "sources": sources(spark, d),
+    }
+
+
+REQUIRED = f"with {DEFS}, {DEFAULTS} select s.path, field_type in ('array', 'object', 'iso-date') or (field_type = 'string' and d.key in ('id', 'type', 'title')) or value is not null as fixable from notes s join defs d on d.entity_type = s.entity_type and required left join dv on dv.entity_type = s.entity_type and dv.key = d.key where not exists (select 1 from note_fields f where f.path = s.path and f.key = d.key)"
+#: check, severity, fixable, and the SQL whose rows are its findings.
+FOUND = [
+    ("L01", "'error'", "fixable", REQUIRED), ("L02", "severity", "fixable", sql_of("l02_types")), ("L03", "'error'", "true", "select path from notes where not regexp_matches(basename, '^[a-z0-9]+(-[a-z0-9]+)*$')"),
+    ("L04", "'warning'", "false", sql_of("l04_orphans")), ("L05", "'error'", "fixable", sql_of("l05_broken_links")), ("L06", "'error'", "true", sql_of("l06_missing_reverse")), ("L07", "'error'", "true", sql_of("l07_symmetric_duplicates")),
+    ("L08", "'error'", "false", "select seq from edges where false"), ("L09", "'warning'", "true", sql_of("l09_catalog")), ("L10", "'error'", "false", sql_of("l10_alias_conflicts")),
+    ("L11", "'warning'", "false", "select path from notes where entity_type in ('sources', 'concepts') and path not in (select path from note_fields where key = 'confidence')"), ("L12", "'warning'", "false", sql_of("l12_raw_paths")),
+    ("L13", "'warning'", "false", sql_of("l13_id_coverage")), ("L14", "'error'", "false", sql_of("l14_id_validity")), ("L16", "'warning'", "false", sql_of("l16_id_mismatch")), ("L17", "'error'", "false", sql_of("l17_dangling_edges")),
+]
+COUNTS = " union all ".join(f"select '{c}' as check_id, count(*) as n, count(*) filter (where {s} = 'error') as errors, count(*) filter (where {s} = 'warning') as warnings, count(*) filter (where {f}) as fixable from ({q}) {c.lower()}" for c, s, f, q in FOUND)
+
+
+@query("l20_run_checks", COUNTS)
 def l20(spark, d):
-    n, f = src_notes(spark, d), fields(spark, d)
-    found = [checks.check_required(n, f), checks.check_types(n, f), checks.check_confidence(n, f), checks.check_slug_style(n), checks.check_raw_paths(f, raw_files(spark, d))]
-    return report.findings_summary(checks.run_checks(found))
+    return report.findings_summary(checks.run_checks(corpus(spark, d)), checks.CHECKS)
 
 
 @query("p01_extract_fields", """with t as (select path, cast(substr(path, 10) as bigint) as o, o_custkey as c, o_orderpriority as pr from note_texts join orders on o_orderkey = cast(substr(path, 10) as bigint))

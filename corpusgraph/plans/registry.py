@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The comparison SQL of a query registered before."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from . import corpus_queries, discovery_queries, graph_queries, note_queries  # noqa: F401
 
