@@ -1,14 +1,14 @@
 """URL filter: rules, and for what no rule judges, a tree of path templates for each host.
 
 Paths are cut into segments. Segments that look variable (digits, long hexadecimal, very long) become wildcards at once,
-so a host's pages shrink to few shapes before anything is shuffled by host. Then, in two rounds, a node's branches are
-compared: a branch that is one of many and rare, or whose labels and children do not differ from its siblings', merges
-into their wildcard. A template's purity is the smoothed share of its labelled pages that are blocked; a template with
+so a host's pages shrink to few shapes before anything is shuffled by host. Then, in rounds until nothing changes, a node's
+branches are compared: a branch that is one of many and rare, or whose labels and set of children do not differ from its
+siblings', merges into their wildcard. A template's purity is the smoothed share of its labelled pages that are blocked; a template with
 labels and a purity of at least PURITY is rejected. Pages under a rule are the labels, unless others are given.
 
 Only DataFrame functions are used. A null url, or one without `://`, has an empty host and path. Equal rows are judged
-alike and one by one. Empty tables give empty results. Without labels nothing is rejected beyond the rules. Segments
-beyond DEPTH count as one wildcard.
+alike and one by one. Empty tables give empty results. Without labels nothing is rejected beyond the rules. All segments
+of a path count.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .common import materialize, read_table
 # The rules of the contract (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-DEPTH = 8
+DEPTH = 8  # of the comparison SQL, which has two rounds and compares the least and greatest child
 MANY, RARE = 20, 0.05  # branches of a node from which on one below this share of its pages is variable
 Z = 1.96  # label shares of branches that differ by more standard errors are different
 SMOOTHING = 5.0
@@ -51,38 +51,46 @@ def shape(path: Column) -> Column:
     """Segments of a path; those that look variable are wildcards, an extension stays."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     variable = lambda s: F.regexp_replace(s, VARIABLE, WILD + "$1")
-    shaped = F.transform(segments, variable)
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit(WILD)))).otherwise(shaped)
+    return F.transform(segments, variable)
 
 
 def generalise(shapes: DataFrame) -> DataFrame:
     """One round of merging branches, over rows host, shape, segments, pages, blocked, allowed."""
     nodes = shapes.select("host", "shape", F.posexplode_outer("segments").alias("at", "segment"), "segments", "pages", "blocked", "allowed")
     nodes = nodes.withColumn("above", F.when(F.col("at").isNull(), F.lit("")).otherwise(F.array_join(F.expr("slice(segments, 1, coalesce(at, 0))"), "/")))
-    nodes = nodes.withColumn("below", F.coalesce(F.expr("try_element_at(segments, at + 2)"), F.lit("")))
-    branches = nodes.where(F.col("segment").isNotNull()).groupBy("host", "at", "above", "segment").agg(*(F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")), F.min("below").alias("low"), F.max("below").alias("high"))
-    branches = materialize(branches)
-    around = branches.groupBy("host", "at", "above").agg(F.count("*").alias("width"), *(F.sum(c).alias("all_" + c) for c in ("pages", "blocked", "allowed")), F.min("low").alias("all_low"), F.max("high").alias("all_high"))
+    nodes = nodes.withColumn("below", F.coalesce(F.expr("try_element_at(segments, at + 2)"), F.lit(""))).drop("segments")
+    sums = [F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")]
+    children = materialize(nodes.where(F.col("segment").isNotNull()).groupBy("host", "at", "above", "segment", "below").agg(*sums))
+    branches = children.groupBy("host", "at", "above", "segment").agg(*sums, F.count("*").alias("kinds"))
+    around = branches.groupBy("host", "at", "above").agg(F.count("*").alias("width"), *(F.sum(c).alias("all_" + c) for c in ("pages", "blocked", "allowed")))
+    kinds = children.select("host", "at", "above", "below").distinct().groupBy("host", "at", "above").agg(F.count("*").alias("all_kinds"))
+    around = around.join(kinds, ["host", "at", "above"])
     own, rest = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed") - F.col("blocked") - F.col("allowed")
     share = F.col("all_blocked") / (own + rest)
     gap = F.abs(F.col("blocked") / own - (F.col("all_blocked") - F.col("blocked")) / rest)
     alike = F.when((own == 0) & (rest == 0), F.lit(True)).when((own == 0) | (rest == 0), F.lit(False)).otherwise(gap <= Z * F.sqrt(share * (1 - share) * (1 / own + 1 / rest)))
-    same_below = (F.col("low") == F.col("all_low")) & (F.col("high") == F.col("all_high"))
+    same_below = F.col("kinds") == F.col("all_kinds")  # a branch's children are among all: as many are the same
     variable = (F.col("width") > MANY) & (F.col("pages") < RARE * F.col("all_pages"))
     merged = F.when(variable | ((F.col("width") > 1) & alike & same_below), F.lit(WILD)).otherwise(F.col("segment"))
     decided = branches.join(around, ["host", "at", "above"]).select("host", "at", "above", "segment", merged.alias("merged"))
     again = nodes.join(decided, ["host", "at", "above", "segment"], "left")
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "merged")))), lambda x: x["merged"])  # DEPTH + 1 at most
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "merged")))), lambda x: x["merged"])  # of one path
     return materialize(again.groupBy("host", "shape").agg(parts.alias("segments"), *(F.first(c).alias(c) for c in ("pages", "blocked", "allowed"))))
 
 
-def template_verdicts(pages: DataFrame, rounds: int = 2) -> DataFrame:
+def _wildcards(shapes: DataFrame) -> int:
+    return shapes.agg(F.sum(F.size(F.filter("segments", lambda s: s == WILD)))).first()[0] or 0
+
+
+def template_verdicts(pages: DataFrame) -> DataFrame:
     """host, shape, template, purity, rejected; pages has host, shape (joined segments), segments and label (block, allow, null)."""
     count = lambda v: F.sum(F.when(F.col("label") == v, 1).otherwise(0)).cast("long")
     shapes = pages.groupBy("host", "shape", "segments").agg(F.count("*").alias("pages"), count("block").alias("blocked"), count("allow").alias("allowed"))
     shapes = materialize(shapes)
-    for _ in range(rounds):
+    wild, before = _wildcards(shapes), -1
+    while wild != before:  # a round only turns segments into wildcards, so this ends
         shapes = generalise(shapes)
+        wild, before = _wildcards(shapes), wild
     named = shapes.withColumn("template", F.concat(F.lit("/"), F.array_join("segments", "/")))
     total = named.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
     labelled = (total["b"] or 0) + (total["a"] or 0)
