@@ -47,7 +47,8 @@ def slug(c: str | Column, rule: str) -> Column:
 def assign_slugs(df: DataFrame, title_col: str, rule: str) -> DataFrame:
     """df with slug and collisions, the number of rows with that slug. Counted by key, then joined: a common title does not fill a window."""
     slugged = df.withColumn("slug", slug(title_col, rule))
-    return slugged.join(slugged.groupBy("slug").agg(F.count("*").alias("collisions")), "slug")
+    counts = slugged.groupBy(F.col("slug").alias("_slug")).agg(F.count("*").alias("collisions"))
+    return slugged.join(counts, F.col("slug").eqNullSafe(F.col("_slug"))).drop("_slug")  # rows without a title stay
 
 
 def html_to_text(c: str | Column) -> Column:

@@ -124,6 +124,11 @@ def b05(spark, d):
     return reading.topic_candidates(table(spark, d, "edges"), seeds)
 
 
+@query("b05_topic_candidates_all_people", "with s as (select slug from notes where entity_type = 'people'), b as (select src as slug, dst as nb from edges union select dst, src from edges), n as (select split(nb, '/')[1] as kind, nb, count(*) as links from b where slug in (select slug from s) and nb not in (select slug from s) and (nb like 'sources/%' or nb like 'concepts/%') group by nb) select kind, nb as neighbor, links from (select *, row_number() over (partition by kind order by links desc, nb) as rn from n) x where rn <= 10")
+def b05_all(spark, d):
+    return reading.topic_candidates(table(spark, d, "edges"), table(spark, d, "notes").where("entity_type = 'people'").select("slug"))
+
+
 @query("b06_missing_appearances", f"with {EDGES} select src as file, dst as character from ce f where type = 'features' and not exists (select 1 from ce r where r.type = 'appears_in' and r.src = f.dst and r.dst = f.src)")
 def b06(spark, d):
     own = chapter_edges(spark, d).withColumn("seq", F.lit(0)).withColumn("confidence", F.lit(None).cast("string"))

@@ -55,6 +55,11 @@ def f02(spark, d):
     return graph.edges_of(edges(spark, d), notes(spark, d).where("entity_type = 'people' and length(basename) < 4"))
 
 
+@query("f02_edges_of_all_people", "with s as (select slug from notes where entity_type = 'people') select seq, src, type, dst, confidence, 'out' as direction from edges where src in (select slug from s) union all select seq, src, type, dst, confidence, 'in' from edges where dst in (select slug from s)")
+def f02_all(spark, d):
+    return graph.edges_of(edges(spark, d), notes(spark, d).where("entity_type = 'people'"))
+
+
 @query("f03_citations_of", "with c as (select src, dst from edges where type = 'cites'), s as (select slug from notes where entity_type = 'sources') select src as slug, 'cites' as direction, dst as other from c where src in (select slug from s) union all select dst, 'cited_by', src from c where dst in (select slug from s)")
 def f03(spark, d):
     return graph.citations_of(edges(spark, d).where("type = 'cites'"), notes(spark, d).where("entity_type = 'sources'"))

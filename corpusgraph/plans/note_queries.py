@@ -298,6 +298,12 @@ def p07(spark, d):
     return text.assign_slugs(docs, "title", "note").select("doc_id", "slug", "collisions")
 
 
+@query("p07_assign_slugs_whole_texts", "with s as (select doc_id, regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g') as slug from documents) select doc_id, md5(slug) as digest, count(*) over (partition by slug) as collisions from s")
+def p07_whole(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return text.assign_slugs(docs, "text", "note").select("doc_id", F.md5("slug").alias("digest"), "collisions")
+
+
 @query("u01_fold_text", "select doc_id, md5(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(replace(replace(translate(text, '‘’–—', '''''--'), 'đ', 'd'), 'Đ', 'd'))), '-', ' '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))) as digest from documents")
 def u01(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(text.fold_text("text")).alias("digest"))
