@@ -9,13 +9,18 @@ from .checks import check_missing_reverse
 from .graph import neighbors
 
 
-def recap_scope(chapters: DataFrame, edges: DataFrame, cursors: DataFrame) -> DataFrame:
-    """book, kind (chapter, character, error), item: what lies before each book's cursor; a chapter without number is an error row."""
+def recap_scope(chapters: DataFrame, edges: DataFrame, cursors: DataFrame, beats: DataFrame | None = None) -> DataFrame:
+    """book, kind (chapter, character, beat, error), item: what lies before each book's cursor; a chapter or beat without number
+    is an error row. beats, the plot notes: book, up_to_chapter, beat."""
     known = chapters.join(F.broadcast(cursors.groupBy("book").agg(F.min("cursor").alias("cursor"))), "book")  # one row a book
     read = known.where("number < cursor").select("book", "chapter").distinct()
     broken = known.where("number is null").select("book", F.lit("error").alias("kind"), F.col("chapter").alias("item"))
     who = read.join(edges.where("type = 'features'").select(F.col("src").alias("chapter"), F.col("dst").alias("item")), "chapter").select("book", F.lit("character").alias("kind"), "item").distinct()
-    return read.select("book", F.lit("chapter").alias("kind"), F.col("chapter").alias("item")).union(who).union(broken)
+    scope = read.select("book", F.lit("chapter").alias("kind"), F.col("chapter").alias("item")).union(who).union(broken)
+    if beats is None:
+        return scope
+    told = beats.join(F.broadcast(cursors.groupBy("book").agg(F.min("cursor").alias("cursor"))), "book").where("up_to_chapter is null or up_to_chapter < cursor")
+    return scope.union(told.select("book", F.when(F.col("up_to_chapter").isNull(), "error").otherwise("beat"), "beat").distinct())
 
 
 def promote_themes(edges: DataFrame, least: int = 2) -> DataFrame:

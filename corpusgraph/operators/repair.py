@@ -10,8 +10,14 @@ from ..plans.schema import enum_defaults, field_defs
 from .checks import KEBAB, _present, value_is_valid
 from .notes import LINK, note_lines
 
-# Which edges fill which array field: (entity type, key, edge type, direction).
-ARRAY_EDGES = (("concepts", "key_sources", "used_in", "out"), ("concepts", "related_concepts", "related_to", "both"), ("people", "key_sources", "authored", "out"), ("topics", "key_sources", "includes_source", "out"))
+# Which edges fill which array field: (entity type, key, edge type, direction); and of which kind of note the body's links may fill it.
+ARRAY_EDGES = (
+    *(("concepts", "key_sources", t, "out") for t in ("introduced_in", "used_in", "extended_in", "critiqued_in")),
+    *(("concepts", "key_sources", t, "in") for t in ("introduces_concept", "uses_concept", "extends_concept", "critiques_concept")),
+    ("concepts", "related_concepts", "related_to", "both"), ("people", "key_sources", "authored", "out"), ("people", "key_sources", "authored_by", "in"),
+    ("topics", "key_sources", "includes_source", "out"), ("topics", "key_sources", "included_in_topic", "in"),
+)
+ARRAY_LINKS = (("key_sources", "sources"), ("related_sources", "sources"), ("related_concepts", "concepts"))
 
 
 def fill_required(notes: DataFrame, note_fields: DataFrame, identity: DataFrame) -> DataFrame:
@@ -26,17 +32,32 @@ def fill_required(notes: DataFrame, note_fields: DataFrame, identity: DataFrame)
     return missing.join(identity, "path", "left").select("path", "key", value.alias("new_value")).where("new_value is not null")
 
 
-def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, key, items: arrays for array fields that hold something else; a scalar is wrapped, else the edges fill it, else it is empty."""
+def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """path, key, items: arrays for array fields that hold something else. A scalar is wrapped. Nulls, blanks, TODO and empty
+    objects are filled from the edges, else from the body's links (src_path, resolved, in_fence; not for reflections), else they
+    are empty. notes are all notes: ends that are none of them, and the note itself, do not count."""
     spark = notes.sparkSession
     defs = F.broadcast(field_defs(spark).where("field_type = 'array'").select("entity_type", "key"))
-    bad = note_fields.where("kind not in ('array', 'object')").join(notes.select("path", "entity_type"), "path").join(defs, ["entity_type", "key"])
+    hollow = (F.col("kind") == "object") & (F.coalesce(F.size("entries"), F.lit(0)) <= 0) if "entries" in note_fields.columns else F.lit(False)
+    bad = note_fields.where(~F.col("kind").isin("array", "object") | hollow).join(notes.select("path", "slug", "entity_type"), "path").join(defs, ["entity_type", "key"])
+    blank = F.col("kind").isin("null", "object") | ((F.col("kind") == "string") & F.trim(F.coalesce("str", F.lit(""))).isin("", "TODO"))
+    open_ = bad.where(blank).select("path", "slug", "entity_type", "key")
+    known = notes.select(F.col("slug").alias("other")).distinct()
     rules = F.broadcast(spark.createDataFrame(list(ARRAY_EDGES), "entity_type string, key string, type string, direction string"))
-    ends = edges.select("type", F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("out").alias("way")).union(edges.select("type", "dst", "src", F.lit("in")))
-    filled = bad.where("kind = 'null'").select("path", "entity_type", "key").join(rules, ["entity_type", "key"]).join(ends, ["path", "type"]).where("direction = 'both' or direction = way")
-    filled = filled.groupBy("path", "key").agg(F.sort_array(F.collect_set("other")).alias("graph"))
-    scalar = F.when(F.col("kind") == "string", F.array("str")).when(F.col("kind") == "number", F.array(F.col("num").cast("string")))
-    return bad.join(filled, ["path", "key"], "left").select("path", "key", F.coalesce(scalar, "graph", F.array().cast("array<string>")).alias("items"))
+    ends = edges.select("type", F.col("src").alias("slug"), F.col("dst").alias("other"), F.lit("out").alias("way")).union(edges.select("type", "dst", "src", F.lit("in")))
+    near = open_.join(rules, ["entity_type", "key"]).join(ends, ["slug", "type"]).where("(direction = 'both' or direction = way) and other <> slug")
+    filled = near.join(known, "other", "left_semi").groupBy("path", "key").agg(F.sort_array(F.collect_set("other")).alias("graph"))
+    bad = bad.join(filled, ["path", "key"], "left")
+    body = F.lit(None).cast("array<string>")
+    if links is not None:
+        kinds = F.broadcast(spark.createDataFrame(list(ARRAY_LINKS), "key string, wanted string"))
+        own = links.where(~F.col("in_fence") & F.col("resolved").isNotNull()).select(F.col("src_path").alias("path"), F.col("resolved").alias("other"))
+        linked = open_.where("entity_type <> 'reflections'").join(kinds, "key").join(own, "path").where("other <> slug and other like wanted || '/%'").join(known, "other", "left_semi")
+        bad = bad.join(linked.groupBy("path", "key").agg(F.sort_array(F.collect_set("other")).alias("body")), ["path", "key"], "left")
+        body = F.col("body")
+    number = F.when(F.col("num") == F.floor("num"), F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))
+    scalar = F.when(~blank, F.when(F.col("kind") == "number", F.array(number)).otherwise(F.array("str")))
+    return bad.select("path", "key", F.coalesce(scalar, "graph", body, F.array().cast("array<string>")).alias("items"))
 
 
 def drop_legacy_fields(note_fields: DataFrame, legacy_findings: DataFrame) -> DataFrame:
@@ -70,6 +91,17 @@ def rename_slugs(notes: DataFrame) -> DataFrame:
     return renamed.join(taken, "new_path").select("path", "new_path", (F.col("n") > 1).alias("collides"))
 
 
+def renamed_links(notes: DataFrame, renames: DataFrame, links: DataFrame) -> DataFrame:
+    """path, target, replacement for rewrite_links: bare links (src_path, raw_target) of other notes to a renamed note's old basename.
+
+    notes: path, basename before the renames. Links to a basename of which a rename collides stay.
+    """
+    moved = renames.join(notes.select("path", "basename"), "path").groupBy(F.col("basename").alias("target")).agg(F.min(F.substring_index("new_path", "/", -1)).alias("replacement"), F.max("collides").alias("stuck")).where("not stuck")
+    bare = links.select(F.col("src_path").alias("path"), F.col("raw_target").alias("target")).distinct()
+    own = notes.select("path", F.col("basename").alias("target"))
+    return bare.join(moved, "target").join(own, ["path", "target"], "left_anti").select("path", "target", "replacement")
+
+
 def apply_field_updates(notes: DataFrame, note_fields: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fields after the updates, rejected updates). updates: path, key, kind, str, num, items; kind null clears an optional key."""
     defs = F.broadcast(field_defs(notes.sparkSession))

@@ -238,7 +238,8 @@ def r01(spark, d):
 
 @query("r02_rebuild_arrays", "select path, key, str as items from note_fields where key = 'authors' and kind = 'string'")
 def r02(spark, d):
-    return repair.rebuild_arrays(src_notes(spark, d), fields(spark, d), table(spark, d, "edges")).select("path", "key", F.array_join("items", ",").alias("items"))
+    n = table(spark, d, "notes")
+    return repair.rebuild_arrays(n, fields(spark, d), table(spark, d, "edges"), notes.resolve_links(links(spark, d), n)).select("path", "key", F.array_join("items", ",").alias("items"))
 
 
 @query("r03_drop_legacy_fields", f"with {SRC} select s.path, s.key from note_fields s join src on src.path = s.path where s.key = 'slug' and s.str = s.path")
