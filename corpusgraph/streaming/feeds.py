@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.checks import check_dangling_edges, check_missing_reverse
-from ..operators.discovery import cap_new, dedup_keys
+from ..operators.discovery import cap_new, dedup_keys, run_watchlist
+from ..operators.graph import first_per_key
+from ..sources.storage import materialize
 
 ENTRY_SCHEMA = "feed_id string, id string, guid string, title string, link string, summary string, updated timestamp"
 DAYS, MOST = 90, 5000
@@ -28,8 +31,13 @@ def stream_feed_entries(spark: SparkSession, path: str) -> DataFrame:
     return with_guid(spark.readStream.schema(ENTRY_SCHEMA).json(path))
 
 
+def stream_rejected(entries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The reject output of both forms of new entries: the rows without a time, as they came."""
+    return entries.where("updated is null").writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
+
+
 def stream_new_entries(entries: DataFrame, days: int = DAYS) -> DataFrame:
-    """Each key once for each feed; keys are forgotten after so many days. Entries without a time never pass the watermark: route them off first."""
+    """Each key once for each feed; keys are forgotten after so many days. Entries without a time never pass the watermark: stream_rejected writes them."""
     return entries.where("updated is not null").withWatermark("updated", f"{days} days").dropDuplicatesWithinWatermark(["feed_id", "entry_key"])
 
 
@@ -52,7 +60,7 @@ def stream_new_entries_capped(entries: DataFrame, days: int = DAYS, most: int =
     return slim.groupBy("feed_id").applyInPandasWithState(step, "feed_id string, entry_key string, updated timestamp", "keys array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
@@ -86,16 +94,38 @@ def stream_capped(entries: DataFrame, out: str, backlog: str, checkpoint: str, m
     return entries.writeStream.foreachBatch(capped_batch(out, backlog, max_new)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_discovery(candidates: DataFrame, out: str, checkpoint: str, max_new: int) -> StreamingQuery:
-    """New candidates by their keys against the stored ones, at most max_new of each item and source in a batch."""
-    columns = candidates.columns
+def discovery_batch(out: str, backlog: str, max_new: int, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer: emits candidates with keys that are not stored yet, at most max_new of each item and source.
+
+    Items are taken in the given order, others after them by name: earlier ones win a key, and what a cap leaves a later item
+    may emit. The candidates that no item emits wait in the backlog for the next batch. Both are written by batch number.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stored = _table(spark, out, "dedup_key string, batch long").where(F.col("batch") < number).select("dedup_key")
-        keyed = dedup_keys(batch).dropDuplicates(["dedup_key"]).join(stored, "dedup_key", "left_anti")
-        cap_new(keyed, max_new, ["item", "source"], ["rank", "dedup_key"]).select(*columns, "dedup_key").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        keyed = dedup_keys(batch)
+        schema = T.StructType([*keyed.schema.fields, T.StructField("batch", T.LongType())])
+        waiting = _table(spark, backlog, schema).where(F.col("batch") == number - 1).drop("batch")
+        named = lambda df: df.withColumn("_item", F.coalesce("item", F.lit("")))
+        offered = named(keyed.unionByName(waiting)).join(stored.distinct(), "dedup_key", "left_anti")
+        offered = materialize(first_per_key(offered, ["_item", "dedup_key"], ["source", "rank"]))
+        place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("_item")), F.lit(0)) if order else F.lit(0)
+        items = offered.select("_item").distinct().withColumn("_place", F.when(place > 0, place))
+        items = items.select(F.col("_item").alias("item"), F.row_number().over(Window.orderBy(F.asc_nulls_last("_place"), "_item")).alias("pos"), F.lit(max_new).alias("max_new"))  # watch items are set by hand
+        slim = offered.select(F.col("_item").alias("item"), F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key")
+        none = slim.limit(0)
+        new = run_watchlist(items, slim, none, none.select("dedup_key")).withColumnRenamed("item", "_item")
+        now = materialize(offered.join(new, ["_item", "dedup_key"], "left_semi").select(*keyed.columns))
+        now.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        offered.join(now.select("dedup_key"), "dedup_key", "left_anti").select(*keyed.columns).write.mode("overwrite").parquet(f"{backlog}/batch={number}")
+
+    return write
+
 
+def stream_discovery(candidates: DataFrame, out: str, checkpoint: str, max_new: int, backlog: str | None = None, order: list[str] | None = None) -> StreamingQuery:
+    """New candidates by their keys against the stored ones; see discovery_batch. The backlog is beside the output unless named."""
+    write = discovery_batch(out, backlog or f"{out.rstrip('/')}-backlog", max_new, order)
     return candidates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
