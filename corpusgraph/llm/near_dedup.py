@@ -23,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,16 +153,16 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
 
     def compare(rows: pa.Table) -> list[tuple[int, int]]:
         """Links of complete units."""
-        batch = rows.combine_chunks().to_batches()[0]
-        unit = np.stack([batch.column(c).to_numpy() for c in ("family", "low", "high")])
-        node, block = batch.column("node").to_numpy(), batch.column("block").to_numpy()
-        sets, expected = [], batch.column("set_hash").to_pylist()
-        for _, _, values, bounds in text_sets(batch, "text"):
-            sets += [values[a:b] for a, b in itertools.pairwise(bounds)]
+        unit = np.stack([rows.column(c).to_numpy() for c in ("family", "low", "high")])
+        node, block = rows.column("node").to_numpy(), rows.column("block").to_numpy()
+        sets, expected = [], rows.column("set_hash").to_pylist()
+        for batch in rows.to_batches():  # texts of over 2 GB stay in several
+            for _, _, values, bounds in text_sets(batch, "text"):
+                sets += [values[a:b] for a, b in itertools.pairwise(bounds)]
         right = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == e for s, e in zip(sets, expected)])  # rows that share an id with another text
         cuts = np.flatnonzero(np.append(True, (unit[:, 1:] != unit[:, :-1]).any(axis=0)))
         found = []
-        for a, b in itertools.pairwise([*cuts, batch.num_rows]):
+        for a, b in itertools.pairwise([*cuts, rows.num_rows]):
             own = np.arange(a, b)[right[a:b]]
             own = own[np.unique(node[own], return_index=True)[1]]
             if len(own) > 1:
@@ -196,8 +197,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: st
     return units.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept: groups linked by 100 * intersection >= percent * union of shingle sets."""
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with set_hash and root, the group's least node (both null for an empty set)."""
     size = CHUNK * chunks_for(percent)
     all_sets = materialize(signed(docs, size, id_col, text_col))
     some = all_sets.where("n_shingles > 0 and id is not null")
@@ -213,21 +214,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     grouped = sets.select("node", "set_hash", "rep").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = materialize(grouped.select("set_hash", "rep", "root"))
     least = materialize(grouped.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = materialize(grouped.join(least, "root").select("set_hash", "component_id"))
+    named = materialize(grouped.join(least, "root").select("set_hash", "component_id", "root"))
     found = all_sets.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "set_hash", "root")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept: groups linked by 100 * intersection >= percent * union of shingle sets."""
+    return _judged(docs, percent, id_col, text_col).drop("set_hash", "root")
+
+
+@F.pandas_udf(T.BinaryType())
+def _set_hash(texts: pd.Series) -> pd.Series:
+    """As signed gives it."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    return pd.Series([hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for _, _, values, bounds in text_sets(batch, "text") for a, b in itertools.pairwise(bounds)], dtype=object)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the least id, with all its columns; of equal rows one."""
-    judged = materialize(near_duplicates(docs, percent, id_col, text_col))
+    """One document of each group, that of the least id, with all its columns; of equal rows one.
+
+    Where different texts share an id, each is judged by its own set; of those of one group under the least id, that with the
+    least set hash stays.
+    """
+    judged = materialize(_judged(docs, percent, id_col, text_col))
     gone = judged.where("not kept").select(F.col(id_col).alias("_gone")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    repeated = judged.where("kept").groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").limit(1).count()
-    return left.dropDuplicates([id_col, text_col]) if repeated else left
+    shared = materialize(judged.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 and _id is not null").select("_id"))
+    if not shared.limit(1).count():
+        return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    doc_id = F.col(f"`{id_col}`")
+    single = docs.join(shared, doc_id == F.col("_id"), "left_anti").join(gone, doc_id == F.col("_gone"), "left_anti")
+    hashed = docs.join(shared, doc_id == F.col("_id"), "left_semi").withColumn("_set", _set_hash(text_of(text_col)))
+    stay = judged.where("kept and root is not null").join(shared, F.col(id_col) == F.col("_id"), "left_semi").groupBy(F.col(id_col).alias("_id"), "root").agg(F.min("set_hash").alias("_kept"))
+    empty = hashed.where("_set is null").dropDuplicates([id_col, text_col])
+    full = hashed.join(stay.select("_id", "_kept"), (doc_id == F.col("_id")) & (F.col("_set") == F.col("_kept")), "left_semi").dropDuplicates([id_col, "_set"])
+    return single.unionByName(empty.unionByName(full).drop("_set"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
