@@ -77,41 +77,61 @@ def test_packing_is_gapless_and_exact(spark, odd, none):
 
 
 def test_encoder_that_keeps_little_stays_exact(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_CHUNKS", 5)
+    monkeypatch.setattr(packing, "KEPT_PIECES", 5)
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(4)
-    words = ["The!!", "the", "Éa's", "x<|endoftext|>y", "\x1c", "1.2", "ab,", "AB", "cd.", "ef", "gh", "ij;", "漢字"]
-    for _ in range(40):
+    words = ["The!!", "the", "Éa's", "x<|endoftext|>y", "<|EndOfText|>", "\x1c", "1.2", "ab,", "AB", "cd.", "ef", "gh", "ij;", "漢字", "ÀÖØß", "'s", "don't", "...", "é", "\u00a0", "a\u2003b"]
+    for _ in range(80):
         texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(4)]
         ids, bounds = own.encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_best_fit_runs_cover_all_ranks_without_overlap():
+def naive_best_fit(lengths, capacity):
+    """Sequences that best fit, longest first, needs; one piece at a time."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fits = min((g for g in gaps if g >= length), default=None)
+        if fits is not None:
+            gaps.remove(fits)
+        gaps.append((capacity if fits is None else fits) - length)
+    return len(gaps)
+
+
+def test_one_sweep_is_best_fit():
     rng = random.Random(5)
-    for _ in range(30):
+    for _ in range(60):
         capacity = rng.choice([10, 17, 64])
         counts = {rng.randint(1, capacity): rng.randint(1, 40) for _ in range(rng.randint(1, 12))}
-        runs = packing.best_fit_runs(counts, capacity)
-        used = {}
-        for length, n in counts.items():
-            own = sorted(r for r in runs if r[0] == length)
-            assert own[0][1] == 0
-            for (_, lo, first, offset, each), hi in zip(own, [r[1] for r in own[1:]] + [n]):
-                for rank in range(lo, hi):
-                    at = (first + (rank - lo) // each, offset + (rank - lo) % each * length)
-                    for k in range(length):
-                        assert (at[0], at[1] + k) not in used
-                        used[at[0], at[1] + k] = True
-        bins = {b for b, _ in used}
-        assert all(o < capacity for _, o in used) and all((b, o - 1) in used for b, o in used if o)
-        gaps = []
-        for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
-            fits = min((g for g in gaps if g >= length), default=None)
-            if fits is not None:
-                gaps.remove(fits)
-            gaps.append((capacity if fits is None else fits) - length)
-        assert len(bins) == len(gaps)
+        first, pieces = 0, []
+        for length, n in sorted(counts.items()):
+            pieces.append(("piece", length, first, n))
+            first += n
+        runs = [r for r in packing.sweep(pieces, capacity, 0) if r[0] == "placed"]
+        room, ranks = {}, set()
+        for _, length, rank, many, sequence, offset, each in sorted(runs, key=lambda r: r[5]):
+            for k in range(many):
+                at, place = sequence + k // each, offset + k % each * length
+                assert room.get(at, 0) == place and place + length <= capacity
+                room[at] = place + length
+                ranks.add(rank + k)
+        assert ranks == set(range(first))
+        assert len(room) == naive_best_fit([k for k, n in counts.items() for _ in range(n)], capacity)
+        kept = packing.sweep(pieces, capacity, None)
+        assert sum(r[3] for r in kept) == first and {r[0] for r in kept} == {"piece"}
+
+
+def test_supersteps_need_no_more_sequences_than_best_fit(spark):
+    rng = random.Random(6)
+    cases = [(64, [rng.randint(1, 64) for _ in range(400)]), (100, [min(100, int(rng.paretovariate(0.8) * 4)) for _ in range(300)]), (50, [26] * 30 + [24] * 31), (16, [3] * 100)]
+    for capacity, lengths in cases:
+        rows = [(i, n) for i, n in enumerate(lengths)]
+        got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), ["doc_id"], capacity).toPandas()
+        assert sorted(got.doc_id) == list(range(len(lengths)))
+        for _, g in got.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert g.length.sum() <= capacity and (g.offset == g.length.cumsum() - g.length).all()
+        assert got.sequence_id.nunique() <= naive_best_fit(lengths, capacity) + 1
 
 
 def test_hilbert_curve_visits_neighbours():
