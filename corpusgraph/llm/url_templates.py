@@ -1,14 +1,17 @@
 """URL filter: rules, and for what no rule judges, a tree of path templates for each host.
 
 Paths are cut into segments. Segments that look variable (digits, long hexadecimal, very long) become wildcards at once,
-so a host's pages shrink to few shapes before anything is shuffled by host. Then, in rounds until nothing changes, a node's
-branches are compared: a branch that is one of many and rare, or whose labels and set of children do not differ from its
-siblings', merges into their wildcard. A template's purity is the smoothed share of its labelled pages that are blocked; a template with
-labels and a purity of at least PURITY is rejected. Pages under a rule are the labels, unless others are given.
-
-Only DataFrame functions are used. A null url, or one without `://`, has an empty host and path. Equal rows are judged
-alike and one by one. Empty tables give empty results. Without labels nothing is rejected beyond the rules. All segments
-of a path count.
+so a host's pages shrink to few shapes before anything is shuffled by host. A shape's purity is the smoothed share of its
+labelled pages that are blocked; it is backed off from the host to its parent domains and at last to all hosts, each level
+smoothed towards the one above and the last towards EVEN, so labels reach hosts that have none. Then, in rounds until nothing changes, a node's
+branches are compared: a branch that is one of many and rare, or whose purity, children and page count do not differ from
+its siblings' beyond chance, merges into their wildcard. A template of which labels were seen at any level is rejected if
+its purity, pooled over its shapes, is at least PURITY. Pages under a rule are the labels, unless others are given.
+
+Only DataFrame functions are used. A null url, or one without `://`, has an empty host and path. Equal rows and repeated or
+null ids are judged alike and one by one. Very long urls count whole: all segments of a path and all labels of a host.
+Empty tables give empty results. Without labels nothing is rejected beyond the rules. Columns beside the id and the url are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,20 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, salted_join
 
 # The rules of the contract (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-DEPTH = 8  # of the comparison SQL, which has two rounds and compares the least and greatest child
 MANY, RARE = 20, 0.05  # branches of a node from which on one below this share of its pages is variable
-Z = 1.96  # label shares of branches that differ by more standard errors are different
+Z = 1.96  # what differs by more standard errors is different
 SMOOTHING = 5.0
+EVEN = 0.5  # purity of what no label tells of
 PURITY = 0.8
 WILD = "*"
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 VARIABLE = r"(?s)\A(?:[0-9]+|[0-9a-fA-F-]{8,}|[^.]*[0-9]{3,}[^.]*|.{40,}?)(\.[A-Za-z0-9]{1,5})?\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SUMS = ("pages", "blocked", "allowed", "prior", "evidence")
+
+# Expressions that Spark and the comparison SQL share. prior: millionths of the backed-off purity, summed over pages.
+BACKED = "(blocked + {s} * prior / pages / 1e6) / (blocked + allowed + {s})".format(s=f"{SMOOTHING}e0")
+REST = "(all_blocked - blocked + {s} * (all_prior - prior) / (all_pages - pages) / 1e6) / (all_blocked + all_allowed - blocked - allowed + {s})".format(s=f"{SMOOTHING}e0")
+OWN_N, REST_N = f"(blocked + allowed + {SMOOTHING}e0)", f"(all_blocked + all_allowed - blocked - allowed + {SMOOTHING}e0)"
+BOTH = f"((own * {OWN_N} + rest * {REST_N}) / ({OWN_N} + {REST_N}))"
+ALIKE = f"abs(own - rest) <= {Z}e0 * sqrt({BOTH} * (1e0 - {BOTH}) * (1e0 / {OWN_N} + 1e0 / {REST_N})) + 1e-9"
+CHILDREN_ALIKE = f"spread - pages <= all_kinds - 1 + {Z}e0 * sqrt(2e0 * (all_kinds - 1)) + 1e-6"
+MEAN = "(all_pages / (width * 1e0))"
+COUNT_ALIKE = f"abs(pages - {MEAN}) <= {Z}e0 * sqrt(greatest({MEAN}, squares / width - {MEAN} * {MEAN})) + 1e-6"
+VARIES = f"(width > {MANY} and pages < {RARE}e0 * all_pages) or (width > 1 and {ALIKE} and {CHILDREN_ALIKE} and {COUNT_ALIKE})"
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -43,7 +58,7 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits host and path, as text, and its verdict; null if none fits."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = [((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p) for _, h, p in ordered]
-    pick = lambda value: F.coalesce(*(F.when(fit, F.lit(value(r))) for fit, r in zip(fits, ordered)))
+    pick = lambda value: F.coalesce(F.lit(None).cast("string"), *(F.when(fit, F.lit(value(r))) for fit, r in zip(fits, ordered)))
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
@@ -54,28 +69,41 @@ def shape(path: Column) -> Column:
     return F.transform(segments, variable)
 
 
+def with_prior(shapes: DataFrame) -> DataFrame:
+    """shapes with prior (millionths of the purity backed off over the host's domains, times pages) and evidence (1 if any
+    page of the shape, on any host, has a label)."""
+    parts = F.split("host", r"\.")
+    levels = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(d.alias("level"), F.array_join(F.slice(parts, F.size(parts) - d + 1, d), ".").alias("domain")))
+    spread = shapes.withColumn("at", F.explode(levels)).select("host", "shape", "at.level", "at.domain", "blocked", "allowed")
+    known = spread.groupBy("level", "domain", "shape").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).where("a + b > 0")
+    found = salted_join(spread.drop("blocked", "allowed"), materialize(known), ["level", "domain", "shape"])
+    chain = F.array_sort(F.collect_list(F.struct("level", "b", "a")))  # as many as the host has labels
+    purity = F.aggregate("chain", F.lit(EVEN), lambda q, x: (x["b"] + SMOOTHING * q) / (x["b"] + x["a"] + SMOOTHING))
+    backed = found.groupBy("host", "shape").agg(chain.alias("chain")).select("host", "shape", F.round(purity * 1e6).cast("long").alias("millionths"))
+    whole = shapes.join(materialize(backed), ["host", "shape"], "left")
+    prior = F.col("pages") * F.coalesce("millionths", F.lit(round(EVEN * 1e6)).cast("long"))
+    return materialize(whole.select(*shapes.columns, prior.alias("prior"), F.col("millionths").isNotNull().cast("long").alias("evidence")))
+
+
 def generalise(shapes: DataFrame) -> DataFrame:
-    """One round of merging branches, over rows host, shape, segments, pages, blocked, allowed."""
-    nodes = shapes.select("host", "shape", F.posexplode_outer("segments").alias("at", "segment"), "segments", "pages", "blocked", "allowed")
+    """One round of merging branches, over rows host, shape, segments and the SUMS."""
+    nodes = shapes.select("host", "shape", F.posexplode_outer("segments").alias("at", "segment"), "segments", *SUMS)
     nodes = nodes.withColumn("above", F.when(F.col("at").isNull(), F.lit("")).otherwise(F.array_join(F.expr("slice(segments, 1, coalesce(at, 0))"), "/")))
     nodes = nodes.withColumn("below", F.coalesce(F.expr("try_element_at(segments, at + 2)"), F.lit(""))).drop("segments")
-    sums = [F.sum(c).alias(c) for c in ("pages", "blocked", "allowed")]
-    children = materialize(nodes.where(F.col("segment").isNotNull()).groupBy("host", "at", "above", "segment", "below").agg(*sums))
-    branches = children.groupBy("host", "at", "above", "segment").agg(*sums, F.count("*").alias("kinds"))
-    around = branches.groupBy("host", "at", "above").agg(F.count("*").alias("width"), *(F.sum(c).alias("all_" + c) for c in ("pages", "blocked", "allowed")))
-    kinds = children.select("host", "at", "above", "below").distinct().groupBy("host", "at", "above").agg(F.count("*").alias("all_kinds"))
-    around = around.join(kinds, ["host", "at", "above"])
-    own, rest = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed") - F.col("blocked") - F.col("allowed")
-    share = F.col("all_blocked") / (own + rest)
-    gap = F.abs(F.col("blocked") / own - (F.col("all_blocked") - F.col("blocked")) / rest)
-    alike = F.when((own == 0) & (rest == 0), F.lit(True)).when((own == 0) | (rest == 0), F.lit(False)).otherwise(gap <= Z * F.sqrt(share * (1 - share) * (1 / own + 1 / rest)))
-    same_below = F.col("kinds") == F.col("all_kinds")  # a branch's children are among all: as many are the same
-    variable = (F.col("width") > MANY) & (F.col("pages") < RARE * F.col("all_pages"))
-    merged = F.when(variable | ((F.col("width") > 1) & alike & same_below), F.lit(WILD)).otherwise(F.col("segment"))
-    decided = branches.join(around, ["host", "at", "above"]).select("host", "at", "above", "segment", merged.alias("merged"))
-    again = nodes.join(decided, ["host", "at", "above", "segment"], "left")
+    node, sums = ["host", "at", "above"], [F.sum(c).alias(c) for c in SUMS]
+    children = materialize(nodes.where(F.col("segment").isNotNull()).groupBy(*node, "segment", "below").agg(*sums))
+    kinds = children.groupBy(*node, "below").agg(F.sum("pages").alias("kind_pages"))
+    lone = children.groupBy(*node, "segment").agg(*sums)
+    around = lone.groupBy(*node).agg(F.count("*").alias("width"), F.sum(F.expr("pages * pages * 1e0")).alias("squares"), *(F.sum(c).alias("all_" + c) for c in SUMS))
+    around = materialize(around.join(kinds.groupBy(*node).agg(F.count("*").alias("all_kinds")), node))
+    shares = salted_join(salted_join(children, materialize(kinds), [*node, "below"]), around.select(*node, "all_pages"), node)
+    squares = F.sum(F.expr("pages * (pages * 1e0) * all_pages / kind_pages"))
+    spread = shares.groupBy(*node, "segment").agg(*sums, squares.alias("total")).withColumn("spread", F.expr("total / pages")).drop("total")
+    decided = salted_join(spread, around, node).withColumn("own", F.expr(BACKED)).withColumn("rest", F.when(F.col("width") > 1, F.expr(REST)))
+    decided = decided.select(*node, "segment", F.when(F.expr(VARIES), F.lit(WILD)).otherwise(F.col("segment")).alias("merged"))
+    again = nodes.join(materialize(decided), [*node, "segment"], "left")
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "merged")))), lambda x: x["merged"])  # of one path
-    return materialize(again.groupBy("host", "shape").agg(parts.alias("segments"), *(F.first(c).alias(c) for c in ("pages", "blocked", "allowed"))))
+    return materialize(again.groupBy("host", "shape").agg(parts.alias("segments"), *(F.first(c).alias(c) for c in SUMS)))
 
 
 def _wildcards(shapes: DataFrame) -> int:
@@ -86,20 +114,15 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     """host, shape, template, purity, rejected; pages has host, shape (joined segments), segments and label (block, allow, null)."""
     count = lambda v: F.sum(F.when(F.col("label") == v, 1).otherwise(0)).cast("long")
     shapes = pages.groupBy("host", "shape", "segments").agg(F.count("*").alias("pages"), count("block").alias("blocked"), count("allow").alias("allowed"))
-    shapes = materialize(shapes)
+    shapes = with_prior(materialize(shapes))
     wild, before = _wildcards(shapes), -1
     while wild != before:  # a round only turns segments into wildcards, so this ends
         shapes = generalise(shapes)
         wild, before = _wildcards(shapes), wild
     named = shapes.withColumn("template", F.concat(F.lit("/"), F.array_join("segments", "/")))
-    total = named.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
-    labelled = (total["b"] or 0) + (total["a"] or 0)
-    prior = (total["b"] or 0) / labelled if labelled else 0.0
-    pure = named.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    seen = F.col("blocked") + F.col("allowed")
-    purity = (F.col("blocked") + SMOOTHING * prior) / (seen + SMOOTHING)
-    pure = materialize(pure.select("host", "template", purity.alias("purity"), ((seen > 0) & (purity >= PURITY)).alias("rejected")))
-    return materialize(named.select("host", "shape", "template").join(pure, ["host", "template"]))
+    pure = named.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in SUMS)).withColumn("purity", F.expr(f"round({BACKED}, 6)"))
+    pure = pure.select("host", "template", "purity", ((F.col("evidence") > 0) & (F.col("purity") >= PURITY)).alias("rejected"))
+    return materialize(salted_join(named.select("host", "shape", "template"), materialize(pure), ["host", "template"]))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
@@ -110,7 +133,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     parted = parted.withColumn("shape", F.array_join("segments", "/"))
     known = parted.withColumn("label", F.col("rule_verdict")) if labels is None else parted.join(labels.select(id_col, "label"), id_col, "left")
     templates = template_verdicts(known.select("host", "shape", "segments", "label"))
-    judged = parted.join(templates, ["host", "shape"], "left")
+    judged = salted_join(parted, templates, ["host", "shape"])
     method = F.when(F.coalesce("rejected", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(id_col, "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", "purity")
 
@@ -119,19 +142,29 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+ROUNDS = 4  # of the comparison SQL, for urls of so many segments; further rounds change nothing there
+
+
 def _round_sql(k: int) -> str:
     """One round of merging, as common table expressions from s{k-1} to s{k}."""
     p = k - 1
+    sums = ", ".join(f"sum({c}) as {c}" for c in SUMS)
+    own = ", ".join(SUMS)
     return f"""
-n{k} as (select host, shape, i as lvl, segs[i] as segment, array_to_string(segs[1:i - 1], '/') as above, coalesce(segs[i + 1], '') as below, pages, blocked, allowed
+n{k} as materialized (select host, shape, i as lvl, segs[i] as segment, array_to_string(segs[1:i - 1], '/') as above, coalesce(segs[i + 1], '') as below, {own}
   from (select *, unnest(range(1, len(segs) + 1)) as i from s{p}) x),
-b{k} as (select host, lvl, above, segment, sum(pages) as pages, sum(blocked) as blocked, sum(allowed) as allowed, min(below) as low, max(below) as high from n{k} group by all),
-a{k} as (select host, lvl, above, count(*) as width, sum(pages) as ap, sum(blocked) as ab, sum(allowed) as aa, min(low) as al, max(high) as ah from b{k} group by all),
-c{k} as (select b{k}.*, width, ap, ab, al, ah, blocked + allowed as own, ab + aa - blocked - allowed as rest from b{k} join a{k} using (host, lvl, above)),
-d{k} as (select host, lvl, above, segment, case when (width > {MANY} and pages < {RARE} * ap) or (width > 1 and low = al and high = ah and case when own = 0 and rest = 0 then true when own = 0 or rest = 0 then false
-    else abs(blocked / own - (ab - blocked) / rest) <= {Z} * sqrt((ab / (own + rest)) * (1 - ab / (own + rest)) * (1 / own + 1 / rest)) end) then '{WILD}' else segment end as merged from c{k}),
-s{k} as (select host, shape, list(merged order by lvl) as segs, any_value(pages) as pages, any_value(blocked) as blocked, any_value(allowed) as allowed from n{k} join d{k} using (host, lvl, above, segment) group by host, shape
-  union all select * from s{p} where len(segs) = 0)"""
+b{k} as materialized (select host, lvl, above, segment, below, {sums} from n{k} group by all),
+k{k} as (select host, lvl, above, below, sum(pages) as kind_pages from b{k} group by all),
+l{k} as (select host, lvl, above, segment, {sums} from b{k} group by all),
+a{k} as materialized (select host, lvl, above, count(*) as width, sum(pages * pages * 1e0) as squares, {", ".join(f"sum({c}) as all_{c}" for c in SUMS)} from l{k} group by all),
+m{k} as materialized (select host, lvl, above, count(*) as all_kinds from k{k} group by all),
+t{k} as (select host, lvl, above, segment, {", ".join(f"sum(b.{c}) as {c}" for c in SUMS)}, sum(b.pages * (b.pages * 1e0) * all_pages / kind_pages) / sum(b.pages) as spread
+  from b{k} b join k{k} using (host, lvl, above, below) join a{k} using (host, lvl, above) group by all),
+c{k} as (select t.*, width, squares, all_kinds, {", ".join(f"all_{c}" for c in SUMS)} from t{k} t join a{k} using (host, lvl, above) join m{k} using (host, lvl, above)),
+o{k} as (select *, {BACKED} as own, case when width > 1 then {REST} end as rest from c{k}),
+d{k} as materialized (select host, lvl, above, segment, case when {VARIES} then '{WILD}' else segment end as merged from o{k}),
+s{k} as materialized (select host, shape, list(merged order by lvl) as segs, {", ".join(f"any_value({c}) as {c}" for c in SUMS)} from n{k} join d{k} using (host, lvl, above, segment) group by host, shape
+  union all select host, shape, segs, {own} from s{p} where len(segs) = 0)"""
 
 
 def _sql() -> str:
@@ -142,21 +175,31 @@ def _sql() -> str:
     return f"""
 with cut as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) as path from pages
-), named as (
-  select *, {rule} as rule, {verdict} as said, list_transform(list_filter(split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '{VARIABLE}', '{WILD}\\1')) as all_segs from cut
-), parted as (
-  select * exclude (all_segs), case when len(all_segs) > {DEPTH} then list_append(all_segs[1:{DEPTH}], '{WILD}') else all_segs end as segs, array_to_string(case when len(all_segs) > {DEPTH} then list_append(all_segs[1:{DEPTH}], '{WILD}') else all_segs end, '/') as shape from named
-), s0 as (
+), parted as materialized (
+  select *, {rule} as rule, {verdict} as said, list_transform(list_filter(split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '{VARIABLE}', '{WILD}\\1')) as segs, array_to_string(segs, '/') as shape from cut
+), first_shapes as materialized (
   select host, shape, segs, count(*) as pages, sum(case when said = 'block' then 1 else 0 end) as blocked, sum(case when said = 'allow' then 1 else 0 end) as allowed from parted group by all
-), {_round_sql(1)}, {_round_sql(2)}, templates as (
-  select *, '/' || array_to_string(segs, '/') as template from s2
-), total as (
-  select coalesce(sum(blocked) / nullif(sum(blocked) + sum(allowed), 0), 0) as prior from templates
+), spread as materialized (
+  select host, shape, d as level, array_to_string(labels[len(labels) - d + 1 : len(labels)], '.') as domain, blocked, allowed
+  from (select *, unnest(range(0, len(labels) + 1)) as d from (select *, split(host, '.') as labels from first_shapes) x) y
+), known as materialized (
+  select level, domain, shape, sum(blocked) as b, sum(allowed) as a from spread group by all having sum(blocked) + sum(allowed) > 0
+), chains as (
+  select host, shape, list({{'b': known.b * 1e0, 'a': known.a * 1e0, 'q': 0e0}} order by level) as c from spread join known using (level, domain, shape) group by host, shape
+), backed as materialized (
+  select host, shape, cast(round(list_reduce(list_prepend({{'b': 0e0, 'a': 0e0, 'q': {EVEN}e0}}, c), lambda x, y: {{'b': 0e0, 'a': 0e0, 'q': (y.b + {SMOOTHING}e0 * x.q) / (y.b + y.a + {SMOOTHING}e0)}}).q * 1e6) as bigint) as millionths from chains
+), s0 as materialized (
+  select host, shape, segs, pages, blocked, allowed, pages * coalesce(millionths, {round(EVEN * 1e6)}) as prior, case when millionths is null then 0 else 1 end as evidence
+  from first_shapes left join backed using (host, shape)
+), {", ".join(_round_sql(k) for k in range(1, ROUNDS + 1))}, templates as materialized (
+  select *, '/' || array_to_string(segs, '/') as template from s{ROUNDS}
+), sums as (
+  select host, template, {", ".join(f"sum({c}) as {c}" for c in SUMS)} from templates group by host, template
 ), pure as (
-  select host, template, (sum(blocked) + {SMOOTHING} * any_value(prior)) / (sum(blocked) + sum(allowed) + {SMOOTHING}) as purity, sum(blocked) + sum(allowed) > 0 as seen from templates, total group by host, template
+  select host, template, round({BACKED}, 6) as purity, evidence > 0 as seen from sums
 )
 select page_id, host, path, rule, coalesce(said, case when seen and purity >= {PURITY} then 'block' else 'allow' end) as verdict, template, purity
-from parted join templates using (host, shape) join pure using (host, template)
+from parted join (select host, shape, template from templates) t using (host, shape) join pure using (host, template)
 """
 
 
