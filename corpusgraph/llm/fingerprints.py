@@ -1,15 +1,17 @@
 """Homomorphic multiset fingerprints of texts.
 
 A text is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector; a fingerprint is the sum of
-these vectors modulo powers of two, 2**16 a lane. So the order of paragraphs does not matter, and inserting or deleting
+these vectors modulo powers of two, 2**32 a lane. So the order of paragraphs does not matter, and inserting or deleting
 a paragraph is adding or subtracting its vector. The first lanes are hashed from the paragraph as a whole: they make
 fingerprints of different multisets differ. The last lanes are signed sums over the paragraph's word pairs, so that the
 difference of two fingerprints also tells how much text differs: the mean square of a lane of the difference is the
 number of word pairs by which the texts differ.
 
 Null texts count as empty; the fingerprint of an empty text is that of no paragraphs. Likeness is 1 for equal
-fingerprints. Repeated rows and ids are treated one by one; among rows of one id the order is that of their texts.
-Null ids come last. Columns beside the id and the text are not read.
+fingerprints; it holds for texts of fewer than 2**31 word pairs, as signed lanes wrap beyond. Repeated rows and ids are
+treated one by one; among rows of one id the order is that of a hash of their texts, so that a hot id is parted among
+tasks. Null ids come last. Texts are read whole. An empty table gives an empty result. Columns beside the id and the text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, mix, read_table, text_of, word_hashes
 
-WHOLE_LANES = 32
+WHOLE_LANES = 16
 PAIR_LANES = 64
 _U = np.uint64
 
@@ -37,9 +39,9 @@ def paragraph_seeds(data: bytes) -> np.ndarray:
 
 
 def whole_vectors(seeds: np.ndarray) -> np.ndarray:
-    """Wide vectors (WHOLE_LANES of 16 bits) from seeds."""
-    steps = np.arange(1, WHOLE_LANES // 4 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
-    return mix(mix(seeds[:, :1] + steps) ^ seeds[:, 1:]).view(np.uint16)
+    """Wide vectors (WHOLE_LANES of 32 bits) from seeds."""
+    steps = np.arange(1, WHOLE_LANES // 2 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+    return mix(mix(seeds[:, :1] + steps) ^ seeds[:, 1:]).view(np.uint32)
 
 
 def pair_sum(data: bytes) -> np.ndarray:
@@ -58,8 +60,8 @@ def pair_sum(data: bytes) -> np.ndarray:
 
 def fingerprint(text: str) -> np.ndarray:
     data = text.encode("utf-8", "surrogatepass")
-    whole = whole_vectors(paragraph_seeds(data)).sum(axis=0, dtype=np.uint16)
-    return np.concatenate([whole, pair_sum(data).astype(np.uint16)])
+    whole = whole_vectors(paragraph_seeds(data)).sum(axis=0, dtype=np.uint32)
+    return np.concatenate([whole, pair_sum(data).astype(np.uint32)])
 
 
 def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """From 0 to 1: one less the share of word pairs (estimated) by which the texts differ; 1 for equal fingerprints."""
     if np.array_equal(a, b):
         return 1.0
-    signed = lambda x: x[WHOLE_LANES:].astype(np.uint16).view(np.int16).astype(np.float64)
+    signed = lambda x: x[WHOLE_LANES:].astype(np.uint32).view(np.int32).astype(np.float64)
     both = np.mean(signed(a) ** 2) + np.mean(signed(b) ** 2)
     if both == 0:
         return 0.0
@@ -98,42 +100,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def combine(prints: DataFrame, keys: list[str], column: str = "fingerprint") -> DataFrame:
     """Fingerprints of groups, as sums of those of their members: partial sums in each task, then one a key."""
-    lanes = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(WHOLE_LANES + PAIR_LANES - 1)), lambda k: F.conv(F.hex(F.concat(F.substring(column, k * 2 + 2, 1), F.substring(column, k * 2 + 1, 1))), 16, 10).cast("long")))
-    summed = prints.select(*keys, lanes.alias("lane", "value")).groupBy(*keys, "lane").agg((F.sum("value") % 65536).alias("value"))
-    swapped = F.transform(F.array_sort(F.collect_list(F.struct("lane", "value"))), lambda x: F.concat(F.lpad(F.hex(x["value"] % 256), 2, "0"), F.lpad(F.hex(F.shiftright(x["value"], 8)), 2, "0")))
+    number = lambda k: F.conv(F.hex(F.concat(*(F.substring(column, k * 4 + b, 1) for b in (4, 3, 2, 1)))), 16, 10).cast("long")
+    lanes = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(WHOLE_LANES + PAIR_LANES - 1)), number))
+    summed = prints.select(*keys, lanes.alias("lane", "value")).groupBy(*keys, "lane").agg((F.sum("value") % (1 << 32)).alias("value"))
+    turned = lambda h: F.concat(*(F.substring(h, b, 2) for b in (7, 5, 3, 1)))
+    swapped = F.transform(F.array_sort(F.collect_list(F.struct("lane", "value"))), lambda x: turned(F.lpad(F.hex(x["value"]), 8, "0")))
     return summed.groupBy(*keys).agg(F.unhex(F.array_join(swapped, "")).alias(column))
 
 
 def with_successor(docs: DataFrame, run, schema: T.StructType, id_col: str, text_col: str) -> DataFrame:
-    """run(rows) on rows (id, text) in descending order of id, each partition followed by the first row of the next.
+    """run(rows) on rows (part, head, id, text) in descending order of id, each range followed by the first row of the next.
 
-    Ids alone are sorted first, to cut ranges of like counts. Then each text is shuffled once to its range, the first
-    text of each range also to the range before it, and streamed through in order: no task holds more than a batch.
+    Ids and hashes of texts alone are sorted first, to cut ranges of like counts. Then each text is shuffled once to its
+    range, the first text of each range also to the range before it, and streamed through in order: no task holds more than
+    a batch. Ids turn into ascending keys by their bits, so no number passes through a float.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    cuts = materialize(ids.repartitionByRange(8 * parts, F.desc_nulls_last("id")).groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("first")))
-    firsts = sorted((r["first"] for r in cuts.select("first").distinct().collect() if r["first"] is not None), reverse=True)  # a number for each range
-    down = -np.array(firsts, np.int64)
+    placed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    known = F.col("id").isNotNull()
+    placed = placed.select("*", F.struct((~known).cast("long").alias("unknown"), F.bitwise_not(F.coalesce(F.col("id").cast("long"), F.lit(0))).alias("down"), F.xxhash64("text").alias("hash")).alias("key"))
+    cuts = materialize(placed.select("key").repartitionByRange(8 * parts, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first")))
+    firsts = np.array(sorted({tuple(r["first"]) for r in cuts.collect()}), np.int64).reshape(-1, 3)  # one for each range
 
     @F.pandas_udf(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("is_head", T.BooleanType())]))
-    def range_of(x):
+    def range_of(keys):
         import pandas as pd
 
-        value, known = x.fillna(0).to_numpy(np.int64), x.notna().to_numpy()
-        if not len(down):
-            return pd.DataFrame({"part": np.zeros(len(x), np.int32), "is_head": True})
-        part = np.clip(np.where(known, np.searchsorted(down, -value, "right") - 1, len(down) - 1), 0, None)
-        return pd.DataFrame({"part": part.astype(np.int32), "is_head": known & (down[part] == -value)})
+        rows = keys[["unknown", "down", "hash"]].to_numpy(np.int64)
+        both = np.concatenate([firsts, rows])
+        turn = np.lexsort((np.arange(len(both)) >= len(firsts), both[:, 2], both[:, 1], both[:, 0]))
+        part = np.empty(len(both), np.int64)
+        part[turn] = np.cumsum(turn < len(firsts)) - 1
+        part = np.clip(part[len(firsts) :], 0, None)
+        return pd.DataFrame({"part": part.astype(np.int32), "is_head": (firsts[part] == rows).all(axis=1) if len(rows) else np.zeros(0, bool)})
 
-    placed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("at", range_of(F.col("id").cast("long")))
+    placed = placed.withColumn("at", range_of("key"))
     own = F.struct(F.col("at.part").alias("part"), F.lit(0).alias("head"))
     before = F.when(F.col("at.part") > 0, F.col("at.part") - 1).otherwise(F.lit(max(len(firsts) - 1, 0)))
     both = F.when(F.col("at.is_head"), F.array(own, F.struct(before.alias("part"), F.lit(1).alias("head")))).otherwise(F.array(own))
-    laid = placed.withColumn("to", F.explode(both)).select("to.part", "to.head", "id", "text")
-    laid = laid.repartition(parts, "part").sortWithinPartitions("part", "head", F.desc_nulls_last("id"), "text")
-    return laid.mapInArrow(run, schema)
+    laid = placed.withColumn("to", F.explode(both)).select("to.part", "to.head", "id", "text", "key")
+    laid = laid.repartition(parts, "part").sortWithinPartitions("part", "head", "key", "text")
+    return laid.select("part", "head", "id", "text").mapInArrow(run, schema)
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
