@@ -1,13 +1,14 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to the same number of bits: numbers by the logarithm of their size, text by its CRC. The
-cells are numbered along a Hilbert curve, so rows with like metadata lie near each other, and the table in curve order
-is cut into runs of equal row counts (at most one apart). A file then spans short ranges of every dimension, and its
-minima and maxima let a reader skip it. Rows of one cell are ordered by text checksum and id; a hot cell is cut like
-any other run.
-
-Nulls in a dimension are a value of their own (cell 0), a null text has no bytes. Equal rows take different slots.
-An empty table gives an empty result. Columns beside those named are carried only by write_shards.
+Each dimension is quantised to the same number of bits, in its own order: numbers by the logarithm of their size, text by
+its place among the column's distinct values. The cells are numbered along a Hilbert curve, so rows with like metadata lie
+near each other, and the table in curve order is cut into runs of equal row counts (at most one apart). A file then spans
+short ranges of every dimension, and its minima and maxima let a reader skip it. Rows of one cell are ordered by text
+checksum and id; a hot cell is cut like any other run.
+
+Nulls in a dimension are a value of their own (cell 0), a null text has no bytes, null ids come first in their cell. Texts
+count whole. Equal rows take different slots. An empty table gives an empty result. Columns beside those named are carried
+only by write_shards; where they have a name that it gives, its own gets signs `_` behind it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table, text_of
+from .common import free_name, materialize, read_table, text_of
 from .ordering import global_rank
 
 SHARDS = 40
@@ -25,13 +26,31 @@ BITS = 8
 ROW_BYTES = 16
 
 
+def boundaries(df: DataFrame, column: str, bits: int) -> list[str]:
+    """At most 2**bits - 1 values that part the column's distinct values, in their order, into cells of like counts."""
+    most = (1 << bits) - 1
+    ranked, n = global_rank(df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct(), ["v"], "rank")
+    firsts = ranked.where(F.expr(f"rank * {most} div {max(n, most)} > (rank - 1) * {most} div {max(n, most)} or rank = 0")) if n > most else ranked
+    return sorted(r["v"] for r in firsts.select("v").collect())
+
+
 def quantise(df: DataFrame, column: str, bits: int) -> Column:
-    """A cell from 0 to 2**bits - 1: CRC of text, else eighths of the binary logarithm; null is cell 0."""
+    """A cell from 0 to 2**bits - 1 that keeps the column's order: eighths of the binary logarithm of numbers (those below 1
+    share a cell), the place among boundaries of text,
+    spread over all cells; null is cell 0."""
     most = (1 << bits) - 1
     if isinstance(df.schema[column].dataType, T.NumericType):
         cell = F.floor(F.log2(F.greatest(F.col(column).cast("double"), F.lit(1.0))) * 8) + 1
         return F.coalesce(F.least(cell, F.lit(most)), F.lit(0)).cast("int")
-    return F.coalesce(F.crc32(F.col(column).cast("string")) % most + 1, F.lit(0)).cast("int")
+    edges = boundaries(df, column, bits)
+
+    @F.pandas_udf(T.IntegerType())
+    def cell_of(values):
+        import bisect
+
+        return values.map(lambda v: 0 if v is None else bisect.bisect_right(edges, v) * most // len(edges)).astype("int32")
+
+    return cell_of(F.col(column).cast("string"))
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,6 +83,7 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def with_curve_index(df: DataFrame, dimensions: list[str], bits: int = BITS, name: str = "_curve") -> DataFrame:
+    """df with each row's place along the curve over the dimensions."""
     if bits * len(dimensions) > 62:
         raise ValueError("bits times dimensions must be at most 62")
 
@@ -76,12 +96,12 @@ def with_curve_index(df: DataFrame, dimensions: list[str], bits: int = BITS, nam
     return df.withColumn(name, curve(F.array(*(quantise(df, d, bits) for d in dimensions))))
 
 
-def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+def cut_runs(df: DataFrame, order: list[str], shards: int, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """df with shard and slot: runs in the given order whose counts are at most one apart; slots are gapless from 0."""
-    ranked, n = global_rank(df, order, "_rank")
-    shard = F.expr(f"cast(_rank * {shards} div {max(n, 1)} as int)")
-    start = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - start).drop("_rank")
+    rank = free_name(df, "_rank")
+    ranked, n = global_rank(df, order, rank)
+    start = F.expr(f"(cast({shard} as bigint) * {n} + {shards - 1}) div {shards}")
+    return ranked.withColumn(shard, F.expr(f"cast({rank} * {shards} div {max(n, 1)} as int)")).withColumn(slot, F.col(rank) - start).drop(rank)
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -94,13 +114,17 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), id_col: str = "doc_id", bits: int = BITS) -> DataFrame:
-    """Write docs with all columns, one folder a shard, in curve order; return each shard's rows and range of each dimension."""
-    indexed = with_curve_index(docs, list(dimensions), bits)
-    cut = cut_runs(indexed, ["_curve", id_col], shards).drop("_curve")
-    cut.write.partitionBy("shard").parquet(path)
+    """Write docs with all columns, one folder a shard, in curve order; return each shard's rows and range of each dimension.
+
+    The folders are named by shard, or shard_ if docs has such a column; the result's first column has the same name.
+    """
+    curve, shard, slot = (free_name(docs, c) for c in ("_curve", "shard", "slot"))
+    indexed = with_curve_index(docs, list(dimensions), bits, curve)
+    cut = cut_runs(indexed, [curve, id_col], shards, shard, slot)
+    cut.sortWithinPartitions(shard, curve, id_col).drop(curve).write.partitionBy(shard).parquet(path)
     written = docs.sparkSession.read.parquet(path)
     ranges = [f(d).alias(f"{f.__name__}_{d}") for d in dimensions for f in (F.min, F.max)]
-    return written.groupBy("shard").agg(F.count("*").alias("rows"), *ranges)
+    return written.groupBy(shard).agg(F.count("*").alias("rows"), *ranges)
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
