@@ -1,19 +1,25 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: lower case, look-alike letters and digits to the letters they stand for, other signs to blanks. Terms
-begin where a word begins and need not end with it; one Aho-Corasick automaton finds them all. A word counts with the
+Texts are folded: compatible forms and accents to plain letters, invisible signs and combining marks away, lower case,
+look-alike signs, digits and forms of several signs to the letters they stand for, other signs to blanks. Terms begin where a word begins and need not end with it; one Aho-Corasick automaton finds them all. A word counts with the
 largest weight among its terms, unless it lies in an exception phrase. The sum of weights, plain and normalised by the
 text's length, gives the score by logistic regression. Weights of terms are log odds learnt from labelled documents;
 a short list of insults has a weight from the start.
 
 Null texts count as empty; a text without terms, empty ones too, has the score of no finding. Labels are used only for
 fitting. If there are no labelled documents, or only one class, the listed insults alone decide. Repeated rows are
-scored one by one. Columns beside the id and the text are not read.
+scored one by one, null ids too. Texts are read whole, in time linear in their length. An empty table gives an empty
+result. Columns beside the id and the text are not read, whatever their names.
+
+Terms are beginnings of words of SHORTEST to LONGEST letters; the TERMS that differ most from chance are kept. The
+coefficients of the score are fitted on sums that each half of the sample has under the terms of the other half.
 """
 
 from __future__ import annotations
 
-import re
+import bisect
+import itertools
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,11 +49,20 @@ LEAST_DOCS = 8  # toxic documents with a term, at least
 LEAST_Z = 5.0  # how far from chance its log odds are, at least
 SHORTEST, LONGEST = 4, 12
 
-FOLD = {ord(c): letter for letter, likes in LOOK_ALIKES.items() for c in likes} | {ord(c): " " for c in "\t\n\r\x0b\x0c!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”’…–—¿¡"}
+# Letters written with several signs.
+FORMS = {"|-|": "h", "|_|": "u", "|<": "k", "|3": "b", "|)": "d", "/\\": "a", "\\/": "v", "()": "o"}
+
+FOLD = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf")}
+FOLD |= {ord(c): letter for letter, likes in LOOK_ALIKES.items() for c in likes}
+FOLD |= {ord(c): " " for c in "\t\n\r\x0b\x0c!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”’…–—¿¡"}
 
 
 def fold(text: str) -> str:
-    return " " + text.lower().translate(FOLD) + " "
+    text = (text if text.isascii() else unicodedata.normalize("NFKD", text)).lower()
+    if "|" in text or "\\" in text or "()" in text:
+        for form, letter in FORMS.items():
+            text = text.replace(form, letter)
+    return " " + text.translate(FOLD) + " "
 
 
 @dataclass
@@ -81,7 +96,9 @@ def findings(finder, folded: str) -> tuple[float, int]:
         elif weight > best.get(start, 0.0):
             best[start] = weight
     if excused:
-        best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in excused)}
+        excused.sort()
+        starts, ends = [a for a, _ in excused], list(itertools.accumulate((b for _, b in excused), max))
+        best = {s: w for s, w in best.items() if not (k := bisect.bisect_right(starts, s)) or ends[k - 1] < s}
     return sum(best.values()), len(folded.split())
 
 
@@ -131,12 +148,13 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", use=None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Lexicon:
-    """Terms from the sample. The coefficients come from one half of it, scored with terms that only the other half taught."""
+    """Terms from the sample. The coefficients come from all of it, each half scored with terms that only the other taught."""
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if use is None else use, fit_rows, id_col, text_col)
     half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2))
     start = {t: START_WEIGHT for t in INSULTS}
-    lexicon = Lexicon(start | learn_terms(sample.where(half == 0)), (-4.0, 1.0, 1.0))
-    rows = scored_sums(sample.where(half == 1), lexicon, ["label"], "text").select("label", "total", "words").toPandas()  # three numbers for each of fit_rows
+    lexicon = Lexicon(start, (-4.0, 1.0, 1.0))
+    parts = [scored_sums(sample.where(half == k), Lexicon(start | learn_terms(sample.where(half != k)), lexicon.coefficients), ["label"], "text") for k in (0, 1)]
+    rows = parts[0].union(parts[1]).select("label", "total", "words").toPandas()  # three numbers for each of fit_rows
     if rows["label"].nunique() == 2:
         x = features(rows["total"].to_numpy(float), rows["words"].to_numpy(float))
         lexicon.coefficients = tuple(map(float, logistic(x, rows["label"].to_numpy(float))))
