@@ -6,13 +6,16 @@ differ in fewer than (LACK + 1) times as many symbols as there are chunks agree
 each chunk is indexed once for every choice of symbols to leave out, and all such pairs share a key. The number of
 chunks makes it 1 in a million or less that two sets at the threshold share none.
 
-Documents that share keys form families, joined through each key's least member, so no key's pairs are listed. Families
-are then compared by their full sets, large ones in pairs of blocks; a comparison returns a spanning forest of the true
-links, which is all that the components need. Keys, stars and blocks are dealt evenly however large a group is.
+So all pairs under the signature distance are candidates. Documents that share keys form families, joined through each
+key's least member, so no key's pairs are listed. Families are then compared by their full sets, large ones in pairs of
+blocks; a comparison returns a spanning forest of the true links, which is all that the components need. The distance of
+two signatures is not asked for once more before the sets are compared: that could only lose links. Blocks are bounded in
+documents and in shingles, and their pairs are dealt to tasks in turn, however large a group is.
 
 Words are split at white space, A-Z lower-cased. A text with fewer than five words has one shingle, all its words; one
 without words is linked with nothing. Null texts count as empty. Rows without id are linked with nothing and kept.
-Repeated rows are equal sets; they have the same component. Columns beside the id and the text are not read.
+Repeated rows are equal sets; they have the same component. Very long texts count whole. An empty table gives an empty
+result. Columns beside the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ CHUNK = 5  # symbols
 LACK = 1  # symbols that may differ in a chunk
 MISS = 1e-6
 BLOCK, LARGEST_BLOCK, BLOCKS = 250, 4000, 24  # documents in a block; blocks of a family until they grow
+BLOCK_SHINGLES = 2_000_000  # shingles in a block, about, of documents that have fewer
+DENSE = 8_000_000  # cells of a dense matrix
 BROADCAST_IDS = 2_000_000  # ids that a broadcast may have; more are joined by a shuffle
 
 
@@ -102,54 +107,66 @@ def index_keys(sets: DataFrame) -> DataFrame:
 
 
 def linked_forest(values: np.ndarray, bounds: np.ndarray, block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of sets (across: of two blocks only) whose likeness is at least percent."""
+    """Spanning forest of the pairs of sets (across: of two blocks only) whose likeness is at least percent.
+
+    Shingles that several sets hold are columns of dense 0-1 matrices, a part of them at a time; a product of these counts
+    what two sets share. Only the counts of all pairs, two bytes or four each, are kept.
+    """
     n, sizes = len(bounds) - 1, np.diff(bounds)
     _, place, count = np.unique(values[bounds[0] : bounds[-1]], return_inverse=True, return_counts=True)
     column = np.full(len(count), -1)
     column[count > 1] = np.arange(np.count_nonzero(count > 1))
     rows, columns = np.repeat(np.arange(n), sizes), column[place]
     rows, columns = rows[columns >= 0], columns[columns >= 0]
-    shared = np.zeros((n, n), np.float32)
-    step = max(1, 20_000_000 // n)
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    for low in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
-        a, b = np.searchsorted(columns, [low, low + step])
-        part = np.zeros((n, min(step, int(columns[-1]) + 1 - low)), np.float32)
-        part[rows[a:b], columns[a:b] - low] = 1
-        shared += part @ part.T
-    links = 100 * shared.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - shared.astype(np.int64))
-    np.fill_diagonal(links, False)
-    if across:
-        links &= block[:, None] != block[None, :]
-    forest, seen = [], np.zeros(n, bool)
-    for start in np.flatnonzero(links.any(axis=1)):
-        if seen[start]:
-            continue
-        seen[start], todo = True, [int(start)]
-        while todo:
-            at = todo.pop()
-            new = np.flatnonzero(links[at] & ~seen)
-            seen[new] = True
-            forest += [(at, int(x)) for x in new]
-            todo += new.tolist()
+    low = block == block.min()
+    left, right = (np.flatnonzero(low), np.flatnonzero(~low)) if across else (np.arange(n),) * 2
+    if not len(left) or not len(right):
+        return []
+    shared = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, DENSE // n)
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, step):
+        a, b = np.searchsorted(columns, [at, at + step])
+        part = np.zeros((n, min(step, int(columns[-1]) + 1 - at)), np.float32)
+        part[rows[a:b], columns[a:b] - at] = 1
+        for k in range(0, len(left), 500):
+            shared[k : k + 500] += part[left[k : k + 500]] @ part[right].T
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    forest = []
+    for k, x in enumerate(left.tolist()):
+        both = shared[k].astype(np.int64)
+        for y in right[100 * both >= percent * (sizes[x] + sizes[right] - both)].tolist():
+            if x != y and (p := top(x)) != (q := top(y)):
+                root[p] = q
+                forest.append((x, y))
     return forest
 
 
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: a spanning forest, by full sets, of each family's links. members: node, rep, set_hash, family."""
+    """a, b: a spanning forest, by full sets, of each family's links. members: node, rep, set_hash, n_shingles, family."""
     members = materialize(members)
-    sizes = members.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
     block_size = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("size") / BLOCKS)), F.lit(LARGEST_BLOCK))
-    placed = members.join(materialize(sizes.withColumn("blocks", F.ceil(F.col("size") / block_size).cast("int"))), "family")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("size")
+    blocks = F.greatest(F.ceil(F.col("size") / block_size), F.least("size", F.ceil(F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    placed = members.join(materialize(sizes.select("family", blocks.alias("blocks"))), "family").drop("n_shingles")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = materialize(placed)
     if placed.count() <= BROADCAST_IDS:
         placed = F.broadcast(placed)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).alias("text")).join(placed, "rep")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
-    units = texts.withColumn("unit", F.explode(others)).select("family", "unit.low", "unit.high", "block", "node", "set_hash", "text")
-    units = units.repartition(F.col("family"), F.col("low"), F.col("high")).sortWithinPartitions("family", "low", "high")
+    units = texts.withColumn("unit", F.explode(others))
+    turn = F.expr("(unit.high * (unit.high + 1L)) div 2 + unit.low")  # pairs of blocks of a family one after the other
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.pmod(F.xxhash64("family") % 1_000_003 + turn, F.lit(parts)).cast("int")
+    units = units.repartitionById(parts, dealt).select("family", "unit.low", "unit.high", "block", "node", "set_hash", "text").sortWithinPartitions("family", "low", "high")
 
     def compare(rows: pa.Table) -> list[tuple[int, int]]:
         """Links of complete units."""
@@ -202,13 +219,13 @@ def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFr
     size = CHUNK * chunks_for(percent)
     all_sets = materialize(signed(docs, size, id_col, text_col))
     some = all_sets.where("n_shingles > 0 and id is not null")
-    best = some.groupBy("set_hash").agg(F.min(F.struct("id", "signature")).alias("least"))
-    sets = materialize(best.select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("least.id").alias("rep"), F.col("least.signature").alias("signature")))
+    best = some.groupBy("set_hash").agg(F.min(F.struct("id", "signature")).alias("least"), F.max("n_shingles").alias("n_shingles"))
+    sets = materialize(best.select(F.monotonically_increasing_id().alias("node"), "set_hash", F.col("least.id").alias("rep"), F.col("least.signature").alias("signature"), "n_shingles"))
     keys = index_keys(sets)
     hubs = materialize(keys.groupBy("tag", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
     stars = keys.join(hubs, ["tag", "key"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = components(stars)
-    members = sets.select("node", "set_hash", "rep").join(families.withColumnRenamed("root", "family"), "node")
+    members = sets.select("node", "set_hash", "rep", "n_shingles").join(families.withColumnRenamed("root", "family"), "node")
     links = materialize(verified_links(docs, members, percent, id_col, text_col))
     groups = components(links)
     grouped = sets.select("node", "set_hash", "rep").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
