@@ -7,9 +7,10 @@ their shingles up in the sketches; the pairs found are verified on the words of
 
 Words are runs of letters, digits and underscores, lower-cased. An item with fewer than WIDTH words is one shingle: all
 its words, to be found side by side. Null and empty texts, and items without words, match nothing. Repeated documents
-and items are matched one by one (rows of equal ids give equal pairs, kept once). Columns beside ids and texts are not
-read. Items are handled in blocks of bounded size, each broadcast and held against all documents, so a benchmark of any
-size fits.
+and items are matched one by one (rows of equal ids give equal pairs), null ids too. Very long texts are read whole. An
+empty table of documents or items gives an empty result. Columns beside ids and texts are not read, whatever their names.
+Items are handled in blocks of bounded size: the driver holds one block at a time, broadcasts it, has it held against all
+documents, writes what it finds and releases it, so a benchmark of any size fits.
 """
 
 from __future__ import annotations
@@ -102,16 +103,16 @@ class Index:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """Blocks of items of at most block_bytes of text, or one item; read block by block."""
-    blocks, size = [[]], 0
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Blocks of items of at most block_bytes of text, or one item, each when it is asked for; and whether it is the last."""
+    block, size = [], 0
     for r in items.select(F.col(id_col).alias("k"), text_of(text_col).alias("t")).distinct().orderBy("k", "t").toLocalIterator():
         if size and size + len(r["t"]) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["k"], r["t"]))
+            yield block, False
+            block, size = [], 0
+        block.append((r["k"], r["t"]))
         size += len(r["t"])
-    return blocks
+    yield block, True
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -120,8 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     slim = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     schema = T.StructType([slim.schema[id_col], T.StructField("item_id", items.schema[item_id].dataType), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "n_shared"))])
 
-    def against(block: list[tuple[int, str]]) -> DataFrame:
-        index = context.broadcast(Index(block, WIDTH, share))  # block_bytes of text
+    def against(index) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
@@ -139,17 +139,27 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(schema).types
-    pairs = reduce(DataFrame.unionAll, [against(b) for b in item_blocks(items, item_id, item_text, block_bytes)])
+    found = []
+    for block, last in item_blocks(items, item_id, item_text, block_bytes):
+        index = context.broadcast(Index(block, WIDTH, share))  # block_bytes of text
+        found.append(against(index))
+        if not last:
+            found[-1] = materialize(found[-1])
+            index.destroy()
+    pairs = reduce(DataFrame.unionAll, found)
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     context = docs.sparkSession.sparkContext
-    for block in item_blocks(items, item_id, item_text, block_bytes):
+    for block, last in item_blocks(items, item_id, item_text, block_bytes):
         index = context.broadcast(Index(block, WIDTH, share))
         holds = F.pandas_udf(lambda texts, index=index: texts.map(lambda x: bool(index.value.search(x))), T.BooleanType())
         docs = docs.where(~holds(text_of(text_col)))
+        if not last:
+            docs = materialize(docs)
+            index.destroy()
     return docs
 
 
