@@ -1,12 +1,13 @@
 """License notices found by template automata.
 
 A template is licence wording with regions that may be left out, `[ ... ]`, and places that any few words may fill,
-`{n}` (at most n words). It is compiled once into an automaton over words; a document's words are run through it from
+`{n}` (at most n words). Regions may lie in each other. It is compiled once into an automaton over words; a document's words are run through it from
 every place where a template may begin, and a match needs the mandatory wording word for word. Phrases are templates
 without such regions, counted at all their places.
 
 A-Z are lower-cased; words are runs of digits, a-z and non-ASCII characters. Null texts count as empty. A text without
-words has no labels and score 0. Repeated rows are judged one by one. Columns beside the id and the text are not read.
+words has no labels and score 0. Repeated rows and null ids are judged one by one. Very long texts are read whole. An empty
+table gives an empty result. Columns beside the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ TEMPLATES = (
     ("apache-2", "licensed under the apache license version 2 0 [ the license ] you may not use {3} file except in compliance with the license"),
     ("apache-2.0-notice", "licensed under the apache license [ version ] 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [ 1 ] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [ 2 ] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [ 1 ] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [ 2 ] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [ 3 ] neither the name of {8} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("cc-by", "licensed under [ a ] [ the ] creative commons attribution {2} [ international ] license"),
     ("cc-by-nc-4.0", "licensed under [ a ] [ the ] cc by nc 4 0"),
     ("cc-by-sa", "licensed under [ a ] [ the ] cc by sa [ 4 0 ]"),
     ("gpl", "under the [ terms of the ] gnu general public license [ as published by the free software foundation {3} ] version {1} [ of the license ] [ or at your option any later version ]"),
+    ("gpl-notice", "[ this {2} program is free software [ you can redistribute it and or modify it ] ] under the terms of the gnu general public license [ as published by the free software foundation [ inc ] ] either version {1} of the license or at your option any later version"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("lgpl", "under the [ terms of the ] gnu lesser general public license [ as published by the free software foundation {3} ] version {2}"),
     ("mit-notice", "[ this {3} is ] [ released ] [ licensed ] under the mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit-license", "[ the ] mit license [ mit ] [ copyright [ c ] {12} ] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [ including the next paragraph ] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
@@ -49,15 +55,15 @@ class Automaton:
         self.any: list[int | None] = []
         self.free: list[list[int]] = []
         self.mandatory: list[str] = []
-        at, opened = self._state(), None
+        at, opened = self._state(), []
         for item in template.split():
             if item == "[":
-                opened = at
+                opened.append(at)
             elif item == "]":
                 end = self._state()
                 self.free[at].append(end)
-                self.free[opened].append(end)
-                at, opened = end, None
+                self.free[opened.pop()].append(end)
+                at = end
             elif item[0] == "{":
                 end = self._state()
                 for _ in range(int(item[1:-1])):
@@ -71,7 +77,7 @@ class Automaton:
                 nxt = self._state()
                 self.word[at][item] = nxt
                 at = nxt
-                if opened is None:
+                if not opened:
                     self.mandatory.append(item)
         self.end = at
         self.begin = self._reach({0})

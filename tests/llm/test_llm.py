@@ -245,6 +245,14 @@ def test_licenses_agree_with_sql_and_templates(spark, odd, none):
     assert pairs(licenses.license_labels(odd).collect()) == pairs(con.execute(licenses.OP2_SQL).fetchall())
     assert licenses.license_labels(none).count() == 0
     a = licenses.Automaton("a [ b c ] d {2} e")
+    nested = licenses.Automaton("a [ b [ c ] {1} d ] e")
+    assert nested.mandatory == ["a", "e"]
+    for words, end in (("a e", 2), ("a b d e", 4), ("a b c x d e", 6), ("a b c d", -1), ("a c e", -1)):
+        assert nested.match(words.split(), 0) == end, words
+    for label, template in licenses.TEMPLATES:
+        whole = [w for w in template.split() if w[0] not in "[]{"]
+        assert label in licenses.Scanner().scan(" ".join(whole).encode())[4].split(","), label
+        assert len(licenses.Automaton(template).mandatory) < 20 or label not in licenses.Scanner().scan(" ".join(whole[:-1]).encode())[4].split(","), label
     for words, end in (("a d e", 3), ("a b c d e", 5), ("a d x y e", 5), ("a d x y z e", -1), ("a b d e", -1), ("a d e e", 4)):
         assert a.match(words.split(), 0) == end, words
 
@@ -318,6 +326,11 @@ def test_near_duplicates_agree_with_brute_force(spark, odd, none):
     for percent in (85, 80):
         got = {r[0]: (r[1], r[2]) for r in near_dedup.near_duplicates(frame(spark, rows), percent).collect()}
         assert got == brute_groups(rows, percent)
+    with pytest.MonkeyPatch.context() as patch:  # shuffled joins, small blocks and matrices
+        for name, value in (("BROADCAST_IDS", 0), ("BLOCK", 20), ("LARGEST_BLOCK", 30), ("BLOCK_SHINGLES", 3000), ("DENSE", 500)):
+            patch.setattr(near_dedup, name, value)
+        assert {r[0]: (r[1], r[2]) for r in near_dedup.near_duplicates(frame(spark, rows), 80).collect()} == brute_groups(rows, 80)
+        assert near_dedup.drop_near_duplicates(frame(spark, rows), 80).count() == len(set(root for _, root in brute_groups(rows, 80).values()))
     got = near_dedup.near_duplicates(odd, 85).collect()
     assert len(got) == len(ODD) and [r["kept"] for r in got if r["doc_id"] is None] == [True]
     assert near_dedup.near_duplicates(none, 85).count() == 0
@@ -344,6 +357,7 @@ def test_containment_agrees_with_sql(spark, odd, none):
     assert pairs(got.collect()) == want and {(r[0], r[1]) for r in want} >= {(30, 5), (10, 1)}
     small = decontamination.contained_items(docs, items, block_bytes=8)
     assert {(r[0], r[1]) for r in small.collect()} == {(r[0], r[1]) for r in decontamination.contained_items(docs, items).collect()}
+    assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, items, block_bytes=8).select("doc_id").where("doc_id > 0").collect()) == sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, items).where("doc_id > 0").collect())
     left = decontamination.drop_contaminated(docs, items)
     assert left.columns == docs.columns and 30 not in {r["doc_id"] for r in left.collect()}
     assert decontamination.contained_items(none, items).count() == 0
