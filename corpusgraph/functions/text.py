@@ -9,19 +9,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What goes from a TeX source, in this order, and what stands instead.
+TEX_PARTS = (
+    ("%[^\n]*", ""), (r"\\[a-zA-Z]+\*?\[[^\]]*\]\{[^}]*\}", " "), (r"\\[a-zA-Z]+\*?\{[^}]*\}", " "), (r"\\[a-zA-Z]+\*?", " "),
+    ("[{}]", " "), ("\n{3,}", "\n\n"), (" {2,}", " "), (r"^\s+|\s+$", ""),
+)
+
 # The entities that the plain-text job resolves.
 ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+#: Latin letters that lose a diacritic, and what is left of them.
+MARKED = "".join(chr(k) for k in range(0xC0, 0x250) if len(_bare(chr(k))) == 1 and _bare(chr(k)) != chr(k))
+BARE = "".join(map(_bare, MARKED))
+
+
 @F.pandas_udf(StringType())
 def _without_marks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+    return texts.map(lambda t: None if t is None else _bare(t))
 
 
 def without_marks(c: Column) -> Column:
-    """Letters without diacritics. The Python function is evaluated on what isn't ASCII; other rows send null to it."""
-    odd = F.when(c.rlike(r"[^\x00-\x7F]"), c)
-    return F.coalesce(_without_marks(odd), c)
+    """Letters without diacritics. Latin letters are translated natively; the Python function is evaluated on what has
+    other letters or marks (signs of general punctuation aside), and all other rows send null to it."""
+    latin = F.translate(c, MARKED, BARE)
+    odd = F.when(latin.rlike(r"[^\x00-\u024F\u2010-\u2027]"), latin)
+    return F.coalesce(_without_marks(odd), latin)
 
 
 def fold_text(c: str | Column) -> Column:
@@ -63,8 +80,8 @@ def html_to_text(c: str | Column) -> Column:
 
 
 def tex_to_text(c: str | Column) -> Column:
-    """Text without TeX comments, commands and braces; blanks collapsed."""
+    """Text without TeX comments, commands with their arguments, and braces; blanks collapsed."""
     text = F.col(c) if isinstance(c, str) else c
-    text = F.regexp_replace(text, r"(?m)(?<!\\)%.*$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\\[a-zA-Z]+\*?(\[[^\]]*\])?", " "), r"[{}]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    for pattern, instead in TEX_PARTS:
+        text = F.regexp_replace(text, pattern, instead)
+    return text

@@ -132,12 +132,13 @@ def add_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"edge batch refused: {bad['problem']}")
     keys = ["src", "type", "dst"]
-    known = canonical(edges).select(*EDGE)
-    new = _keyed(batch.select(*EDGE)).join(known.select(*keys).distinct(), keys, "left_anti").select(*EDGE)
-    offered = new.withColumn("source", F.lit("forward")).withColumn("turn", F.col("seq") * 2).union(reverses(new).withColumn("source", F.lit("reverse")).withColumn("turn", F.col("seq") * 2 + 1))
-    offered = offered.join(known.select(*keys).distinct(), keys, "left_anti").select(*EDGE, "source", "turn")
-    added = first_per_key(offered, keys, ["turn"]).drop("turn")
-    return edges.select(*EDGE).withColumn("source", F.lit("existing")).unionByName(added)
+    # Rows of both sides meet once by key: an existing edge comes first (turn -1) and hides what the batch offers.
+    known = canonical(edges.select(*EDGE)).select(*keys, F.lit(-1).cast("long").alias("turn"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("confidence"), F.lit("existing").alias("source"))
+    forward = canonical(batch.select(*EDGE)).select(*keys, (F.col("seq") * 2).alias("turn"), "seq", "confidence", F.lit("forward").alias("source"))
+    new = materialize(first_per_key(known.unionByName(forward), keys, ["turn"]).where("turn >= 0"))
+    back = reverses(new.select(*EDGE)).select(*keys, (F.col("seq") * 2 + 1).alias("turn"), "seq", "confidence", F.lit("reverse").alias("source"))
+    added = first_per_key(known.unionByName(new.select(*known.columns)).unionByName(back), keys, ["turn"]).where("turn >= 0")
+    return edges.select(*EDGE).withColumn("source", F.lit("existing")).unionByName(added.select(*EDGE, "source"))
 
 
 def remove_edges(edges: DataFrame, specs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.schema import ENTITY_TYPES
 
+# The shapes of links and numbers, and the mark of a catalog.
 LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 CATALOG_MARK = "<!-- catalog"
@@ -19,19 +20,27 @@ def _lines(text: Column) -> Column:
 
 
 def _with_fences(lines: Column) -> Column:
-    """Lines with fenced: a block ends with the same sign, at least as long; an open one goes on to the end."""
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<n:int,line:string,fenced:boolean>>").alias("out"))
+    """Lines with fenced: a block ends with the same sign, at least as long; an open one goes on to the end.
+
+    Only the fence lines are folded, to spans of lines; each line then asks the spans.
+    """
+    spans = "array<struct<a:int,b:int>>"
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         is_open = acc["open"] != ""
         closes = is_open & (F.substring(x["mark"], 1, 1) == F.substring(acc["open"], 1, 1)) & (F.length(x["mark"]) >= F.length(acc["open"])) & F.trim(x["line"]).rlike(r"^(`+|~+)$")
         after = F.when(closes, F.lit("")).when(is_open, acc["open"]).otherwise(x["mark"])
-        row = F.struct(x["n"].cast("int").alias("n"), x["line"].alias("line"), (is_open | (x["mark"] != "")).alias("fenced"))
-        return F.struct(after.alias("open"), F.array_append(acc["out"], row).alias("out"))
+        span = F.struct(acc["at"].alias("a"), x["n"].cast("int").alias("b"))
+        return F.struct(after.alias("open"), F.when(is_open, acc["at"]).otherwise(x["n"].cast("int")).alias("at"), F.when(closes, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def finish(acc: Column) -> Column:
+        rest = F.struct(acc["at"].alias("a"), F.lit(2**31 - 1).alias("b"))
+        return F.when(acc["open"] != "", F.array_append(acc["out"], rest)).otherwise(acc["out"])
 
-    marks = F.exists(lines, lambda x: x["mark"] != "")
-    plain = F.transform(lines, lambda x: F.struct(x["n"].cast("int").alias("n"), x["line"].alias("line"), F.lit(False).alias("fenced")))
-    return F.when(marks, F.aggregate(lines, start, step)["out"]).otherwise(plain)
+    fences = F.aggregate(F.filter(lines, lambda x: x["mark"] != ""), start, step, finish)
+    inside = lambda n: F.exists(fences, lambda s: (s["a"] <= n) & (n <= s["b"]))
+    return F.transform(lines, lambda x: F.struct(x["n"].cast("int").alias("n"), x["line"].alias("line"), inside(x["n"]).alias("fenced")))
 
 
 def note_lines(notes: DataFrame, text_col: str = "content") -> DataFrame:
@@ -55,7 +64,7 @@ def extract_catalog_refs(index_notes: DataFrame, text_col: str = "content") -> D
     """target: wikilinks and [text](path) after the catalog mark, or in all of a text without one."""
     at = F.instr(text_col, CATALOG_MARK)
     text = F.when(at > 0, F.expr(f"substring({text_col}, instr({text_col}, '{CATALOG_MARK}'))")).otherwise(F.col(text_col))
-    wiki = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), F.trim)
+    wiki = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: F.trim(x))
     plain = F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^\./", ""), r"\.md$", ""))
     return index_notes.select(F.explode(F.concat(wiki, plain)).alias("target")).distinct()
 
@@ -88,7 +97,7 @@ def extract_fields(notes: DataFrame, text_col: str = "content") -> DataFrame:
     rows = notes.where(F.col(text_col).startswith("---")).select("path", F.inline(F.aggregate(lines, start, step)).alias("key", "raw", "below"))
     own = rows.withColumn("v", _value(F.col("raw")))
     strip = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
-    listed = F.transform(F.filter("below", lambda x: x.startswith("- ")), lambda x: strip(F.substring(x, 3, 100_000)))
+    listed = F.transform(F.filter("below", lambda x: x.startswith("- ")), lambda x: strip(F.regexp_replace(x, "^- ", "")))
     mapped = F.map_from_entries(F.transform(F.filter("below", lambda x: x.rlike("^[^-:][^:]*:")), lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]+):", 1)).alias("key"), strip(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1)).alias("value"))))
     empty = (F.col("raw") == "") & (F.size("below") > 0)
     is_list = empty & F.coalesce(F.try_element_at("below", F.lit(1)).startswith("- "), F.lit(False))

@@ -8,12 +8,16 @@ from pyspark.sql import Window
 
 from ..functions import ids
 from ..functions.text import fold_text
+from ..sources.storage import materialize
+
+# The shapes of page citations and quoted spans.
+CITATION = r"\((?:pp?|tr)\.\s*(\d+)(?:-(\d+))?\)"
+QUOTED = '["“”]([^"“”]+)["“”]'
 
 # Classes by rising severity, reviewers in order.
 CLASSES = ("dismiss", "defer", "patch", "decision_needed")
 REVIEWERS = ("blind", "grounding", "external")
 QUOTE_WORDS = 5
-CITATION = r"\((?:pp?|tr)\.\s*(\d+)(?:-(\d+))?\)"
 
 
 def _rank(c: str, names: tuple[str, ...]) -> Column:
@@ -23,25 +27,29 @@ def _rank(c: str, names: tuple[str, ...]) -> Column:
 def segment_pages(docs: DataFrame, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
     """id, page_no, text: parted at `[[page N]]` lines; what stands before the first is ignored, of a repeated page the last counts.
 
-    Each text is parted within its own row, so no window or shuffle over lines is needed.
+    Each text is parted within its own row, so no window or shuffle over lines is needed. A number of more than 64 bits is
+    no page.
     """
-    pieces = F.slice(F.split(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), r"\n(?=\[\[page \d+\]\][ \t\r]*\n)"), 2, 1_000_000)
-    rows = docs.select(F.col(id_col), F.posexplode(pieces).alias("turn", "piece"))
-    page = F.regexp_extract("piece", r"^\[\[page (\d+)\]\]", 1).cast("int")
+    parts = F.split(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), r"\n(?=\[\[page \d+\]\][ \t\r]*\n)")
+    rows = docs.select(F.col(id_col), F.posexplode(parts).alias("turn", "piece")).where("turn > 0")
+    page = F.regexp_extract("piece", r"^\[\[page (\d+)\]\]", 1).try_cast("long")
     body = F.regexp_replace(F.regexp_replace("piece", r"^\[\[page \d+\]\][ \t\r]*(\n|$)", ""), r"\n$", "")
-    return rows.select(id_col, page.alias("page_no"), "turn", body.alias("text")).groupBy(id_col, "page_no").agg(F.max_by("text", "turn").alias("text"))
+    return rows.select(id_col, page.alias("page_no"), "turn", body.alias("text")).where("page_no is not null").groupBy(id_col, "page_no").agg(F.max_by("text", "turn").alias("text"))
 
 
 def extract_quotes(notes: DataFrame, text_col: str = "content") -> DataFrame:
-    """note, line, lo, hi, quote: quoted spans of five words or more on lines with a page citation, outside metadata and fences."""
+    """note, line, lo, hi, quote: quoted spans of five words or more on lines with a page citation, outside metadata and fences.
+
+    A page number of more than 64 bits gives null, a citation that no page answers.
+    """
     lines = F.transform(F.split(text_col, "\n"), lambda s, i: F.struct((i + 1).alias("n"), s.alias("line")))
     dashes = F.transform(F.filter(lines, lambda x: F.trim(x["line"]) == "---"), lambda x: x["n"])
     head = F.when(F.col(text_col).startswith("---") & (F.size(dashes) > 1), F.element_at(dashes, 2)).otherwise(F.lit(0))
     fences = F.transform(F.filter(lines, lambda x: x["line"].rlike(r"^\s*(```|~~~)") & (x["n"] > head)), lambda x: x["n"])
     inside = lambda x: F.size(F.filter(fences, lambda f: f <= x["n"])) % 2 == 1
     some = notes.where(F.col(text_col).rlike(CITATION)).select(F.col("path").alias("note"), F.explode(F.filter(lines, lambda x: x["line"].rlike(CITATION) & (x["n"] > head) & ~inside(x))).alias("x"))
-    a, b = (F.nullif(F.regexp_extract("x.line", CITATION, k), F.lit("")).cast("int") for k in (1, 2))
-    spans = F.filter(F.transform(F.regexp_extract_all("x.line", F.lit('["“”]([^"“”]+)["“”]'), F.lit(1)), F.trim), lambda q: F.size(F.split(q, r"\s+")) >= QUOTE_WORDS)
+    a, b = (F.nullif(F.regexp_extract("x.line", CITATION, k), F.lit("")).try_cast("long") for k in (1, 2))
+    spans = F.filter(F.transform(F.regexp_extract_all("x.line", F.lit(QUOTED), F.lit(1)), lambda x: F.trim(x)), lambda q: F.size(F.split(q, r"\s+")) >= QUOTE_WORDS)
     last = F.coalesce(b, a)
     return some.select("note", F.col("x.n").alias("line"), F.least(a, last).alias("lo"), F.greatest(a, last).alias("hi"), F.explode(spans).alias("quote"))
 
@@ -49,17 +57,28 @@ def extract_quotes(notes: DataFrame, text_col: str = "content") -> DataFrame:
 def verify_quotes(quotes: DataFrame, source_pages: DataFrame) -> DataFrame:
     """quotes (quote_id, source_id, lo, hi, quote) with verdict: OK on the cited pages, NEAR with one page more at either side, else FAIL.
 
-    Pages are folded once; quotes meet only the pages they cite and their neighbours.
+    Ranges are clipped to the pages that a source has, so a range of any width meets real pages alone. Only cited pages and
+    their neighbours are folded. A quote that stands on one page is judged by that page; the pages of a range are joined
+    only for the quotes that no page of it holds, since they may cross a border.
     """
-    pages = source_pages.select("source_id", "page_no", fold_text("text").alias("folded")).where("folded <> ''")
-    wanted = quotes.select("quote_id", "source_id", "lo", "hi", fold_text("quote").alias("needle"))
-    near = wanted.withColumn("page_no", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)))
-    texts = near.join(pages, ["source_id", "page_no"]).groupBy("quote_id", "needle", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("page_no", "folded"))).alias("p"))
-    joined = lambda cond: F.array_join(F.transform(F.filter("p", cond), lambda x: x["folded"]), " ")
-    ok = joined(lambda x: (x["page_no"] >= F.col("lo")) & (x["page_no"] <= F.col("hi"))).contains(F.col("needle"))
-    any_page = joined(lambda x: F.lit(True)).contains(F.col("needle"))
-    judged = texts.select("quote_id", F.when(ok, "OK").when(any_page, "NEAR").otherwise("FAIL").alias("verdict"))
-    return quotes.join(judged, "quote_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("FAIL")))
+    ends = source_pages.groupBy("source_id").agg(F.min("page_no").cast("long").alias("first"), F.max("page_no").cast("long").alias("last"))
+    wanted = quotes.select("quote_id", "source_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), fold_text("quote").alias("needle")).join(ends, "source_id")
+    begin, end = F.greatest("first", F.greatest("lo", F.col("first")) - 1), F.least("last", F.least("hi", F.col("last")) + 1)
+    near = wanted.withColumn("page_no", F.explode(F.when(begin <= end, F.sequence(begin, end)))).drop("first", "last")
+    near = materialize(near)
+    cited = source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no"), "text").join(near.select("source_id", "page_no").distinct(), ["source_id", "page_no"], "left_semi")
+    pages = materialize(cited.select("source_id", "page_no", fold_text("text").alias("folded")).where("folded <> ''"))
+    own = (F.col("page_no") >= F.col("lo")) & (F.col("page_no") <= F.col("hi"))
+    holds = F.col("folded").contains(F.col("needle"))
+    alone = near.join(pages, ["source_id", "page_no"]).groupBy("quote_id").agg(F.max(own & holds).alias("ok"), F.max(holds).alias("near"), F.count("*").alias("n"))
+    alone = materialize(alone)
+    crossing = near.join(alone.where("not ok and n > 1").select("quote_id"), "quote_id", "left_semi").join(pages, ["source_id", "page_no"])
+    texts = crossing.groupBy("quote_id", "needle", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("page_no", "folded"))).alias("p"))
+    joined = lambda cond: F.array_join(F.transform(F.filter("p", cond), lambda x: x["folded"]), " ").contains(F.col("needle"))
+    across = texts.select("quote_id", joined(lambda x: (x["page_no"] >= F.col("lo")) & (x["page_no"] <= F.col("hi"))).alias("ok_across"), joined(lambda x: F.lit(True)).alias("near_across"))
+    both = alone.join(across, "quote_id", "left")
+    verdict = F.when(F.col("ok") | F.coalesce("ok_across", F.lit(False)), "OK").when(F.col("near") | F.coalesce("near_across", F.lit(False)), "NEAR").otherwise("FAIL")
+    return quotes.join(both.select("quote_id", verdict.alias("verdict")), "quote_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("FAIL")))
 
 
 def quote_report(verified: DataFrame, note_col: str = "note") -> DataFrame:

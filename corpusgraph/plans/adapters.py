@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import materialize
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 EDGES = """
@@ -131,11 +133,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+_landed: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the library's tables, written once for each session and folder, as a corpus has it before its queries run."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        _landed[key] = materialize(table(spark, sf_dir, name))
+    return _landed[key]
+
+
 def with_tables(sql: str) -> str:
     """The comparison SQL with the tables it names in front."""
     names, todo = [], [n for n in RULES if re.search(rf"\b{n}\b", sql) or n == "source_pages" and re.search(r"\bquotes\b", sql)]
     for n in todo:
-        names.append(f"{n} as ({duckdb_text(n)})")
+        names.append(f"{n} as materialized ({duckdb_text(n)})")
     sql = sql.strip()
     own = re.match(r"with\s+(recursive\s+)?", sql)
     if not names:

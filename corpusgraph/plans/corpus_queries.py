@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reading, report, verify
-from .adapters import table
+from .adapters import landed, table
 from .registry import query
 
 
 def pages(spark, d):
-    return table(spark, d, "source_pages")
+    return landed(spark, d, "source_pages")
 
 
 @query("p22_document_sizing", "select source_id, count(*) as pages, cast(sum(length(text)) as bigint) as chars, cast(sum(length(text)) // 4 as bigint) as tokens, sum(length(text)) < 32 * count(*) as scanned, count(*) >= 50 or sum(length(text)) // 4 >= 50000 as is_long from source_pages group by source_id")
@@ -31,7 +31,7 @@ select path as note, line, cast(regexp_extract(t, '\\(p\\. (\\d+)\\)', 1) as int
 
 @query("p19_extract_quotes", f"with {QUOTED}")
 def p19(spark, d):
-    return verify.extract_quotes(table(spark, d, "note_texts")).withColumn("line", F.col("line").cast("bigint"))
+    return verify.extract_quotes(table(spark, d, "note_texts")).withColumn("line", F.col("line").cast("bigint")).withColumn("lo", F.col("lo").cast("int")).withColumn("hi", F.col("hi").cast("int"))
 
 
 FOLD = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents(replace(replace(translate({}, '‘’–—', '''''--'), 'đ', 'd'), 'Đ', 'd'))), '-', ' '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checks, graph, report
-from .adapters import table
+from .adapters import landed, table
 from .registry import query
 from .schema import edge_type_rows, sql_values
 
@@ -13,11 +13,11 @@ TYPES = "et as (select * from " + sql_values([(r[0], r[3], r[4], r[5]) for r in
 EXEMPT = "regexp_matches(dst, '^(foundations/.*|outputs/.*|reflections/.*|.*://.*)$')"
 NEEDS = f"reverse is not null and not sym and not terminal and not {EXEMPT}"
 CANON = "select seq, case when sym and src > dst then dst else src end as src, type, case when sym and src > dst then src else dst end as dst, confidence"
-MISSING = f"select f.* from (select e.*, reverse from edges e join et on name = type where {NEEDS}) f where not exists (select 1 from edges r where r.src = f.dst and r.type = f.reverse and r.dst = f.src)"
+MISSING = f"select f.* from (select e.*, reverse from edges e join et on name = type where {NEEDS}) f left join (select distinct src, type, dst from edges) r on r.src = f.dst and r.type = f.reverse and r.dst = f.src where r.src is null"
 
 
 def edges(spark, d):
-    return table(spark, d, "edges")
+    return landed(spark, d, "edges")
 
 
 def notes(spark, d):
@@ -102,9 +102,10 @@ def w03(spark, d):
 
 @query("g01_add_edges", f"""with {TYPES}, have as ({CANON} from edges join et on name = type where seq % 3 <> 0), old as (select * from edges where seq % 3 <> 0),
 batch as (select *, row_number() over (partition by src, type, dst order by seq) as rn from ({CANON} from edges join et on name = type where seq % 3 = 0) x),
-fresh as (select seq, src, type, dst, confidence from batch b where rn = 1 and not exists (select 1 from have h where h.src = b.src and h.type = b.type and h.dst = b.dst)),
+held as materialized (select distinct src, type, dst from have),
+fresh as materialized (select b.seq, b.src, b.type, b.dst, b.confidence from batch b left join held h on h.src = b.src and h.type = b.type and h.dst = b.dst where b.rn = 1 and h.src is null),
 offer as (select *, 'forward' as source, seq * 2 as turn from fresh union all select f.seq, dst, reverse, src, confidence, 'reverse', seq * 2 + 1 from fresh f join et on name = type where {NEEDS}),
-ranked as (select *, row_number() over (partition by src, type, dst order by turn) as rn from offer o where not exists (select 1 from have h where h.src = o.src and h.type = o.type and h.dst = o.dst))
+ranked as (select o.*, row_number() over (partition by o.src, o.type, o.dst order by turn) as rn from offer o left join held h on h.src = o.src and h.type = o.type and h.dst = o.dst where h.src is null)
 select seq, src, type, dst, confidence, 'existing' as source from old union all select seq, src, type, dst, confidence, source from ranked where rn = 1""")
 def g01(spark, d):
     e = edges(spark, d)
@@ -117,7 +118,7 @@ def g02(spark, d):
 
 
 GONE = f"spec as (select distinct src, type, dst from ({CANON} from edges join et on name = type where type in ('uses_concept', 'related_to') and seq % 7 = 0) x), gone as (select src, type, dst from spec union select dst, reverse, src from spec join et on name = type where {NEEDS})"
-KEPT = "select seq, src, type, dst, confidence from (select e.*, case when sym and src > dst then dst else src end as a, case when sym and src > dst then src else dst end as b from edges e join et on name = type) x where not exists (select 1 from gone g where g.src = a and g.type = x.type and g.dst = b)"
+KEPT = "select x.seq, x.src, x.type, x.dst, x.confidence from (select e.*, case when sym and src > dst then dst else src end as a, case when sym and src > dst then src else dst end as b from edges e join et on name = type) x left join gone g on g.src = x.a and g.type = x.type and g.dst = x.b where g.src is null"
 
 
 @query("g03_remove_edges", f"with {TYPES}, {GONE} {KEPT}")

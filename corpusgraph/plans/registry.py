@@ -30,7 +30,7 @@ def sql_of(name: str) -> str:
 
 
 def _load() -> None:
-    from . import corpus_queries, discovery_queries, graph_queries, note_queries  # noqa: F401
+    from . import corpus_queries, discovery_queries, graph_queries, note_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

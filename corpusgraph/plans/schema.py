@@ -48,22 +48,74 @@ ONE_WAY = (
     ("chapters", "themes", "reading", "tagged_with", "appears_in", False),
 )
 
-# Declared fields beside the five that every type requires: key:type, ? for optional, = for the values of an enum.
-BASE_FIELDS = ("id:string", "title:string", "type:string", "created:iso-date", "updated:iso-date")
+# Declared fields, first those that every type has: (key, type, required, allowed values of an enum).
+BASE_FIELDS = (
+    ("id", "string", True, None),
+    ("title", "string", True, None),
+    ("type", "string", True, None),
+    ("created", "iso-date", True, None),
+    ("updated", "iso-date", True, None),
+)
 FIELDS = {
-    "sources": ("authors:array", "year:number", "importance:enum=1,2,3,4,5", "urls:array?", "raw_paths:array?", "provenance:enum=replayable,partial,missing", "confidence:enum?=high,medium,low,unverified", "ingest_status:enum?=drafted,linted,verified,finalized", "verify_status:enum?=passed,findings_pending,drift_detected,skipped,not_applicable", "findings:array?", "external_ids:object?", "sources:array?", "ranking:object?"),
-    "concepts": ("key_sources:array", "related_concepts:array", "confidence:enum?=high,medium,low,unverified"),
-    "people": ("key_sources:array", "affiliations:array?"),
-    "summary": ("covers:array",),
-    "readings": ("source:string", "part:number", "pages:string?"),
-    "foundations": ("aliases:array?",),
-    "topics": ("key_sources:array",),
-    "chapters": ("book:string", "number:number"),
-    "characters": ("book:string", "first_seen:string?"),
-    "themes": ("book:string",),
-    "plot": ("book:string", "up_to_chapter:number"),
-    "reflections": ("related_concepts:array", "related_sources:array", "evolution_count:number"),
-}
+    "sources": (
+        ("authors", "array", True, None),
+        ("year", "number", True, None),
+        ("importance", "enum", True, ("1", "2", "3", "4", "5")),
+        ("urls", "array", False, None),
+        ("raw_paths", "array", False, None),
+        ("provenance", "enum", True, ("replayable", "partial", "missing")),
+        ("confidence", "enum", False, ("high", "medium", "low", "unverified")),
+        ("ingest_status", "enum", False, ("drafted", "linted", "verified", "finalized")),
+        ("verify_status", "enum", False, ("passed", "findings_pending", "drift_detected", "skipped", "not_applicable")),
+        ("findings", "array", False, None),
+        ("external_ids", "object", False, None),
+        ("sources", "array", False, None),
+        ("ranking", "object", False, None),
+    ),
+    "concepts": (
+        ("key_sources", "array", True, None),
+        ("related_concepts", "array", True, None),
+        ("confidence", "enum", False, ("high", "medium", "low", "unverified")),
+    ),
+    "people": (
+        ("key_sources", "array", True, None),
+        ("affiliations", "array", False, None),
+    ),
+    "summary": (
+        ("covers", "array", True, None),
+    ),
+    "readings": (
+        ("source", "string", True, None),
+        ("part", "number", True, None),
+        ("pages", "string", False, None),
+    ),
+    "foundations": (
+        ("aliases", "array", False, None),
+    ),
+    "topics": (
+        ("key_sources", "array", True, None),
+    ),
+    "chapters": (
+        ("book", "string", True, None),
+        ("number", "number", True, None),
+    ),
+    "characters": (
+        ("book", "string", True, None),
+        ("first_seen", "string", False, None),
+    ),
+    "themes": (
+        ("book", "string", True, None),
+    ),
+    "plot": (
+        ("book", "string", True, None),
+        ("up_to_chapter", "number", True, None),
+    ),
+    "reflections": (
+        ("related_concepts", "array", True, None),
+        ("related_sources", "array", True, None),
+        ("evolution_count", "number", True, None),
+    ),
+}
 ENUM_DEFAULTS = (("sources", "provenance", "missing"), ("sources", "confidence", "unverified"), ("concepts", "confidence", "unverified"))
 LEGACY_KEYS = (("slug", "id"), ("date_added", "created"), ("url", "urls"))
 
@@ -80,13 +132,7 @@ def edge_type_rows() -> list[tuple]:
 
 def field_rows() -> list[tuple]:
     """(entity_type, key, field_type, required, allowed)."""
-    out = []
-    for kind, own in FIELDS.items():
-        for spec in (*BASE_FIELDS, *own):
-            key, _, rest = spec.partition(":")
-            kind_of, _, allowed = rest.partition("=")
-            out.append((kind, key, kind_of.rstrip("?"), not kind_of.endswith("?"), allowed.split(",") if allowed else None))
-    return out
+    return [(kind, key, of, required, list(allowed) if allowed else None) for kind, own in FIELDS.items() for key, of, required, allowed in (*BASE_FIELDS, *own)]
 
 
 def edge_types(spark: SparkSession) -> DataFrame:
