@@ -18,6 +18,7 @@ QUOTED = '["“”]([^"“”]+)["“”]'
 CLASSES = ("dismiss", "defer", "patch", "decision_needed")
 REVIEWERS = ("blind", "grounding", "external")
 QUOTE_WORDS = 5
+WIDE = 1000  # pages from which on a cited range asks for the pages that there are, not for each number
 
 
 def _rank(c: str, names: tuple[str, ...]) -> Column:
@@ -64,8 +65,10 @@ def verify_quotes(quotes: DataFrame, source_pages: DataFrame) -> DataFrame:
     ends = source_pages.groupBy("source_id").agg(F.min("page_no").cast("long").alias("first"), F.max("page_no").cast("long").alias("last"))
     wanted = quotes.select("quote_id", "source_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), fold_text("quote").alias("needle")).join(ends, "source_id")
     begin, end = F.greatest("first", F.greatest("lo", F.col("first")) - 1), F.least("last", F.least("hi", F.col("last")) + 1)
-    near = wanted.withColumn("page_no", F.explode(F.when(begin <= end, F.sequence(begin, end)))).drop("first", "last")
-    near = materialize(near)
+    ranged = wanted.withColumn("begin", begin).withColumn("end", end).drop("first", "last").where("begin <= end")
+    listed = ranged.where(F.col("end") - F.col("begin") < WIDE).withColumn("page_no", F.explode(F.sequence("begin", "end")))
+    wide = ranged.where(F.col("end") - F.col("begin") >= WIDE).join(source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no")), "source_id").where("page_no between begin and end")
+    near = materialize(listed.unionByName(wide).drop("begin", "end"))
     cited = source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no"), "text").join(near.select("source_id", "page_no").distinct(), ["source_id", "page_no"], "left_semi")
     pages = materialize(cited.select("source_id", "page_no", fold_text("text").alias("folded")).where("folded <> ''"))
     own = (F.col("page_no") >= F.col("lo")) & (F.col("page_no") <= F.col("hi"))
