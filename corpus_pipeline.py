@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; it is written as Parquet and read
 again for the next. All but the last return the columns of documents; the last returns the packed pieces.
+
+In every stage null and empty texts count as texts without words: no stage but near_dedup drops them, which keeps one row of
+equal ones under one id. Null ids are judged like others. Texts are read whole, however long. Ties in near_dedup go to the
+least id, then to the least set; equal rows leave one. An empty table gives an empty result. Extra columns are carried by
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
