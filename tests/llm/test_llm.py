@@ -413,6 +413,26 @@ def test_pipeline(spark):
     assert not any(index.search(t) for _, t in texts)
 
 
+def test_pipeline_stages_on_odd_rows_and_on_none(spark, odd, none):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    words = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), *(F.lit("clash").alias(c) for c in ("rank", "label", "node")))
+    docs = rows.union(odd).union(frame(spark, [(900, words("b")), (901, words("a")), (901, words("b"))]))
+    for start, empty in ((docs, False), (none, True)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = near_dedup.materialize(stage(spark, kept, sf_dir))
+            assert kept.columns == start.columns, name
+            assert kept.join(start.select("doc_id").distinct(), kept.doc_id.eqNullSafe(start.doc_id), "left_anti").count() == 0
+            if name == "near_dedup" and not empty:
+                assert {(r["doc_id"], r["text"][:2]) for r in kept.where("doc_id in (900, 901)").collect()} <= {(900, "b0"), (901, "a0")}
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+        assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+        assert (kept.count() == 0) == empty
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
