@@ -41,7 +41,7 @@ REST = "(all_blocked - blocked + {s} * (all_prior - prior) / (all_pages - pages)
 OWN_N, REST_N = f"(blocked + allowed + {SMOOTHING}e0)", f"(all_blocked + all_allowed - blocked - allowed + {SMOOTHING}e0)"
 BOTH = f"((own * {OWN_N} + rest * {REST_N}) / ({OWN_N} + {REST_N}))"
 ALIKE = f"abs(own - rest) <= {Z}e0 * sqrt({BOTH} * (1e0 - {BOTH}) * (1e0 / {OWN_N} + 1e0 / {REST_N})) + 1e-9"
-CHILDREN_ALIKE = f"spread - pages <= all_kinds - 1 + {Z}e0 * sqrt(2e0 * (all_kinds - 1)) + 1e-6"
+CHILDREN_ALIKE = f"kinds = all_kinds and spread - pages <= all_kinds - 1 + {Z}e0 * sqrt(2e0 * (all_kinds - 1)) + 1e-6"
 MEAN = "(all_pages / (width * 1e0))"
 COUNT_ALIKE = f"abs(pages - {MEAN}) <= {Z}e0 * sqrt(greatest({MEAN}, squares / width - {MEAN} * {MEAN})) + 1e-6"
 VARIES = f"(width > {MANY} and pages < {RARE}e0 * all_pages) or (width > 1 and {ALIKE} and {CHILDREN_ALIKE} and {COUNT_ALIKE})"
@@ -98,7 +98,7 @@ def generalise(shapes: DataFrame) -> DataFrame:
     around = materialize(around.join(kinds.groupBy(*node).agg(F.count("*").alias("all_kinds")), node))
     shares = salted_join(salted_join(children, materialize(kinds), [*node, "below"]), around.select(*node, "all_pages"), node)
     squares = F.sum(F.expr("pages * (pages * 1e0) * all_pages / kind_pages"))
-    spread = shares.groupBy(*node, "segment").agg(*sums, squares.alias("total")).withColumn("spread", F.expr("total / pages")).drop("total")
+    spread = shares.groupBy(*node, "segment").agg(*sums, squares.alias("total"), F.count("*").alias("kinds")).withColumn("spread", F.expr("total / pages")).drop("total")
     decided = salted_join(spread, around, node).withColumn("own", F.expr(BACKED)).withColumn("rest", F.when(F.col("width") > 1, F.expr(REST)))
     decided = decided.select(*node, "segment", F.when(F.expr(VARIES), F.lit(WILD)).otherwise(F.col("segment")).alias("merged"))
     again = nodes.join(materialize(decided), [*node, "segment"], "left")
@@ -158,7 +158,7 @@ k{k} as (select host, lvl, above, below, sum(pages) as kind_pages from b{k} grou
 l{k} as (select host, lvl, above, segment, {sums} from b{k} group by all),
 a{k} as materialized (select host, lvl, above, count(*) as width, sum(pages * pages * 1e0) as squares, {", ".join(f"sum({c}) as all_{c}" for c in SUMS)} from l{k} group by all),
 m{k} as materialized (select host, lvl, above, count(*) as all_kinds from k{k} group by all),
-t{k} as (select host, lvl, above, segment, {", ".join(f"sum(b.{c}) as {c}" for c in SUMS)}, sum(b.pages * (b.pages * 1e0) * all_pages / kind_pages) / sum(b.pages) as spread
+t{k} as (select host, lvl, above, segment, {", ".join(f"sum(b.{c}) as {c}" for c in SUMS)}, sum(b.pages * (b.pages * 1e0) * all_pages / kind_pages) / sum(b.pages) as spread, count(*) as kinds
   from b{k} b join k{k} using (host, lvl, above, below) join a{k} using (host, lvl, above) group by all),
 c{k} as (select t.*, width, squares, all_kinds, {", ".join(f"all_{c}" for c in SUMS)} from t{k} t join a{k} using (host, lvl, above) join m{k} using (host, lvl, above)),
 o{k} as (select *, {BACKED} as own, case when width > 1 then {REST} end as rest from c{k}),
