@@ -150,30 +150,79 @@ def discovery_citations(phase1: DataFrame, citations: DataFrame, seeds: int = 5,
     return cut.select("id").distinct().join(phase1.select("id").distinct(), "id", "left_anti")
 
 
+def _waves(fresh: DataFrame) -> dict[tuple[str, str], int]:
+    """(item, source): its wave, for turns that must wait for an earlier one that offers a key of theirs; the others are in wave 0.
+
+    Only turns reach the driver: watch items, set by hand, times their sources.
+    """
+    turns = F.array_sort(F.collect_set(F.struct("pos", "item", "place", "source")))
+    shared = fresh.groupBy("dedup_key").agg(turns.alias("t")).where("size(t) > 1")
+    next_to = shared.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("a"), F.expr("slice(t, 2, size(t) - 1)").alias("b"))).alias("p")).select("p.*").distinct()
+    waves: dict[tuple[str, str], int] = {}
+    for r in sorted(next_to.collect(), key=lambda r: tuple(r["b"])):
+        before, after = ((r[c]["item"], r[c]["source"]) for c in "ab")
+        waves[after] = max(waves.get(after, 0), waves.get(before, 0) + 1)
+    return waves
+
+
+def _run_turns(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
+    """item, source, rank, dedup_key, cut: what each turn emits, and (cut) the first new record that its cap leaves."""
+    spark = candidates.sparkSession
+    place = F.array_position("sources", F.col("source")) if "sources" in items.columns else F.lit(0).cast("long")
+    own = candidates.select("item", F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key").join(F.broadcast(items.drop("source", "rank", "dedup_key")), "item")
+    own = own.select("item", "source", "rank", "dedup_key", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("max_new", F.lit(0)).alias("max_new"), F.coalesce(place, F.lit(0)).alias("place"))
+    fresh = own.join(seen.select("item", "dedup_key").distinct(), ["item", "dedup_key"], "left_anti").join(existing.select("dedup_key").distinct(), "dedup_key", "left_anti")
+    fresh = materialize(first_per_key(fresh, ["item", "source", "dedup_key"], ["rank"]).select(*own.columns))
+    most = items.agg(F.max("max_new")).first()[0] or 0
+    waves = _waves(fresh)
+    if waves:
+        wave = spark.createDataFrame([(*turn, n) for turn, n in waves.items()], "item string, source string, wave int")
+        fresh = fresh.join(F.broadcast(wave), ["item", "source"], "left")
+    else:
+        fresh = fresh.withColumn("wave", F.lit(None).cast("int"))
+    order = Window.partitionBy("item", "source").orderBy("rank", "dedup_key")
+    out = None
+    for n in range(max(waves.values(), default=0) + 1):
+        turn = fresh.where(F.coalesce("wave", F.lit(0)) == n)
+        if out is not None:
+            turn = turn.join(out.where("not cut").select("dedup_key"), "dedup_key", "left_anti")
+        # the literal lets each task keep no more than most + 1 records of a turn before they meet
+        first = turn.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most + 1).where(F.col("_turn") <= F.col("max_new") + 1)
+        first = materialize(first.select("item", "source", "rank", "dedup_key", (F.col("_turn") > F.col("max_new")).alias("cut")))
+        out = first if out is None else out.union(first)
+    return out
+
+
 def run_watchlist(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
     """item, dedup_key: what an incremental run emits.
 
-    items: item, pos, max_new; candidates: item, source, rank, dedup_key; seen: item, dedup_key; existing: dedup_key.
-    A key is new if the item has not seen it and no record exists; at most max_new for each item and source; earlier
-    items win, and what an item's cap leaves may be emitted by a later one. Keys offered to one item only do not depend
-    on others: those items are done at once; only items that share a key are taken in order.
+    items: item, pos, max_new (null: 0) and perhaps sources (their order; else by name); candidates: item, source (null: empty),
+    rank, dedup_key; seen: item, dedup_key; existing: dedup_key. A turn is an item's source; turns go by pos, item and source.
+    A key is new if the item has not seen it and no record exists; a turn emits at most max_new, by rank and key, and what its
+    cap leaves may be emitted by a later one. Turns wait only for earlier ones that offer the same key: all others run at once.
+    Candidates of unknown items go; a null key is met once in each turn and nothing has seen it.
     """
-    fresh = candidates.join(seen.select("item", "dedup_key").distinct(), ["item", "dedup_key"], "left_anti").join(existing.select("dedup_key").distinct(), "dedup_key", "left_anti")
-    fresh = fresh.join(F.broadcast(items.select("item", "pos", "max_new")), "item")
-    fresh = materialize(first_per_key(fresh, ["item", "dedup_key"], ["source", "rank"]).select("item", "pos", "source", "rank", "dedup_key", "max_new"))
-    shared = fresh.groupBy("dedup_key").agg(F.countDistinct("item").alias("n")).where("n > 1")
-    tangled = [r["item"] for r in fresh.join(shared, "dedup_key", "left_semi").select("item", "pos").distinct().orderBy("pos").collect()]  # watch items are set by hand
-    alone = cap_new(fresh.where(~F.col("item").isin(tangled)), F.col("max_new"), ["item", "source"], ["rank", "dedup_key"]).select("item", "dedup_key")
-    out = alone
-    taken = None
-    for item in tangled:
-        own = fresh.where(F.col("item") == item)
-        if taken is not None:
-            own = own.join(taken, "dedup_key", "left_anti")
-        new = materialize(cap_new(own, F.col("max_new"), ["item", "source"], ["rank", "dedup_key"]).select("item", "dedup_key"))
-        taken = new.select("dedup_key") if taken is None else taken.union(new.select("dedup_key"))
-        out = out.union(new)
-    return out
+    return _run_turns(items, candidates, seen, existing).where("not cut").select("item", "dedup_key")
+
+
+def watch_statuses(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
+    """item, source, rank, dedup_key, status: new, duplicate, or left (from the first new record on that a turn's cap leaves).
+
+    Arguments as in run_watchlist; equal rows count once. discovery_summary counts the statuses, watch_seen gives the next seen set.
+    """
+    met = _run_turns(items, candidates, seen, existing)
+    known = candidates.join(F.broadcast(items.select("item")), "item", "left_semi")
+    offered = known.select("item", F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key").distinct()
+    stop = met.where("cut").select("item", "source", F.struct("rank", "dedup_key").alias("_stop"))
+    new = met.where("not cut").select(F.col("item").alias("_item"), F.col("source").alias("_source"), F.col("rank").alias("_rank"), F.col("dedup_key").alias("_key"))
+    same = (F.col("item") == F.col("_item")) & (F.col("source") == F.col("_source")) & F.col("dedup_key").eqNullSafe(F.col("_key")) & F.col("rank").eqNullSafe(F.col("_rank"))
+    status = F.when(F.col("_item").isNotNull(), "new").when(F.struct("rank", "dedup_key") >= F.col("_stop"), "left").otherwise("duplicate")
+    return offered.join(stop, ["item", "source"], "left").join(new, same, "left").select("item", "source", "rank", "dedup_key", status.alias("status"))
+
+
+def watch_seen(seen: DataFrame, statuses: DataFrame) -> DataFrame:
+    """item, dedup_key: what the items have seen after the run: all they met before their caps, new or not."""
+    return seen.select("item", "dedup_key").union(statuses.where("status <> 'left'").select("item", "dedup_key")).distinct()
 
 
 def discovery_summary(run: DataFrame) -> DataFrame:

@@ -155,6 +155,15 @@ def d05(spark, d):
     return discovery.run_watchlist(items, own.drop("k"), own.where("k % 9 = 0").select("item", "dedup_key"), own.where("k % 13 = 0").select("dedup_key"))
 
 
+@query("d05_watch_summary", "with c as (select item, source, k, k % 9 = 0 or k % 13 = 0 as known from candidates), r as (select *, sum(case when known then 0 else 1 end) over (partition by item, source order by k rows unbounded preceding) as n from c) select item, source, count(*) as fetched, cast(sum(case when n <= 5 and not known then 1 else 0 end) as bigint) as fresh, cast(sum(case when n <= 5 and known then 1 else 0 end) as bigint) as duplicates from r group by rollup (item, source)")
+def d05_summary(spark, d):
+    """The summary of d05's run: what comes after the first new record that a cap leaves is neither new nor a duplicate."""
+    own = candidates(spark, d).select("item", "source", F.col("k").alias("rank"), F.col("id").alias("dedup_key"))
+    items = table(spark, d, "watch_items").select("item", F.regexp_replace("item", "[^0-9]", "").cast("int").alias("pos"), "max_new")
+    found = discovery.watch_statuses(items, own, own.where("rank % 9 = 0").select("item", "dedup_key"), own.where("rank % 13 = 0").select("dedup_key"))
+    return discovery.discovery_summary(found)
+
+
 @query("f05_exclude_known", "select id from candidates where not (k % 3 = 0 and k % 2 = 0) and not (k % 3 = 1 and k % 5 = 0)")
 def f05(spark, d):
     own = candidates(spark, d).withColumn("ids", F.expr("case k % 3 when 0 then map('arxiv', '2401.' || (10000 + k)) else cast(map() as map<string,string>) end"))
@@ -221,6 +230,31 @@ def p21(spark, d):
     return both.select("id", "source", "title", "citations", "year")
 
 
+# How each provider names what it gives, as expressions over candidates.
+LANDED = {
+    "arxiv": {"id": "'2401.' || k", "title": "title", "summary": "abstract", "published": "'2020-01-02T00:00:00Z'"},
+    "s2": {"paperId": "id", "title": "title", "abstract": "abstract", "citationCount": "citations", "year": "year"},
+    "openalex": {"id": "'W' || k", "display_name": "title", "cited_by_count": "citations", "publication_date": "year || '-03-01'"},
+    "core": {"id": "k", "title": "title", "abstract": "abstract", "year": "year"},
+    "unpaywall": {"doi": "'10.1000/a' || k", "title": "title", "year": "year"},
+    "wikipedia": {"pageid": "k", "title": "title", "extract": "abstract"},
+    "feed": {"link": "'https://x.org/' || k", "title": "title", "summary": "abstract", "updated": "'Mon, 02 Jan 2023 00:00:00 GMT'"},
+}
+
+
+@query("p21_all_providers", """select case k % 7 when 0 then '2401.' || k when 1 then id when 2 then 'W' || k when 3 then cast(k as varchar) when 4 then '10.1000/a' || k when 5 then cast(k as varchar) else 'https://x.org/' || k end as id,
+case k % 7 when 0 then 'arxiv' when 1 then 's2' when 2 then 'openalex' when 3 then 'core' when 4 then 'unpaywall' when 5 then 'wikipedia' else 'feed' end as source, trim(title) as title,
+case when k % 7 not in (2, 4) then abstract end as abstract, cast(case k % 7 when 0 then 2020 when 5 then null when 6 then 2023 else year end as int) as year, cast(case when k % 7 in (1, 2) then citations end as bigint) as citations from candidates""")
+def p21_all(spark, d):
+    """All candidates, dealt over the seven providers in their landed forms."""
+    own, out = candidates(spark, d), None
+    for n, (provider, fields) in enumerate(LANDED.items()):
+        raw = own.where(F.col("k") % 7 == n).select(*(F.expr(e).alias(c) for c, e in fields.items()))
+        common = discovery.normalize_candidates(raw, provider).select("id", "source", "title", "abstract", "year", "citations")
+        out = common if out is None else out.unionByName(common)
+    return out
+
+
 CANON = "'https://' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || case when regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') = '' then '/' else regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') end || case when url like '%page=2%' then '?page=2' else '' end"
 
 
