@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP5_SQL, op5_benchmark_containment
+from .divergence import OP11_SQL, op11_source_divergence
 from .fingerprints import op6_multiset_fingerprints
 from .licenses import OP2_SQL, op2_license_templates
 from .near_dedup import OP7_SQL, op7_near_duplicates
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_toxicity": op9_toxicity,
         "op10_url_templates": op10_url_templates,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op10_url_templates": OP10_SQL}
+    return {"op2_license_templates": OP2_SQL, "op5_benchmark_containment": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op10_url_templates": OP10_SQL, "op11_source_divergence": OP11_SQL}
