@@ -39,27 +39,38 @@ CHUNK = 1024  # terms of a tile, about
 HELD = 300_000  # counts that a task holds before it hands them on
 
 
-def collapsed(docs: DataFrame) -> DataFrame:
-    """lang, digest, sources (source, m), text: one row for each text of a language; docs: lang, source, text."""
+def numbered_groups(docs: DataFrame) -> DataFrame:
+    """lang, source, at: each group that occurs, with its place among the language's sources; docs: lang, source."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # as many rows as a language has sources
+    return docs.select("lang", "source").distinct().withColumn("at", place)
+
+
+def collapsed(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, digest, sources (at, m), text: one row for each text of a language; docs: lang, source, text."""
     keyed = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
     many = keyed.groupBy("lang", "digest", "source").agg(F.count("*").alias("m"))  # hot texts shrink in the tasks that read them
-    sources = many.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "m")).alias("sources"))
+    sources = many.join(groups.select("lang", "source", "at"), ["lang", "source"]).groupBy("lang", "digest").agg(F.collect_list(F.struct("at", "m")).alias("sources"))
     return keyed.groupBy("lang", "digest").agg(F.any_value("text").alias("text")).join(sources, ["lang", "digest"])
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: partial sums of occurrences and documents of each source, as collapsed gives the texts."""
+    """lang, term, held (at, n, docs): partial sums of occurrences and documents of each source, one row a task and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, sums, size = cutter(digits=False), {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), held in sums.items():
-                terms = list(held)
-                for at in range(0, len(terms), 50_000):
-                    part = terms[at : at + 50_000]
-                    n, docs = zip(*map(held.__getitem__, part))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            for lang, sources in sums.items():
+                at = np.repeat(list(sources), [len(held) for held in sources.values()]).astype(np.int32)
+                numbers = np.array([x for held in sources.values() for x in held.values()], np.int64).reshape(-1, 2)
+                terms = pa.array([t for held in sources.values() for t in held], pa.binary()).dictionary_encode()
+                codes = terms.indices.to_numpy()
+                order = np.argsort(codes, kind="stable")
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms.dictionary)))]).astype(np.int32)
+                fields = pa.StructArray.from_arrays([pa.array(at[order]), pa.array(numbers[order, 0]), pa.array(numbers[order, 1])], names=["at", "n", "docs"])
+                whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(terms.dictionary)), terms.dictionary, pa.ListArray.from_arrays(bounds, fields)], names=["lang", "term", "held"])
+                for at_row in range(0, whole.num_rows, 20_000):
+                    yield whole.slice(at_row, 20_000)
             sums.clear()
 
         for batch in batches:
@@ -67,7 +78,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
             for lang, sources, text in zip(*columns):
                 counts = Counter(cut(text.as_py()))
                 for s in sources:
-                    m, held = s["m"], sums.setdefault((lang, s["source"]), {})
+                    m, held = s["m"], sums.setdefault(lang, {}).setdefault(s["at"], {})
                     size -= len(held)
                     for term, k in counts.items():
                         n, docs = held.get(term, (0, 0))
@@ -78,13 +89,17 @@ def term_counts(texts: DataFrame) -> DataFrame:
                         size = 0
         yield from flush()
 
-    return texts.select("lang", "sources", "text").mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    return texts.select("lang", "sources", "text").mapInArrow(run, "lang string, term binary, held array<struct<at:int,n:long,docs:long>>")
 
 
 def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, term, total, postings (source, n): the terms of at least so many documents of a language."""
-    counts = term_counts(texts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("postings"))
+    """lang, term, total, postings (at, n): the terms of at least so many documents of a language.
+
+    A term's partial sums, a row for each task that met it, are dealt by language and term once; both sums follow there.
+    """
+    dealt = term_counts(texts).repartition("lang", "term").select("lang", "term", F.inline("held"))
+    counts = dealt.groupBy("lang", "term", "at").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("at", "n")).alias("postings"))
     return by_term.where(F.col("docs") >= least_docs).select("lang", F.col("term").cast("string").alias("term"), "total", "postings")
 
 
@@ -94,18 +109,17 @@ def share(n: str, total: str, v: str) -> Column:
     return F.expr(f"1 + ({big(f'{n} + {SMOOTH}')} * {SCALE}) div nullif({big(total)} + {SMOOTH} * {big(v)}, 0)")
 
 
-def group_sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, source, at, total, v, all_total, p0: each occurring group, its place among the language's sources, and its sums."""
-    of_source = kept.select("lang", F.inline("postings")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+def group_sizes(groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source, at, total, v, all_total, p0: each group with its sums, those of its language, and its least share."""
+    of_source = kept.select("lang", F.inline("postings")).groupBy("lang", "at").agg(F.sum("n").alias("total"))
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all_total"))
-    groups = docs.select("lang", "source").distinct().join(of_source, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # as many rows as a language has sources
-    return groups.withColumn("at", place).withColumn("p0", share("0", "total", "v"))
+    sized = groups.join(of_source, ["lang", "at"], "left").join(of_lang, "lang", "left").na.fill(0)
+    return sized.withColumn("p0", share("0", "total", "v"))
 
 
 def top_terms(kept: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, item, value, rank: the terms whose share in the source is furthest above the language's."""
-    held = kept.select("lang", "term", F.col("total").alias("lang_n"), F.inline("postings")).join(groups, ["lang", "source"])
+    held = kept.select("lang", "term", F.col("total").alias("lang_n"), F.inline("postings")).join(groups, ["lang", "at"])
     above = held.select("lang", "source", F.col("term").alias("item"), (share("n", "total", "v") - share("lang_n", "all_total", "v")).alias("value")).where("value > 0")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")  # ranks are cut in each task first
     return above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -138,7 +152,7 @@ def source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value, rank: every other source of the language by its distance, the sum over all kept terms."""
     chunks = (F.floor(F.col("v") / CHUNK) + 1).cast("int")
     block = F.floor(F.col("at") / BLOCK).cast("int")
-    held = kept.select("lang", "term", F.inline("postings")).join(groups, ["lang", "source"])
+    held = kept.select("lang", "term", F.inline("postings")).join(groups, ["lang", "at"])
     cells = held.select("lang", "at", "p0", "v", "term", share("n", "total", "v").alias("p"), F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     empty = groups.select("lang", "at", F.coalesce("p0", F.lit(1)).alias("p0"), "v", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     blocks = groups.groupBy("lang").agg((F.floor(F.max("at") / BLOCK) + 1).cast("int").alias("blocks"))
@@ -155,8 +169,9 @@ def source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (pair, term), item, value, rank of every group of lang and source that occurs."""
     own = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    kept = materialize(kept_terms(collapsed(own), least_docs))
-    groups = materialize(group_sizes(own, kept))
+    groups = materialize(numbered_groups(own))
+    kept = materialize(kept_terms(collapsed(own, groups), least_docs))
+    groups = materialize(group_sizes(groups, kept))
     out = [part.select("lang", "source", F.lit(name).alias("part"), "item", "value", "rank") for name, part in (("pair", source_distances(kept, groups)), ("term", top_terms(kept, groups, top)))]
     return out[0].unionByName(out[1])
 
