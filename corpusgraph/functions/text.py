@@ -33,19 +33,21 @@ def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _bare(t))
 
 
-def without_marks(c: Column) -> Column:
-    """Letters without diacritics. Latin letters are translated natively; the Python function is evaluated on what has
-    other letters or marks (signs of general punctuation aside), and all other rows send null to it."""
-    latin = F.translate(c, MARKED, BARE)
-    odd = F.when(latin.rlike(r"[^\x00-\u024F\u2010-\u2027]"), latin)
-    return F.coalesce(_without_marks(odd), latin)
+def without_marks(c: Column, signs: str = "", instead: str = "") -> Column:
+    """Letters without diacritics, and each of some signs (below U+0250 or in general punctuation) as another one.
+
+    ASCII texts stay as they are. Latin letters are translated natively; the Python function is evaluated on texts that have
+    other letters or marks (general punctuation aside), and all other rows send null to it.
+    """
+    latin = F.translate(c, MARKED + signs, BARE + instead)
+    odd = F.when(c.rlike(r"[^\x00-\u024F\u2010-\u2027]"), latin)
+    return F.coalesce(_without_marks(odd), F.when(c.rlike(r"[^\x00-\x7F]"), latin).otherwise(c))
 
 
 def fold_text(c: str | Column) -> Column:
     """Lower case without diacritics and punctuation; dashes and white space are single blanks."""
     text = F.col(c) if isinstance(c, str) else c
-    text = without_marks(F.translate(text, "‘’–—đĐ", "''--dd"))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "-", " "), "[^a-z0-9 ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(without_marks(text, "‘’–—đĐ", "''--dd")), "[^a-z0-9]+", " "))
 
 
 def slug(c: str | Column, rule: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,15 +43,16 @@ def check_required(notes: DataFrame, note_fields: DataFrame) -> DataFrame:
     return finding(missing, "L01", "path", F.concat(F.lit("missing "), "key"), derivable)
 
 
-def value_is_valid() -> Column:
-    """Whether a metadata value (kind, str, num) has its declared type (field_type, allowed)."""
-    text = (F.col("kind") == "string") & (F.trim("str") != "TODO")
-    as_text = F.when(F.col("kind") == "number", F.when(F.col("num") == F.floor("num"), F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))).otherwise(F.col("str"))
+def value_is_valid(of=F.col) -> Column:
+    """Whether a metadata value (kind, str, num) has its declared type (field_type, allowed); of gives each of them."""
+    kind, said, num, field_type, allowed = (of(c) for c in ("kind", "str", "num", "field_type", "allowed"))
+    text = (kind == "string") & (F.trim(said) != "TODO")
+    as_text = F.when(kind == "number", F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string"))).otherwise(said)
     return (
-        F.when(F.col("field_type") == "string", text).when(F.col("field_type") == "number", (F.col("kind") == "number") & ~F.isnan("num"))
-        .when(F.col("field_type") == "array", F.col("kind") == "array").when(F.col("field_type") == "object", F.col("kind") == "object")
-        .when(F.col("field_type") == "iso-date", (F.col("kind") == "string") & F.col("str").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-        .when(F.col("field_type") == "enum", F.col("kind").isin("string", "number") & F.array_contains("allowed", as_text))
+        F.when(field_type == "string", text).when(field_type == "number", (kind == "number") & ~F.isnan(num))
+        .when(field_type == "array", kind == "array").when(field_type == "object", kind == "object")
+        .when(field_type == "iso-date", (kind == "string") & said.rlike(r"^\d{4}-\d{2}-\d{2}$"))
+        .when(field_type == "enum", kind.isin("string", "number") & F.array_contains(allowed, as_text))
     )
 
 
@@ -186,36 +189,106 @@ def check_dangling_edges(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return finding(ends.join(notes.select("slug").distinct(), "slug", "left_anti"), "L17", "src", F.concat_ws(" ", F.lit("dangling"), "slug", "type"))
 
 
-#: Each check as a function of the corpus, a dict of tables by name.
-RUNS = {
-    "L01": lambda c: check_required(c["notes"], c["note_fields"]), "L02": lambda c: check_types(c["notes"], c["note_fields"]), "L03": lambda c: check_slug_style(c["notes"]),
-    "L04": lambda c: check_orphans(c["notes"], c["links"]), "L05": lambda c: check_broken_links(c["links"], c["notes"]), "L06": lambda c: check_missing_reverse(c["edges"]),
-    "L07": lambda c: check_symmetric_duplicates(c["edges"]), "L08": lambda c: check_edge_confidence(c["edges"], c.get("needing")), "L09": lambda c: check_catalog(c["notes"], c["catalog_refs"]),
-    "L10": lambda c: check_alias_conflicts(c["foundations"]), "L11": lambda c: check_confidence(c["notes"], c["note_fields"]), "L12": lambda c: check_raw_paths(c["note_fields"], c["files"]),
-    "L13": lambda c: check_id_coverage(c["sources"]), "L14": lambda c: check_id_validity(c["sources"]), "L16": lambda c: check_id_mismatch(c["sources"]), "L17": lambda c: check_dangling_edges(c["edges"], c["notes"]),
-}
-
-
-class _Written(dict):
-    """The tables of a corpus, each written to shared storage when it is first asked for."""
-
-    def __init__(self, corpus: dict[str, DataFrame]):
-        super().__init__()
-        self.corpus = corpus
-
-    def __missing__(self, name: str) -> DataFrame:
-        self[name] = materialize(self.corpus[name])
-        return self[name]
+def fused_edge_checks(edges: DataFrame, needing: DataFrame | None, wanted: set[str]) -> DataFrame:
+    """L06, L07 and L08 in one pass: equal edges are summed, then the edges of a pair of ends meet in one row and decide.
 
-    def get(self, name: str, default: DataFrame | None = None) -> DataFrame | None:
-        return self[name] if name in self.corpus else default
+    A pair has no more different edges than there are types, both ways.
+    """
+    spark = edges.sparkSession
+    asked = edge_types(spark).where("false").select(F.col("name").alias("type")) if needing is None else needing.select("type").distinct()
+    typed = _typed(edges).join(F.broadcast(asked.withColumn("asked", F.lit(True))), "type", "left")
+    bad = F.col("asked") & ~F.coalesce(F.col("confidence").isin(*EDGE_CONFIDENCE), F.lit(False))
+    facts = [F.any_value(F.col("reverse")).alias("reverse"), F.any_value(_needs_reverse()).alias("needs"), F.any_value("symmetric").alias("symmetric")]
+    each = typed.groupBy("src", "type", "dst").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), *facts)
+    pair = each.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.collect_list(F.struct("src", "type", "dst", "n", "bad", "reverse", "needs", "symmetric")).alias("all"))
+
+    def decide(e: Column) -> Column:
+        back = lambda kind: F.exists("all", lambda x: (x["src"] == e["dst"]) & (x["type"] == kind) & (x["dst"] == e["src"]))
+        missing = F.when(F.coalesce(e["needs"], F.lit(False)) & ~back(e["reverse"]), e["n"]).otherwise(F.lit(0).cast("long"))
+        both = (e["src"] != e["dst"]) & back(e["type"])
+        twice = F.when(F.coalesce(e["symmetric"], F.lit(False)), F.when(both, e["n"]).otherwise(e["n"] - 1)).otherwise(F.lit(0).cast("long"))
+        said = {
+            "L06": (missing, F.concat_ws(" ", F.lit("missing"), e["dst"], e["reverse"], e["src"]), True), "L07": (twice, F.concat_ws(" ", F.lit("duplicate"), e["src"], e["type"], e["dst"]), True),
+            "L08": (e["bad"], F.concat_ws(" ", F.lit("needs confidence"), e["src"], e["type"], e["dst"]), False),
+        }
+        return F.array(*(F.struct(F.lit(c).alias("check_id"), e["src"].alias("file"), message.alias("message"), F.lit(fixable).alias("fixable"), n.alias("n")) for c, (n, message, fixable) in said.items() if c in wanted))
+
+    found = pair.select(F.explode(F.flatten(F.transform("all", decide))).alias("x")).select("x.*").where("n > 0").withColumn("copy", F.explode(F.expr("sequence(1, n)")))
+    return found.select("check_id", F.lit("error").alias("severity"), "fixable", "file", F.lit(None).cast("int").alias("line"), "message")
+
+
+def fused_field_checks(notes: DataFrame, note_fields: DataFrame, wanted: set[str]) -> DataFrame:
+    """L01, L02 and L11 in one pass: a note meets all of its fields in one row and the declarations of its type."""
+    spark = notes.sparkSession
+    defs = field_defs(spark).join(enum_defaults(spark).select("entity_type", "key", F.lit(True).alias("has_default")), ["entity_type", "key"], "left")
+    defs = defs.groupBy("entity_type").agg(F.collect_list(F.struct("key", "field_type", "required", "allowed", "has_default")).alias("defs"))
+    fields = note_fields.where(_present()).groupBy("path").agg(F.collect_list(F.struct("key", "kind", "str", "num", "items")).alias("fields"))
+    whole = notes.select("path", "entity_type").join(fields, "path", "left").join(F.broadcast(defs), "entity_type", "left")
+    none = lambda c, like: F.coalesce(F.col(c), F.slice(like, 1, 0))
+    whole = whole.withColumns({"fields": none("fields", F.array(F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("kind", "string"), ("str", "string"), ("num", "double"), ("items", "array<string>")))))), "defs": F.coalesce("defs", F.array().cast(defs.schema["defs"].dataType))})
+    said = lambda check, severity, fixable, message: F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), fixable.alias("fixable"), message.alias("message"))
+    has = lambda key: F.exists("fields", lambda x: x["key"] == key)
+    parts = []
+    if "L01" in wanted:
+        derivable = lambda d: d["field_type"].isin("array", "object", "iso-date") | ((d["field_type"] == "string") & d["key"].isin("id", "type", "title")) | F.coalesce(d["has_default"], F.lit(False))
+        parts.append(F.transform(F.filter("defs", lambda d: d["required"] & ~has(d["key"])), lambda d: said("L01", "error", derivable(d), F.concat(F.lit("missing "), d["key"]))))
+    if "L02" in wanted:
+        joined = lambda d, x: F.coalesce(value_is_valid(lambda c: d[c] if c in ("field_type", "allowed") else x[c]), F.lit(False))
+        wrong = F.flatten(F.transform("defs", lambda d: F.filter("fields", lambda x: (x["key"] == d["key"]) & ~joined(d, x))))
+        parts.append(F.transform(wrong, lambda x: said("L02", "error", F.lit(False), F.concat(F.lit("invalid "), x["key"]))))
+        for old, new in LEGACY_KEYS:
+            # valid values of the new key; each old value is a warning for each of them, or one if there is none
+            news = F.flatten(F.transform(F.filter("defs", lambda d: d["key"] == new), lambda d: F.filter("fields", lambda x: (x["key"] == new) & joined(d, x))))
+            removable = F.transform(news, lambda y: F.coalesce(y["items"], F.array(y["str"])))
+            removable = F.when(F.size(removable) > 0, removable).otherwise(F.array(F.lit(None).cast("array<string>")))
+            warn = lambda x: F.transform(removable, lambda held: said("L02", "warning", F.coalesce(F.array_contains(held, x["str"]), F.lit(False)), F.lit(f"legacy {old}")))  # noqa: E731, B023
+            parts.append(F.flatten(F.transform(F.filter("fields", lambda x: x["key"] == old), warn)))
+    if "L11" in wanted:
+        lacking = F.col("entity_type").isin("sources", "concepts") & ~has(F.lit("confidence"))
+        parts.append(F.when(lacking, F.array(said("L11", "warning", F.lit(False), F.lit("confidence missing")))).otherwise(F.slice(F.array(said("L11", "warning", F.lit(False), F.lit(""))), 1, 0)))
+    return whole.select("path", F.explode(F.concat(*parts)).alias("x")).select("x.check_id", "x.severity", "x.fixable", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), "x.message")
+
+
+def fused_id_checks(sources: DataFrame, wanted: set[str]) -> DataFrame:
+    """L13, L14 and L16 in one pass: the ids that urls imply meet the declared ones by note and namespace."""
+    implied = derived_ids(sources).select("path", "ns", F.col("value").alias("implied"))
+    both = implied.join(_declared(sources).select("path", "ns", "value", "id", "valid"), ["path", "ns"], "full")
+    named = F.concat("ns", F.lit("="))
+    rules = {
+        "L13": (F.col("value").isNull(), F.concat(F.lit("missing "), named, "implied"), "warning"), "L14": (~F.col("valid"), F.concat(F.lit("invalid "), named, "value"), "error"),
+        "L16": (F.col("valid") & (F.col("id") != F.col("implied")), F.concat(named, "id", F.lit(" but "), "implied"), "warning"),
+    }
+    found = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(c).alias("check_id"), F.lit(severity).alias("severity"), message.alias("message"))) for c, (cond, message, severity) in rules.items() if c in wanted)))
+    return both.select("path", F.explode(found).alias("x")).select("x.check_id", "x.severity", F.lit(False).alias("fixable"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), "x.message")
+
+
+#: Groups of checks that are decided together, each with the tables it reads.
+FUSED = {
+    ("L06", "L07", "L08"): (("edges",), lambda c, w: fused_edge_checks(c["edges"], c.get("needing"), w)),
+    ("L01", "L02", "L11"): (("notes", "note_fields"), lambda c, w: fused_field_checks(c["notes"], c["note_fields"], w)),
+    ("L13", "L14", "L16"): (("sources",), lambda c, w: fused_id_checks(c["sources"], w)),
+}
+#: The others, each with the tables it reads.
+SINGLE = {
+    "L03": (("notes",), lambda c: check_slug_style(c["notes"])), "L04": (("notes", "links"), lambda c: check_orphans(c["notes"], c["links"])), "L05": (("links", "notes"), lambda c: check_broken_links(c["links"], c["notes"])),
+    "L09": (("notes", "catalog_refs"), lambda c: check_catalog(c["notes"], c["catalog_refs"])), "L10": (("foundations",), lambda c: check_alias_conflicts(c["foundations"])),
+    "L12": (("note_fields", "files"), lambda c: check_raw_paths(c["note_fields"], c["files"])), "L17": (("edges", "notes"), lambda c: check_dangling_edges(c["edges"], c["notes"])),
+}
 
 
-def run_checks(corpus: dict[str, DataFrame], checks: list[str] | None = None) -> DataFrame:
+def run_checks(corpus: dict[str, DataFrame], checks: list[str] | None = None, stored: Collection[str] = ()) -> DataFrame:
     """The findings of the named checks, or of all.
 
     corpus: notes, note_fields, links (resolved), edges, catalog_refs, foundations, files, sources (path, urls, external_ids),
-    and needing if some edge types need confidence. Only the tables of the named checks are read; each is written once.
+    and needing if some edge types need confidence. Checks that look at the same things are decided in one pass. Only the
+    tables of the named checks are read; those that more than one pass reads are written once, unless they are stored
+    already (stored: their names).
     """
-    tables = _Written(corpus)
-    return reduce(DataFrame.unionByName, [RUNS[c](tables) for c in (CHECKS if checks is None else checks)])
+    wanted = set(CHECKS if checks is None else checks)
+    if not wanted or wanted - set(CHECKS):
+        raise ValueError(f"no checks, or unknown ones: {sorted(wanted - set(CHECKS))}")
+    runs = [(tables, lambda c, f=f, w=wanted & set(group): f(c, w)) for group, (tables, f) in FUSED.items() if wanted & set(group)]
+    runs += [SINGLE[c] for c in SINGLE if c in wanted]
+    uses = Counter(t for tables, _ in runs for t in tables)
+    tables = {name: materialize(df) if uses[name] > 1 and name not in stored else df for name, df in corpus.items() if uses[name] or name == "needing"}
+    return reduce(DataFrame.unionByName, [f(tables) for _, f in runs])

@@ -5,6 +5,7 @@ Candidates have id, source, title, abstract, citations, year; other columns pass
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -150,59 +151,96 @@ def discovery_citations(phase1: DataFrame, citations: DataFrame, seeds: int = 5,
     return cut.select("id").distinct().join(phase1.select("id").distinct(), "id", "left_anti")
 
 
-def _waves(fresh: DataFrame) -> dict[tuple[str, str], int]:
-    """(item, source): its wave, for turns that must wait for an earlier one that offers a key of theirs; the others are in wave 0.
-
-    Only turns reach the driver: watch items, set by hand, times their sources.
+CHUNK_ROWS = 200_000  # records that the turns of a chunk can need, at most (a chunk has one turn at least)
+
+
+def _numbered_turns(fresh: DataFrame) -> tuple[DataFrame, int, int]:
+    """(the turns with their chunk and place, how many chunks, the most records that one turn of a chunk can need)."""
+    turns = materialize(fresh.select("pos", "item", "place", "source", "max_new").distinct())
+    n = turns.agg(F.count("*").alias("n"), F.max("max_new").alias("most")).first()
+    most = n["most"] or 0
+    size = 1
+    while (size + 1) * ((size + 1) * most + most + 1) <= CHUNK_ROWS and size < n["n"]:
+        size += 1
+    order = F.row_number().over(Window.orderBy("pos", "item", "place", "source", "max_new")) - 1  # one row a turn: watch items, set by hand, times their sources
+    return turns.withColumn("turn", order).withColumn("chunk", F.floor(F.col("turn") / size).cast("int")), -(-n["n"] // size), size * most + 1
+
+
+def _in_turns(frame: pd.DataFrame) -> pd.DataFrame:
+    """The turns of a chunk one after another: each takes its first max_new records whose keys none before it has taken."""
+    taken: set[str] = set()
+    rows = []
+    for _, own in frame.sort_values(["turn", "rank", "dedup_key"], na_position="first").groupby("turn", sort=True):
+        left = int(own["max_new"].iat[0])
+        for r in own.itertuples(index=False):
+            if r.dedup_key is not None and r.dedup_key in taken:
+                continue
+            rows.append((r.chunk, r.item, r.source, r.rank, r.dedup_key, left <= 0))
+            if left <= 0:
+                break
+            left -= 1
+            if r.dedup_key is not None:
+                taken.add(r.dedup_key)
+    return pd.DataFrame(rows, columns=["chunk", "item", "source", "rank", "dedup_key", "cut"])
+
+
+def run_turns(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """item, source, rank, dedup_key, cut: what each turn emits, and (cut) the first new record that its cap leaves.
+
+    Turns are put in chunks, in order. In a round all chunks run at once, each on what the chunks before it have taken by
+    the round before; inside a chunk turns go one by one. What a chunk takes is final as soon as all before it are, so there
+    are at most as many rounds as chunks; mostly the results agree after a few. A turn can be refused no more records of
+    its chunk than the chunk takes in all, so only its first ones reach the chunk's task: CHUNK_ROWS bounds them.
+    rounds, if given, gets the number of rounds.
     """
-    turns = F.array_sort(F.collect_set(F.struct("pos", "item", "place", "source")))
-    shared = fresh.groupBy("dedup_key").agg(turns.alias("t")).where("size(t) > 1")
-    next_to = shared.select(F.explode(F.arrays_zip(F.expr("slice(t, 1, size(t) - 1)").alias("a"), F.expr("slice(t, 2, size(t) - 1)").alias("b"))).alias("p")).select("p.*").distinct()
-    waves: dict[tuple[str, str], int] = {}
-    for r in sorted(next_to.collect(), key=lambda r: tuple(r["b"])):
-        before, after = ((r[c]["item"], r[c]["source"]) for c in "ab")
-        waves[after] = max(waves.get(after, 0), waves.get(before, 0) + 1)
-    return waves
-
-
-def _run_turns(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
-    """item, source, rank, dedup_key, cut: what each turn emits, and (cut) the first new record that its cap leaves."""
-    spark = candidates.sparkSession
     place = F.array_position("sources", F.col("source")) if "sources" in items.columns else F.lit(0).cast("long")
     own = candidates.select("item", F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key").join(F.broadcast(items.drop("source", "rank", "dedup_key")), "item")
     own = own.select("item", "source", "rank", "dedup_key", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("max_new", F.lit(0)).alias("max_new"), F.coalesce(place, F.lit(0)).alias("place"))
     fresh = own.join(seen.select("item", "dedup_key").distinct(), ["item", "dedup_key"], "left_anti").join(existing.select("dedup_key").distinct(), "dedup_key", "left_anti")
     fresh = materialize(first_per_key(fresh, ["item", "source", "dedup_key"], ["rank"]).select(*own.columns))
-    most = items.agg(F.max("max_new")).first()[0] or 0
-    waves = _waves(fresh)
-    if waves:
-        wave = spark.createDataFrame([(*turn, n) for turn, n in waves.items()], "item string, source string, wave int")
-        fresh = fresh.join(F.broadcast(wave), ["item", "source"], "left")
-    else:
-        fresh = fresh.withColumn("wave", F.lit(None).cast("int"))
-    order = Window.partitionBy("item", "source").orderBy("rank", "dedup_key")
-    out = None
-    for n in range(max(waves.values(), default=0) + 1):
-        turn = fresh.where(F.coalesce("wave", F.lit(0)) == n)
-        if out is not None:
-            turn = turn.join(out.where("not cut").select("dedup_key"), "dedup_key", "left_anti")
+    turns, chunks, most = _numbered_turns(fresh)
+    fresh = fresh.join(F.broadcast(turns.select("item", "source", "turn", "chunk")), ["item", "source"])
+    schema = f"chunk int, item string, source string, rank {fresh.schema['rank'].dataType.simpleString()}, dedup_key string, cut boolean"
+    order = Window.partitionBy("turn").orderBy("rank", "dedup_key")
+    done, before = materialize(fresh.sparkSession.createDataFrame([], schema)), None
+    final, round_ = -1, 0
+    while True:
+        open_ = fresh.where(F.col("chunk") > final).alias("f")
+        known = done if before is None else done.unionByName(before)
+        if round_:
+            gone = known.where("not cut and dedup_key is not null").select(F.col("dedup_key").alias("_key"), F.col("chunk").alias("_chunk"))
+            open_ = open_.join(gone, (F.col("dedup_key") == F.col("_key")) & (F.col("_chunk") < F.col("chunk")), "left_anti")
         # the literal lets each task keep no more than most + 1 records of a turn before they meet
-        first = turn.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= most + 1).where(F.col("_turn") <= F.col("max_new") + 1)
-        first = materialize(first.select("item", "source", "rank", "dedup_key", (F.col("_turn") > F.col("max_new")).alias("cut")))
-        out = first if out is None else out.union(first)
-    return out
-
-
-def run_watchlist(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
+        first = open_.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most + 1)
+        now = first.select("chunk", "turn", "item", "source", "rank", "dedup_key", "max_new").groupBy("chunk").applyInPandas(_in_turns, schema)
+        now = materialize(now)
+        round_ += 1
+        if before is None:
+            twice = now.where("not cut and dedup_key is not null").groupBy("dedup_key").agg(F.count_distinct("chunk").alias("n")).where("n > 1")
+            changed = None if chunks <= 1 or twice.isEmpty() else 0
+        else:
+            rows = now.exceptAll(before).select("chunk").union(before.exceptAll(now).select("chunk"))
+            changed = rows.agg(F.min("chunk")).first()[0]
+        if changed is None or changed >= chunks - 1:
+            break
+        # what stands before the first change, and that chunk itself, came from final chunks
+        done = materialize(done.unionByName(now.where(F.col("chunk") <= changed)))
+        before, final = materialize(now.where(F.col("chunk") > changed)), changed
+    if rounds is not None:
+        rounds.append(round_)
+    return done.unionByName(now.where(F.col("chunk") > final)).drop("chunk")
+
+
+def run_watchlist(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """item, dedup_key: what an incremental run emits.
 
     items: item, pos, max_new (null: 0) and perhaps sources (their order; else by name); candidates: item, source (null: empty),
     rank, dedup_key; seen: item, dedup_key; existing: dedup_key. A turn is an item's source; turns go by pos, item and source.
     A key is new if the item has not seen it and no record exists; a turn emits at most max_new, by rank and key, and what its
-    cap leaves may be emitted by a later one. Turns wait only for earlier ones that offer the same key: all others run at once.
+    cap leaves may be emitted by a later one. Turns run in few rounds, chunk beside chunk; rounds, if given, gets their number.
     Candidates of unknown items go; a null key is met once in each turn and nothing has seen it.
     """
-    return _run_turns(items, candidates, seen, existing).where("not cut").select("item", "dedup_key")
+    return run_turns(items, candidates, seen, existing, rounds).where("not cut").select("item", "dedup_key")
 
 
 def watch_statuses(items: DataFrame, candidates: DataFrame, seen: DataFrame, existing: DataFrame) -> DataFrame:
@@ -210,7 +248,7 @@ def watch_statuses(items: DataFrame, candidates: DataFrame, seen: DataFrame, exi
 
     Arguments as in run_watchlist; equal rows count once. discovery_summary counts the statuses, watch_seen gives the next seen set.
     """
-    met = _run_turns(items, candidates, seen, existing)
+    met = run_turns(items, candidates, seen, existing)
     known = candidates.join(F.broadcast(items.select("item")), "item", "left_semi")
     offered = known.select("item", F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key").distinct()
     stop = met.where("cut").select("item", "source", F.struct("rank", "dedup_key").alias("_stop"))

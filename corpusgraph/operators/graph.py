@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.schema import EDGE_CONFIDENCE, EXEMPT_GLOBS, edge_types
-from ..sources.storage import materialize
+from ..sources.storage import file_system, materialize, shared_dir
 
 EDGE = ["seq", "src", "type", "dst", "confidence"]
 
@@ -78,17 +80,41 @@ def neighbors(edges: DataFrame, slugs: DataFrame) -> DataFrame:
     return both.join(slugs.select("slug").distinct(), "slug", "left_semi").distinct()
 
 
-def expand_subgraph(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """slug, hops: what is reachable along edges in either direction; each hop's notes are written before the next."""
-    both = materialize(edges.select(F.col("src").alias("slug"), F.col("dst").alias("next")).union(edges.select("dst", "src")).distinct())
-    seen = materialize(seeds.select("slug").distinct().withColumn("hops", F.lit(0)))
-    reached = seen
+def lay_out(edges: DataFrame, buckets: int | None = None) -> str:
+    """Write each edge under both of its ends, in buckets by slug, as a table (slug, next) in the shared folder; returns its name.
+
+    A join of the table with some slugs reads its buckets as they lie: only the slugs are shuffled.
+    """
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, both = f"laid_{uuid.uuid4().hex}", edges.select(F.col("src").alias("slug"), F.col("dst").alias("next")).union(edges.select("dst", "src")).distinct()
+    path = f"{shared_dir(spark)}/{name}"
+    both.repartition(buckets, "slug").write.bucketBy(buckets, "slug").sortBy("slug").option("path", path).format("parquet").saveAsTable(name)
+    where, fs = file_system(spark, path)
+    fs.deleteOnExit(where)
+    return name
+
+
+def next_hop(laid: DataFrame, reached: DataFrame) -> DataFrame:
+    """slug: what lies next to the slugs reached."""
+    return laid.join(reached.select("slug"), "slug", "left_semi").select(F.col("next").alias("slug")).distinct()
+
+
+def expand_subgraph(edges: DataFrame, seeds: DataFrame, max_hops: int, laid: str | None = None) -> DataFrame:
+    """slug, hops: what is reachable along edges in either direction; each hop's notes are written before the next.
+
+    The edges are laid out once (see lay_out; laid names a table that is there already), so a hop shuffles only its notes.
+    """
+    spark, own = edges.sparkSession, laid is None
+    laid = laid or lay_out(edges)
+    seen = reached = materialize(seeds.select("slug").distinct().withColumn("hops", F.lit(0)))
     for hop in range(1, max_hops + 1):
-        new = both.join(reached.select("slug"), "slug", "left_semi").select(F.col("next").alias("slug")).distinct()
-        reached = materialize(new.join(seen.select("slug"), "slug", "left_anti").withColumn("hops", F.lit(hop)))
+        reached = materialize(next_hop(spark.table(laid), reached).join(seen.select("slug"), "slug", "left_anti").withColumn("hops", F.lit(hop)))
         if reached.isEmpty():
             break
         seen = seen.union(reached)
+    if own:
+        spark.sql(f"drop table {laid}")  # the files go with the session
     return seen
 
 
@@ -122,31 +148,43 @@ def merge_edge_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     return first_per_key(both, ["src", "type", "dst"], ["side", "seq"]).drop("side")
 
 
-def add_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
+def add_edges(edges: DataFrame, batch: DataFrame, counts: Observation | None = None) -> DataFrame:
     """edges, and what the batch adds: forwards that are new, and the reverses that new forwards require.
 
-    A forward that exists is skipped and its reverse is not added. Rows have source: existing, forward or reverse.
-    Raises if any edge of the batch is refused.
+    A forward that exists is skipped and its reverse is not added. Rows have source: existing, forward or reverse. Raises if
+    any edge of the batch is refused, which takes a job over the batch when this is called. counts, if given, has after the
+    first action on the result: added and skipped (of the batch's forwards) and reverses, taken in the same pass.
     """
-    bad = validate_edge_batch(batch).where("problem is not null").first()
-    if bad:
-        raise ValueError(f"edge batch refused: {bad['problem']}")
+    judged = validate_edge_batch(batch).agg(F.count("*").alias("n"), F.min("problem").alias("problem")).first()
+    if judged["problem"]:
+        raise ValueError(f"edge batch refused: {judged['problem']}")
     keys = ["src", "type", "dst"]
-    # Rows of both sides meet once by key: an existing edge comes first (turn -1) and hides what the batch offers.
-    known = canonical(edges.select(*EDGE)).select(*keys, F.lit(-1).cast("long").alias("turn"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("confidence"), F.lit("existing").alias("source"))
-    forward = canonical(batch.select(*EDGE)).select(*keys, (F.col("seq") * 2).alias("turn"), "seq", "confidence", F.lit("forward").alias("source"))
-    new = materialize(first_per_key(known.unionByName(forward), keys, ["turn"]).where("turn >= 0"))
-    back = reverses(new.select(*EDGE)).select(*keys, (F.col("seq") * 2 + 1).alias("turn"), "seq", "confidence", F.lit("reverse").alias("source"))
-    added = first_per_key(known.unionByName(new.select(*known.columns)).unionByName(back), keys, ["turn"]).where("turn >= 0")
-    return edges.select(*EDGE).withColumn("source", F.lit("existing")).unionByName(added.select(*EDGE, "source"))
-
-
-def remove_edges(edges: DataFrame, specs: DataFrame) -> DataFrame:
-    """edges without those that specs (src, type, dst) name, and without the reverses these required."""
+    # The existing keys are summed and shuffled once; both joins below read that one exchange.
+    held = canonical(edges.select(*EDGE)).select(*keys).distinct()
+    forward = canonical(batch.select(*EDGE)).withColumn("turn", F.col("seq") * 2).withColumn("source", F.lit("forward"))
+    new = first_per_key(forward, keys, ["turn"]).join(held, keys, "left_anti")
+    back = reverses(new.select(*EDGE)).withColumn("turn", F.col("seq") * 2 + 1).withColumn("source", F.lit("reverse")).join(held, keys, "left_anti")
+    columns = [*EDGE, "turn", "source"]
+    added = first_per_key(new.select(*columns).unionByName(back.select(*columns)), keys, ["turn"]).select(*EDGE, "source")
+    if counts is not None:
+        n = F.count_if(F.col("source") == "forward")
+        added = added.observe(counts, n.alias("added"), (F.lit(judged["n"]) - n).alias("skipped"), F.count_if(F.col("source") == "reverse").alias("reverses"))
+    return edges.select(*EDGE).withColumn("source", F.lit("existing")).unionByName(added)
+
+
+def remove_edges(edges: DataFrame, specs: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """edges without those that specs (src, type, dst) name, and without the reverses these required.
+
+    counts, if given, has after the first action on the result: before, forward_removed, reverse_removed and after.
+    """
     named = canonical(specs.select(F.lit(0).alias("seq"), "src", "type", "dst", F.lit(None).cast("string").alias("confidence")))
-    keys = named.select("src", "type", "dst").union(reverses(named).select("src", "type", "dst")).distinct()
-    kept = canonical(edges.withColumn("_row", F.struct(*edges.columns))).join(keys, ["src", "type", "dst"], "left_anti")
-    return kept.select("_row.*")
+    keys = named.select("src", "type", "dst", F.lit(0).alias("_role")).union(reverses(named).select("src", "type", "dst", F.lit(1)))
+    keys = keys.groupBy("src", "type", "dst").agg(F.min("_role").alias("_role"))
+    marked = canonical(edges.withColumn("_row", F.struct(*edges.columns))).join(keys, ["src", "type", "dst"], "left")
+    if counts is not None:
+        role = lambda n: F.count_if(F.col("_role") == n)
+        marked = marked.observe(counts, F.count(F.lit(1)).alias("before"), role(0).alias("forward_removed"), role(1).alias("reverse_removed"), F.count_if(F.col("_role").isNull()).alias("after"))
+    return marked.where("_role is null").select("_row.*")
 
 
 def replace_edges(edges: DataFrame, specs: DataFrame) -> DataFrame:

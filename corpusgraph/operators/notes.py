@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import ENTITY_TYPES
@@ -85,16 +85,14 @@ def extract_fields(notes: DataFrame, text_col: str = "content") -> DataFrame:
     """
     block = F.regexp_extract(text_col, r"\A---\r?\n(?s:(.*?))\r?\n---(?:\r?\n|\z)", 1)
     lines = F.filter(F.split(block, r"\r?\n"), lambda s: ~s.rlike(r"^\s*(#|$)"))
-    start = F.array().cast("array<struct<key:string,raw:string,below:array<string>>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        key = F.regexp_extract(s, r"^([A-Za-z0-9_-]+):", 1)
-        new = F.struct(key.alias("key"), F.trim(F.regexp_extract(s, r"^[A-Za-z0-9_-]+:\s*(.*)$", 1)).alias("raw"), F.array().cast("array<string>").alias("below"))
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["key"].alias("key"), last["raw"].alias("raw"), F.array_append(last["below"], F.trim(s)).alias("below"))))
-        return F.when(key != "", F.array_append(acc, new)).when(F.size(acc) > 0, grown).otherwise(acc)
-
-    rows = notes.where(F.col(text_col).startswith("---")).select("path", F.inline(F.aggregate(lines, start, step)).alias("key", "raw", "below"))
+    # Only the lines with a key are looked for; a key's list is the slice of lines up to the next one.
+    key_of = lambda s: F.regexp_extract(s, r"^([A-Za-z0-9_-]+):", 1)
+    at = F.filter(F.transform("lines", lambda s, i: F.when(key_of(s) != "", i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("lines") + 1))
+    below = lambda a, b: F.transform(F.slice("lines", a + 1, b - a - 1), lambda s: F.trim(s))
+    entry = lambda a, b: F.struct(key_of(F.element_at("lines", a)).alias("key"), F.trim(F.regexp_extract(F.element_at("lines", a), r"^[A-Za-z0-9_-]+:\s*(.*)$", 1)).alias("raw"), below(a, b).alias("below"))
+    parted = notes.where(F.col(text_col).startswith("---")).select("path", lines.alias("lines")).withColumn("at", at).where(F.size("at") > 0)
+    rows = parted.select("path", F.inline(F.zip_with("at", ends, entry)).alias("key", "raw", "below"))
     own = rows.withColumn("v", _value(F.col("raw")))
     strip = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
     listed = F.transform(F.filter("below", lambda x: x.startswith("- ")), lambda x: strip(F.regexp_replace(x, "^- ", "")))
@@ -131,9 +129,16 @@ def changed_since(notes: DataFrame, day: str, column: str = "updated") -> DataFr
     return notes.where(F.col(column) >= day)
 
 
-def basename_index(notes: DataFrame) -> DataFrame:
-    """basename, slugs (sorted): names are few to a basename."""
-    return notes.groupBy("basename").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
+def basename_index(notes: DataFrame, most: int = 1000) -> DataFrame:
+    """basename, part, slugs (sorted): a basename of more than most notes has several parts, none with more than that."""
+    own = notes.select("basename", "slug").distinct()
+    large = own.groupBy("basename").agg(F.count("*").alias("n")).where(F.col("n") > most).select("basename", F.ceil(F.col("n") / most).alias("_parts"))
+    dealt = own.join(large, "basename", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("slug"), F.col("_parts")), F.lit(0).cast("long")))
+    one = dealt.where("_parts is null").select("basename", "_part", F.lit(0).cast("long").alias("_turn"), "slug")
+    turn = F.floor((F.row_number().over(Window.partitionBy("basename", "_part").orderBy("slug")) - 1) / most)
+    many = dealt.where("_parts is not null").select("basename", "_part", turn.alias("_turn"), "slug", "_parts")
+    parts = one.groupBy("basename", F.lit(0).cast("long").alias("part")).agg(F.sort_array(F.collect_list("slug")).alias("slugs"))
+    return parts.unionByName(many.groupBy("basename", (F.col("_part") + F.col("_turn") * F.col("_parts")).alias("part")).agg(F.sort_array(F.collect_list("slug")).alias("slugs")))
 
 
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:

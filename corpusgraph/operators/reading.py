@@ -12,14 +12,14 @@ from .graph import neighbors
 def recap_scope(chapters: DataFrame, edges: DataFrame, cursors: DataFrame, beats: DataFrame | None = None) -> DataFrame:
     """book, kind (chapter, character, beat, error), item: what lies before each book's cursor; a chapter or beat without number
     is an error row. beats, the plot notes: book, up_to_chapter, beat."""
-    known = chapters.join(F.broadcast(cursors.groupBy("book").agg(F.min("cursor").alias("cursor"))), "book")  # one row a book
+    known = chapters.join(cursors.groupBy("book").agg(F.min("cursor").alias("cursor")), "book")  # one row a book; Spark broadcasts it if it is small
     read = known.where("number < cursor").select("book", "chapter").distinct()
     broken = known.where("number is null").select("book", F.lit("error").alias("kind"), F.col("chapter").alias("item"))
     who = read.join(edges.where("type = 'features'").select(F.col("src").alias("chapter"), F.col("dst").alias("item")), "chapter").select("book", F.lit("character").alias("kind"), "item").distinct()
     scope = read.select("book", F.lit("chapter").alias("kind"), F.col("chapter").alias("item")).union(who).union(broken)
     if beats is None:
         return scope
-    told = beats.join(F.broadcast(cursors.groupBy("book").agg(F.min("cursor").alias("cursor"))), "book").where("up_to_chapter is null or up_to_chapter < cursor")
+    told = beats.join(cursors.groupBy("book").agg(F.min("cursor").alias("cursor")), "book").where("up_to_chapter is null or up_to_chapter < cursor")
     return scope.union(told.select("book", F.when(F.col("up_to_chapter").isNull(), "error").otherwise("beat"), "beat").distinct())
 
 
@@ -29,17 +29,41 @@ def promote_themes(edges: DataFrame, least: int = 2) -> DataFrame:
     return counted.withColumn("status", F.when(F.col("chapters") >= least, "promoted").otherwise("pending"))
 
 
-def theme_characters(edges: DataFrame, least: int = 2) -> DataFrame:
-    """theme, character, chapters: characters in at least so many chapters of a theme."""
-    tagged = edges.where("type = 'tagged_with'").select(F.col("src").alias("chapter"), F.col("dst").alias("theme")).distinct()
-    who = edges.where("type = 'features'").select(F.col("src").alias("chapter"), F.col("dst").alias("character")).distinct()
-    return tagged.join(who, "chapter").groupBy("theme", "character").agg(F.count("*").alias("chapters")).where(F.col("chapters") >= least)
+HEAVY = 1000  # characters of a chapter from which on its pairs are dealt to blocks of about so many
+
+
+def _in_blocks(who: DataFrame, heavy: int) -> DataFrame:
+    """who (chapter, character) with blocks, the number of its chapter's blocks (1 for most), and block."""
+    sizes = who.groupBy("chapter").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("chapter", F.ceil(F.col("n") / heavy).cast("int").alias("blocks"))
+    dealt = who.join(sizes, "chapter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("character"), F.col("blocks")).cast("int"))
 
 
-def cooccurrence(edges: DataFrame) -> DataFrame:
-    """a, b, chapters: pairs of characters that share chapters, once for each pair. A chapter has few characters."""
-    who = edges.where("type = 'features'").select(F.col("src").alias("chapter"), F.col("dst").alias("a")).distinct()
-    return who.join(who.withColumnRenamed("a", "b"), "chapter").where("a < b").groupBy("a", "b").agg(F.count("*").alias("chapters"))
+def _characters(edges: DataFrame) -> DataFrame:
+    return edges.where("type = 'features'").select(F.col("src").alias("chapter"), F.col("dst").alias("character")).distinct()
+
+
+def theme_characters(edges: DataFrame, least: int = 2, heavy: int = HEAVY) -> DataFrame:
+    """theme, character, chapters: characters in at least so many chapters of a theme. A chapter with more than heavy
+    characters is dealt to blocks, and its themes go to each."""
+    who = _in_blocks(_characters(edges), heavy)
+    tagged = edges.where("type = 'tagged_with'").select(F.col("src").alias("chapter"), F.col("dst").alias("theme")).distinct()
+    large = who.where("blocks > 1").select("chapter", "blocks").distinct()
+    tagged = tagged.join(large, "chapter", "left").withColumn("block", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)"))).drop("blocks")
+    return tagged.join(who, ["chapter", "block"]).groupBy("theme", "character").agg(F.count("*").alias("chapters")).where(F.col("chapters") >= least)
+
+
+def cooccurrence(edges: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """a, b, chapters: pairs of characters that share chapters, once for each pair.
+
+    A chapter with more than heavy characters is dealt to blocks; each pair of blocks is a cell of its own, in which the
+    characters of the one meet those of the other, so no task sees all pairs of a chapter.
+    """
+    who = _in_blocks(_characters(edges), heavy).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = who.select("chapter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "character")
+    x, y = cells.withColumnsRenamed({"character": "a", "block": "_x"}), cells.withColumnsRenamed({"character": "b", "block": "_y"})
+    met = x.join(y, ["chapter", "i", "j"]).where((F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("_x") != F.col("_y"))))
+    return met.groupBy("a", "b").agg(F.count("*").alias("chapters"))
 
 
 def topic_candidates(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:

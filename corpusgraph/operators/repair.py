@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from ..plans.schema import enum_defaults, field_defs
+from ..plans.schema import NAMESPACES, enum_defaults, field_defs
 from .checks import KEBAB, _present, value_is_valid
 from .notes import LINK, note_lines
 
@@ -102,16 +102,72 @@ def renamed_links(notes: DataFrame, renames: DataFrame, links: DataFrame) -> Dat
     return bare.join(moved, "target").join(own, ["path", "target"], "left_anti").select("path", "target", "replacement")
 
 
+FIELD = ["path", "key", "kind", "str", "num", "items", "entries"]
+FIELD_SCHEMA = "path string, key string, kind string, str string, num double, items array<string>, entries map<string,string>"
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    """df with all columns of a field; those it lacks are null."""
+    types = dict(c.split(" ", 1) for c in FIELD_SCHEMA.split(", "))
+    return df.select(*(c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()), *(c for c in df.columns if c not in FIELD))
+
+
+def _known_ids(key: Column, entries: Column) -> Column:
+    """entries; of external ids only those of a known namespace that are not empty."""
+    return F.when(key == "external_ids", F.map_filter(entries, lambda k, v: k.isin(*NAMESPACES) & (v != ""))).otherwise(entries)
+
+
+def judge_field_updates(notes: DataFrame, updates: DataFrame) -> DataFrame:
+    """updates with problem: null, or why the update is refused.
+
+    updates: path, key, kind, str, num, items, entries and, if there is an order or a choice, turn and op (set, merge; null: set).
+    A key that no type declares may hold anything, but only in a note that there is.
+    """
+    whole = _whole(updates)
+    extra = {"turn": F.lit(0).cast("long"), "op": F.lit("set")}
+    whole = whole.withColumns({c: F.coalesce(F.col(c), e) if c in whole.columns else e for c, e in extra.items()})
+    known = notes.select("path", "entity_type").dropDuplicates(["path"])
+    judged = whole.join(known, "path", "left").join(F.broadcast(field_defs(notes.sparkSession)), ["entity_type", "key"], "left")
+    merge = F.col("op") == "merge"
+    problem = (
+        F.when(F.col("entity_type").isNull(), "unknown note").when(~F.col("op").isin("set", "merge"), "unknown operation").when(F.col("kind").isNull(), "no kind")
+        .when(merge & ((F.col("kind") != "object") | F.col("entries").isNull() | (F.coalesce("field_type", F.lit("object")) != "object")), "only objects merge")
+        .when(F.col("field_type").isNull(), F.lit(None)).when(F.col("kind") == "null", F.when(F.col("required"), "required"))
+        .when((F.col("field_type") == "string") & (F.trim("str") == "TODO"), "placeholder").when(~F.coalesce(value_is_valid(), F.lit(False)), "wrong type")
+    )
+    return judged.select(*FIELD, "turn", "op", problem.alias("problem"))
+
+
 def apply_field_updates(notes: DataFrame, note_fields: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields after the updates, rejected updates). updates: path, key, kind, str, num, items; kind null clears an optional key."""
-    defs = F.broadcast(field_defs(notes.sparkSession))
-    judged = updates.join(notes.select("path", "entity_type"), "path", "left").join(defs, ["entity_type", "key"], "left")
-    ok = F.when(F.col("field_type").isNull(), F.col("entity_type").isNotNull()).when(F.col("kind") == "null", ~F.col("required")).otherwise(F.coalesce(value_is_valid(), F.lit(False)))
-    judged = judged.withColumn("ok", ok)
-    columns = ["path", "key", "kind", "str", "num", "items"]
-    good = judged.where("ok").select(*columns)
-    kept = note_fields.select(*columns).join(good.select("path", "key"), ["path", "key"], "left_anti")
-    return kept.unionByName(good.where(_present())), judged.where("not ok").select(*columns)
+    """(fields after the updates, refused updates with problem); updates as in judge_field_updates.
+
+    Of a key's updates that set it, the one of the last turn counts. Updates that merge lay their entries over those of the
+    object that is there, or that was set in the same turn or before; each entry has its last turn's value, and goes if that is
+    null. Kind null clears a key. Among equal turns the greatest value wins. External ids keep known namespaces and values
+    that are not empty. Each step is a keyed minimum or maximum, so the updates of one key never meet in a list.
+    """
+    judged = judge_field_updates(notes, updates)
+    keys, value = ["path", "key"], ["kind", "str", "num", "items", "entries"]
+    good = judged.where("problem is null")
+    ordered = F.struct("turn", "kind", "str", "num", "items", F.array_sort(F.map_entries("entries")).alias("e"))
+    last = good.where("op = 'set'").groupBy(*keys).agg(F.max_by(F.struct(*value, "turn"), ordered).alias("set"))
+    laid = good.where("op = 'merge'").select(*keys, "turn", F.explode("entries").alias("name", "text")).join(last.select(*keys, F.col("set.turn").alias("since")), keys, "left").where("since is null or turn >= since")
+    laid = laid.where((F.col("key") != "external_ids") | (F.col("name").isin(*NAMESPACES) & ~F.coalesce(F.col("text") == "", F.lit(False))))
+    newest = laid.groupBy(*keys, "name").agg(F.max_by("text", F.struct("turn", "text")).alias("text"))
+    over = newest.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("over"))  # the names of one object
+    touched = last.join(over, keys, "full")
+    met = _whole(note_fields).select(*FIELD).withColumn("own", F.lit(True)).join(touched, keys, "full")
+    changed = F.col("set").isNotNull() | F.col("over").isNotNull()
+    base = F.when(F.col("set").isNotNull(), F.struct(*(F.col(f"set.{c}").alias(c) for c in value))).otherwise(F.struct(*value))
+    met = met.select(*keys, changed.alias("changed"), base.alias("v"), "over")
+    kept = F.map_filter(F.coalesce("v.entries", F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key("over", k), F.lit(False)))
+    added = F.map_filter("over", lambda k, v: v.isNotNull())
+    entries = F.when(F.col("over").isNotNull(), F.map_concat(kept, added)).otherwise(F.col("v.entries"))
+    entries = F.when(F.col("changed"), _known_ids(F.col("key"), entries)).otherwise(entries)
+    only = lambda c: F.when(F.col("over").isNull(), F.col(f"v.{c}")).alias(c)
+    kind = F.when(F.col("over").isNotNull(), "object").otherwise(F.col("v.kind"))
+    after = met.select(*keys, kind.alias("kind"), only("str"), only("num"), only("items"), entries.alias("entries"), "changed")
+    return after.where(~F.col("changed") | _present()).drop("changed"), judged.where("problem is not null")
 
 
 def suggest_fixes(findings: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,7 +21,7 @@ QUOTED = '["“”]([^"“”]+)["“”]'
 CLASSES = ("dismiss", "defer", "patch", "decision_needed")
 REVIEWERS = ("blind", "grounding", "external")
 QUOTE_WORDS = 5
-WIDE = 1000  # pages from which on a cited range asks for the pages that there are, not for each number
+WIDE = 64  # pages from which on a cited range goes by the index of words, not by each page's number
 
 
 def _rank(c: str, names: tuple[str, ...]) -> Column:
@@ -55,33 +58,95 @@ def extract_quotes(notes: DataFrame, text_col: str = "content") -> DataFrame:
     return some.select("note", F.col("x.n").alias("line"), F.least(a, last).alias("lo"), F.greatest(a, last).alias("hi"), F.explode(spans).alias("quote"))
 
 
-def verify_quotes(quotes: DataFrame, source_pages: DataFrame) -> DataFrame:
+BLOCK = 4096  # page numbers of a source that one task orders
+
+
+def _with_next(pages: DataFrame) -> DataFrame:
+    """source_id, page_no, folded of the pages (source_id, page_no, text) with words; next, the number of the source's next
+    page here, and opens, its first word.
+
+    Pages are folded and looked at in blocks of numbers; a block's last page gets the first of the next block that has
+    any. So no task orders all pages of a source, and each text is sent to its block once.
+    """
+    dealt = pages.withColumn("_b", F.floor(F.col("page_no") / BLOCK)).repartition("source_id", "_b")
+    # the array keeps Spark from folding a text twice, to test it and to show it
+    cut = dealt.select("source_id", "page_no", "_b", F.explode(F.array(fold_text("text"))).alias("folded")).where("folded <> ''")
+    word = F.substring_index("folded", " ", 1)
+    led = cut.withColumn("_in", F.lead(F.struct("page_no", word.alias("word"))).over(Window.partitionBy("source_id", "_b").orderBy("page_no")))
+    led = materialize(led)  # read again by each use; the join below is with a row for each block
+    firsts = led.groupBy("source_id", "_b").agg(F.min(F.struct("page_no", F.substring_index("folded", " ", 1).alias("word"))).alias("_first"))
+    after = firsts.select("source_id", "_b", F.lead("_first").over(Window.partitionBy("source_id").orderBy("_b")).alias("_after"))
+    joined = led.join(after, ["source_id", "_b"]).withColumn("_next", F.coalesce("_in", "_after"))
+    return joined.select("source_id", "page_no", "folded", F.col("_next.page_no").alias("next"), F.col("_next.word").alias("opens"))
+
+
+def _grams(words: Column, n: int) -> Column:
+    """Runs of n words: struct(size, gram), the gram a hash."""
+    runs = F.transform(F.expr(f"sequence(1, greatest(size(words) - {n - 1}, 1))"), lambda k: F.struct(F.lit(n).alias("size"), F.xxhash64(F.array_join(F.slice(words, k, n), " ")).alias("gram")))
+    return F.when(F.size(words) >= n, runs).otherwise(F.slice(runs, 1, 0))
+
+
+def _first_words(words: Column, n: Column) -> Column:
+    return F.array_join(F.slice(words, F.lit(1), n), " ")
+
+
+def _ends_with_start(folded: Column, words: Column) -> Column:
+    """The numbers of first words of a quote with which a page ends, all of the quote's words but the last one at most."""
+    counts = F.when(F.size(words) > 1, F.expr("sequence(1, size(words) - 1)")).otherwise(F.expr("slice(array(1), 1, 0)"))
+    return F.filter(counts, lambda n: folded.endswith(_first_words(words, n)))
+
+
+def verify_quotes(quotes: DataFrame, source_pages: DataFrame, wide: int = WIDE) -> DataFrame:
     """quotes (quote_id, source_id, lo, hi, quote) with verdict: OK on the cited pages, NEAR with one page more at either side, else FAIL.
 
-    Ranges are clipped to the pages that a source has, so a range of any width meets real pages alone. Only cited pages and
-    their neighbours are folded. A quote that stands on one page is judged by that page; the pages of a range are joined
-    only for the quotes that no page of it holds, since they may cross a border.
+    A quote stands on a page, or begins at the end of one and goes on over the next ones; pages without words don't count.
+    A range of fewer than wide pages asks for each of them by number. For wider ranges the quotes' inner words are an
+    index: runs of up to three of them lead to the pages that hold them, and single ones to pages that end, or whose next
+    page begins, with them. Either way only hits are verified, and a quote that crosses borders is followed page by page,
+    so no row holds a range. Only asked pages are folded. Without words a quote stands on every page with words.
     """
-    ends = source_pages.groupBy("source_id").agg(F.min("page_no").cast("long").alias("first"), F.max("page_no").cast("long").alias("last"))
-    wanted = quotes.select("quote_id", "source_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), fold_text("quote").alias("needle")).join(ends, "source_id")
-    begin, end = F.greatest("first", F.greatest("lo", F.col("first")) - 1), F.least("last", F.least("hi", F.col("last")) + 1)
-    ranged = wanted.withColumn("begin", begin).withColumn("end", end).drop("first", "last").where("begin <= end")
-    listed = ranged.where(F.col("end") - F.col("begin") < WIDE).withColumn("page_no", F.explode(F.sequence("begin", "end")))
-    wide = ranged.where(F.col("end") - F.col("begin") >= WIDE).join(source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no")), "source_id").where("page_no between begin and end")
-    near = materialize(listed.unionByName(wide).drop("begin", "end"))
-    cited = source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no"), "text").join(near.select("source_id", "page_no").distinct(), ["source_id", "page_no"], "left_semi")
-    pages = materialize(cited.select("source_id", "page_no", fold_text("text").alias("folded")).where("folded <> ''"))
-    own = (F.col("page_no") >= F.col("lo")) & (F.col("page_no") <= F.col("hi"))
-    holds = F.col("folded").contains(F.col("needle"))
-    alone = near.join(pages, ["source_id", "page_no"]).groupBy("quote_id").agg(F.max(own & holds).alias("ok"), F.max(holds).alias("near"), F.count("*").alias("n"))
-    alone = materialize(alone)
-    crossing = near.join(alone.where("not ok and n > 1").select("quote_id"), "quote_id", "left_semi").join(pages, ["source_id", "page_no"])
-    texts = crossing.groupBy("quote_id", "needle", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("page_no", "folded"))).alias("p"))
-    joined = lambda cond: F.array_join(F.transform(F.filter("p", cond), lambda x: x["folded"]), " ").contains(F.col("needle"))
-    across = texts.select("quote_id", joined(lambda x: (x["page_no"] >= F.col("lo")) & (x["page_no"] <= F.col("hi"))).alias("ok_across"), joined(lambda x: F.lit(True)).alias("near_across"))
-    both = alone.join(across, "quote_id", "left")
-    verdict = F.when(F.col("ok") | F.coalesce("ok_across", F.lit(False)), "OK").when(F.col("near") | F.coalesce("near_across", F.lit(False)), "NEAR").otherwise("FAIL")
-    return quotes.join(both.select("quote_id", verdict.alias("verdict")), "quote_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("FAIL")))
+    far = 1 << 60
+    number = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("long"), F.lit(-far)), F.lit(far))).alias(c)
+    asked = quotes.select("quote_id", "source_id", number("lo"), number("hi"), fold_text("quote").alias("needle")).where("lo <= hi").withColumn("words", F.split("needle", " "))
+    asked = materialize(asked.withColumn("far", (F.col("hi") - F.col("lo") >= wide) & (F.size("words") > 2)))
+    ranged = asked.where(~F.col("far") & (F.col("hi") - F.col("lo") < wide))
+    listed = ranged.select("source_id", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("page_no")).distinct().withColumn("_listed", F.lit(True))
+    spans = asked.where(F.col("hi") - F.col("lo") >= wide).groupBy("source_id").agg((F.min("lo") - 1).alias("_from"), (F.max("hi") + 1).alias("_to"))
+    own = source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no"), "text")
+    own = own.join(listed, ["source_id", "page_no"], "left").join(spans, "source_id", "left").where("_listed or page_no between _from and _to")
+    pages = _with_next(own.select("source_id", "page_no", "text"))
+    rest = ["quote_id", "source_id", "lo", "hi", "needle", "words"]
+    by_number = ranged.select(*rest, F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("page_no")).join(pages, ["source_id", "page_no"])
+    # one or two words give the index no inner word: their ranges are joined with the pages that there are
+    short = asked.where(~F.col("far") & (F.col("hi") - F.col("lo") >= wide)).select(*rest).join(pages, "source_id").where("page_no between lo - 1 and hi + 1")
+    met = by_number.unionByName(short.select(*by_number.columns))
+    met = met.select(*rest, "page_no", "next", F.col("folded").contains(F.col("needle")).alias("holds"), _ends_with_start(F.col("folded"), F.col("words")).alias("begun"))
+    hits = [met.where("holds or size(begun) > 0")]
+    distant = asked.where("far")
+    index = distant.withColumn("size", F.least(F.lit(3), F.size("words") - 2)).select(*rest, "size", F.xxhash64(F.array_join(F.slice("words", F.lit(2), F.col("size")), " ")).alias("gram"))
+    worded = pages.join(distant.select("source_id").distinct(), "source_id", "left_semi").withColumn("words", F.split("folded", " "))
+    grams = F.array_distinct(F.concat(*(_grams(F.col("words"), n) for n in (1, 2, 3))))
+    inner = worded.select("source_id", "page_no", "next", "folded", F.inline(grams)).join(index, ["source_id", "size", "gram"]).where("page_no between lo - 1 and hi + 1 and contains(folded, needle)")
+    hits.append(inner.select(*rest, "page_no", "next", F.lit(True).alias("holds"), F.expr("slice(array(1), 1, 0)").alias("begun")))
+    ends = F.array(F.struct(F.lit("last").alias("side"), F.element_at("words", -1).alias("word")), F.struct(F.lit("next").alias("side"), F.col("opens").alias("word")))
+    borders = worded.select("source_id", "page_no", "next", "folded", F.inline(ends))
+    sides = distant.select(*rest, F.posexplode(F.expr("transform(sequence(1, size(words) - 1), n -> if(n = 1, struct('next' as side, words[1] as word), struct('last' as side, words[n - 1] as word)))")).alias("at", "s")).select(*rest, (F.col("at") + 1).alias("n"), "s.side", "s.word")
+    crossed = borders.join(sides, ["source_id", "side", "word"]).where("page_no between lo - 1 and hi and next is not null").where(F.col("folded").endswith(_first_words(F.col("words"), F.col("n"))))
+    hits.append(crossed.select(*rest, "page_no", "next", F.lit(False).alias("holds"), F.array("n").alias("begun")))
+    hits = materialize(hits[0].unionByName(hits[1]).unionByName(hits[2]))
+    found = [hits.where("holds").select("quote_id", "lo", "hi", F.col("page_no").alias("first"), F.col("page_no").alias("last"))]
+    # quotes begun at a page's end: the next page holds the rest, or all of it is the next words of the rest
+    open_ = hits.where("next <= hi + 1").select(*rest, F.col("page_no").alias("first"), F.col("next").alias("page_no"), F.explode("begun").alias("n")).distinct()
+    for _ in count():  # each round eats a word of the quote at least
+        left = F.array_join(F.slice("words", F.col("n") + 1, F.size("words")), " ")
+        step = open_.join(pages, ["source_id", "page_no"]).withColumn("_done", F.col("folded").startswith(left)).withColumn("_more", left.startswith(F.concat("folded", F.lit(" ")))).where("_done or _more")
+        step = materialize(step.select(*rest, "first", "page_no", "next", "_done", "_more", (F.col("n") + F.size(F.split("folded", " "))).alias("n")))
+        found.append(step.where("_done").select("quote_id", "lo", "hi", "first", F.col("page_no").alias("last")))
+        open_ = step.where("_more and not _done and next <= hi + 1").select(*rest, "first", F.col("next").alias("page_no"), "n")
+        if open_.isEmpty():
+            break
+    whole = reduce(DataFrame.unionByName, found).groupBy("quote_id").agg(F.max((F.col("first") >= F.col("lo")) & (F.col("last") <= F.col("hi"))).alias("ok"))
+    return quotes.join(whole, "quote_id", "left").withColumn("verdict", F.when(F.col("ok"), "OK").when(F.col("ok").isNotNull(), "NEAR").otherwise("FAIL")).drop("ok")
 
 
 def quote_report(verified: DataFrame, note_col: str = "note") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import materialize
+from ..sources.storage import file_system, materialize
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -60,7 +60,7 @@ from part left join (select l_partkey, count(*) as n, min(l_suppkey) as s from l
 
 WATCH = "select distinct p_brand as item, 20 as item_limit, 5 as max_new from part"
 
-FOUNDATIONS = "select 'f' || p_partkey as slug, p_name as title, split(p_type || ';' || p_brand, ';') as aliases from part where p_partkey % 10 = 0"
+FOUNDATIONS = "select 'f' || p_partkey as slug, p_name as title, split(p_type || ';' || p_brand, ';') as aliases from part"
 
 URLS = "select url from pages union all select replace(url, 'http://', 'https://') as url from pages"
 
@@ -129,18 +129,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in (*TABLES, "source_pages"):
         text, n = re.subn(rf"\b(from|join) {t}\b", rf"\1 {{{t}}} as {t}", text)
         if n:
-            used[t] = table(spark, sf_dir, t) if t in RULES else spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            used[t] = landed(spark, sf_dir, t) if t in RULES else spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return spark.sql(text, **used)
 
 
-_landed: dict[tuple[str, str, str], DataFrame] = {}
+#: Tables made row by row of a given one, which may be a single file: their rows are dealt to all tasks when they are landed.
+SPREAD = ("source_pages",)
+_landed: dict[tuple, DataFrame] = {}
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the given tables' files."""
+    found = []
+    for t in TABLES:
+        where, fs = file_system(spark, f"{sf_dir}/{t}.parquet")
+        if fs.exists(where):
+            files = fs.listFiles(where, True)
+            while files.hasNext():
+                f = files.next()
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the library's tables, written once for each session and folder, as a corpus has it before its queries run."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """One of the library's tables, written once for each session and state of the folder's files, as a corpus has it before its queries run."""
+    key = (spark.sparkContext.applicationId, _listing(spark, sf_dir), name)
     if key not in _landed:
-        _landed[key] = materialize(table(spark, sf_dir, name))
+        made = table(spark, sf_dir, name)
+        if name in SPREAD:
+            made = made.repartition(spark.sparkContext.defaultParallelism)
+        _landed[key] = materialize(made)
     return _landed[key]
 
 

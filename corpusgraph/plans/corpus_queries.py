@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reading, report, verify
+from ..sources.storage import shared_dir
+from ..streaming import feeds
 from .adapters import landed, table
 from .registry import query
 
@@ -118,13 +122,7 @@ def b04(spark, d):
     return reading.cooccurrence(chapter_edges(spark, d))
 
 
-@query("b05_topic_candidates", "with s as (select slug from notes where entity_type = 'people' and length(basename) < 4), b as (select src as slug, dst as nb from edges union select dst, src from edges), n as (select split(nb, '/')[1] as kind, nb, count(*) as links from b where slug in (select slug from s) and nb not in (select slug from s) and (nb like 'sources/%' or nb like 'concepts/%') group by nb) select kind, nb as neighbor, links from (select *, row_number() over (partition by kind order by links desc, nb) as rn from n) x where rn <= 10")
-def b05(spark, d):
-    seeds = table(spark, d, "notes").where("entity_type = 'people' and length(basename) < 4").select("slug")
-    return reading.topic_candidates(table(spark, d, "edges"), seeds)
-
-
-@query("b05_topic_candidates_all_people", "with s as (select slug from notes where entity_type = 'people'), b as (select src as slug, dst as nb from edges union select dst, src from edges), n as (select split(nb, '/')[1] as kind, nb, count(*) as links from b where slug in (select slug from s) and nb not in (select slug from s) and (nb like 'sources/%' or nb like 'concepts/%') group by nb) select kind, nb as neighbor, links from (select *, row_number() over (partition by kind order by links desc, nb) as rn from n) x where rn <= 10")
+@query("b05_topic_candidates", "with s as (select slug from notes where entity_type = 'people'), b as (select src as slug, dst as nb from edges union select dst, src from edges), n as (select split(nb, '/')[1] as kind, nb, count(*) as links from b where slug in (select slug from s) and nb not in (select slug from s) and (nb like 'sources/%' or nb like 'concepts/%') group by nb) select kind, nb as neighbor, links from (select *, row_number() over (partition by kind order by links desc, nb) as rn from n) x where rn <= 10")
 def b05_all(spark, d):
     return reading.topic_candidates(table(spark, d, "edges"), table(spark, d, "notes").where("entity_type = 'people'").select("slug"))
 
@@ -143,10 +141,6 @@ def a08(spark, d):
 
 def streamed(spark, d, name, run):
     """run(folder of the events as landed JSON, output folder, checkpoint folder)."""
-    import uuid
-
-    from ..sources.storage import shared_dir
-
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{d}/events.parquet")
     entries = events.select(F.col("user_id").cast("string").alias("feed_id"), (F.col("event_id") % 3000).cast("string").alias("id"), F.lit(None).cast("string").alias("guid"), F.col("event_type").alias("title"), F.lit("").alias("link"), F.lit("").alias("summary"), F.col("ts").alias("updated"))
@@ -159,8 +153,6 @@ KEYS = "select distinct cast(user_id as varchar) as feed_id, cast(event_id % 300
 
 @query("t02_stream_new_entries", KEYS)
 def t02(spark, d):
-    from ..streaming import feeds
-
     def run(landed, out, checkpoint):
         new = feeds.stream_new_entries(feeds.stream_feed_entries(spark, landed), days=36500)
         new.select("feed_id", "entry_key").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
@@ -169,12 +161,39 @@ def t02(spark, d):
     return streamed(spark, d, "t02", run)
 
 
+MOST, DAYS = 12, 20
+
+
+def _forgetting() -> str:
+    """Three polls: what each emits, and what the feeds know after it."""
+    out = ["ev as (select cast(user_id as varchar) as feed_id, cast(event_id % 40 as varchar) as k, ts as t, (event_id // 40) % 3 as b from events)"]
+    for b in range(3):
+        out.append(f"f{b} as (select feed_id, k, min(t) as f, max(t) as l from ev where b = {b} group by feed_id, k)")
+        before = f"known{b - 1}" if b else "(select feed_id, k, l from f0 where false)"
+        out.append(f"e{b} as (select feed_id, k, f from f{b} where not exists (select 1 from {before} o where o.feed_id = f{b}.feed_id and o.k = f{b}.k))")
+        out.append(f"now{b} as (select feed_id, k, l from f{b} union all select feed_id, k, l from {before} o where not exists (select 1 from f{b} n where n.feed_id = o.feed_id and n.k = o.k))")
+        out.append(f"young{b} as (select * from (select *, max(l) over (partition by feed_id) as newest from now{b}) x where l >= newest - interval {DAYS} day)")
+        out.append(f"known{b} as (select feed_id, k, l from (select *, row_number() over (partition by feed_id order by l desc, k desc) as rn from young{b}) x where rn <= {MOST})")
+    return "with " + ", ".join(out) + " select feed_id, k as entry_key, f as updated from e0 union all select * from e1 union all select * from e2"
+
+
+@query("t02_stream_forgetting", _forgetting())
+def t02_forgetting(spark, d):
+    """Three polls of feeds that know few keys and forget them soon, so that some come again."""
+    root = f"{shared_dir(spark)}/t02-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    entries = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("feed_id"), (F.col("event_id") % 40).cast("string").alias("id"), none.alias("guid"), none.alias("title"), none.alias("link"), none.alias("summary"), F.col("ts").alias("updated"), F.expr("event_id div 40 % 3").alias("b"))
+    for b in range(3):
+        entries.where(f"b = {b}").drop("b").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/landed")
+        new = feeds.stream_new_entries_capped(feeds.stream_feed_entries(spark, f"{root}/landed"), DAYS, MOST)
+        feeds.start_with_state(spark, new.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start).awaitTermination()
+    return spark.read.schema(feeds.ENTRY).parquet(f"{root}/out")
+
+
 @query("t03_stream_capped", "with k as (select cast(user_id as varchar) as feed_id, cast(event_id % 3000 as varchar) as entry_key, min(ts) as updated from events group by user_id, event_id % 3000) select feed_id, entry_key from (select *, row_number() over (partition by feed_id order by updated desc, entry_key) as rn from k) x where rn <= 5")
 def t03(spark, d):
-    from ..streaming import feeds
-
     def run(landed, out, checkpoint):
-        feeds.stream_capped(feeds.stream_feed_entries(spark, landed), out, out + "-backlog", checkpoint, 5).awaitTermination()
+        feeds.stream_capped(feeds.stream_feed_entries(spark, landed), out, checkpoint, 5).awaitTermination()
         return spark.read.schema("feed_id string, entry_key string").parquet(out).select("feed_id", "entry_key")
 
     return streamed(spark, d, "t03", run)

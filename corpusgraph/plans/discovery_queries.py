@@ -102,19 +102,6 @@ def d01(spark, d):
     return kept.select(F.col("id").alias("title"), F.col("pos").alias("k"))
 
 
-@query("d02_author_phase", "with p as (select * from candidates where k <= 60), a as (select author from p group by author order by count(*) desc, min(k), author limit 3) select id from candidates where author in (select author from a) and k > 60")
-def d02(spark, d):
-    works = candidates(spark, d).select("id", F.array("author").alias("authors"), F.col("k").alias("pos"))
-    return discovery.discovery_authors(works.where("pos <= 60"), works).select("id")
-
-
-@query("d03_citation_phase", "with s as (select id, k from candidates where k % 2 = 0 order by citations desc, id limit 5), c as (select 'p' || (k + i) as id, k, i, row_number() over (partition by k order by i) as rn from s cross join (select unnest(range(1, 31)) as i) r), x as (select distinct id from c where rn <= 10) select id from x where cast(substr(id, 2) as bigint) % 2 = 1")
-def d03(spark, d):
-    own = candidates(spark, d)
-    citing = own.select(F.col("id").alias("cited"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("pos"), "k").select(F.concat(F.lit("p"), (F.col("k") + F.col("pos")).cast("string")).alias("id"), "cited", "pos")
-    return discovery.discovery_citations(own.where("k % 2 = 0"), citing)
-
-
 def phase1(spark, d):
     """The records that the keyword phase (d01) finds."""
     own = candidates(spark, d)
@@ -126,13 +113,13 @@ def phase1(spark, d):
 PHASE1 = "c1 as (select * from (select *, row_number() over (partition by source order by k) as rn from candidates) x where rn <= 50), o1 as (select *, row_number() over (partition by title order by k) as r2 from c1), p as (select * from o1 where r2 = 1 and title not in (select title from candidates where k % 13 = 0))"
 
 
-@query("d02_author_phase_after_keyword", f"with {PHASE1}, a as (select author from p group by author order by count(*) desc, min(k), author limit 3) select id from candidates where author in (select author from a) and id not in (select id from p)")
+@query("d02_author_phase", f"with {PHASE1}, a as (select author from p group by author order by count(*) desc, min(k), author limit 3) select id from candidates where author in (select author from a) and id not in (select id from p)")
 def d02_after(spark, d):
     works = candidates(spark, d).select("id", F.array("author").alias("authors"))
     return discovery.discovery_authors(phase1(spark, d).select("id", F.array("author").alias("authors"), F.col("k").alias("pos")), works).select("id")
 
 
-@query("d03_citation_phase_after_keyword", f"with {PHASE1}, s as (select id, k from p order by citations desc, id limit 5), c as (select 'p' || (k + i) as id, k, i, row_number() over (partition by k order by i) as rn from s cross join (select unnest(range(1, 31)) as i) r), x as (select distinct id from c where rn <= 10) select id from x where id not in (select id from p)")
+@query("d03_citation_phase", f"with {PHASE1}, s as (select id, k from p order by citations desc, id limit 5), c as (select 'p' || (k + i) as id, k, i, row_number() over (partition by k order by i) as rn from s cross join (select unnest(range(1, 31)) as i) r), x as (select distinct id from c where rn <= 10) select id from x where id not in (select id from p)")
 def d03_after(spark, d):
     citing = candidates(spark, d).select(F.col("id").alias("cited"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("pos"), "k").select(F.concat(F.lit("p"), (F.col("k") + F.col("pos")).cast("string")).alias("id"), "cited", "pos")
     return discovery.discovery_citations(phase1(spark, d), citing)
@@ -198,15 +185,7 @@ def j06(spark, d):
     return discovery.match_existing_sources(cands, sources)
 
 
-@query("j11_resolution_ladder", "select id as work, case when k % 2 = 0 then 'oa' || k when k % 3 = 0 then 'up' || k when k % 7 = 0 then 'https://arxiv.org/pdf/2401.1.pdf' end as pdf_url, case when k % 2 = 0 then 'openalex' when k % 3 = 0 then 'unpaywall' when k % 7 = 0 then 'arxiv' else 'metadata_only' end as via from candidates")
-def j11(spark, d):
-    own = candidates(spark, d)
-    works = own.select(F.col("id").alias("work"), F.expr("'W' || k").alias("openalex"), F.expr("'10.1/' || k").alias("doi"), F.concat("id", F.lit(" t")).alias("title"), F.expr("case when k % 7 = 0 then '2401.1' end").alias("arxiv"))
-    core = own.limit(0).select("title", F.lit("").alias("pdf_url"))
-    return discovery.resolution_ladder(works, own.where("k % 2 = 0").select(F.expr("'W' || k").alias("openalex"), F.expr("'oa' || k").alias("pdf_url")), own.where("k % 3 = 0").select(F.expr("'10.1/' || k").alias("doi"), F.expr("'up' || k").alias("pdf_url")), core)
-
-
-@query("j11_resolution_ladder_with_core", "select id as work, case when k % 2 = 0 then 'oa' || k when k % 3 = 0 then 'up' || k when f is not null then f when k % 7 = 0 then 'https://arxiv.org/pdf/2401.1.pdf' end as pdf_url, case when k % 2 = 0 then 'openalex' when k % 3 = 0 then 'unpaywall' when f is not null then 'core' when k % 7 = 0 then 'arxiv' else 'metadata_only' end as via from candidates left join (select lower(trim(title)) as t, min('co' || k) as f from candidates where k % 5 = 0 group by 1) core on t = lower(trim(title))")
+@query("j11_resolution_ladder", "select id as work, case when k % 2 = 0 then 'oa' || k when k % 3 = 0 then 'up' || k when f is not null then f when k % 7 = 0 then 'https://arxiv.org/pdf/2401.1.pdf' end as pdf_url, case when k % 2 = 0 then 'openalex' when k % 3 = 0 then 'unpaywall' when f is not null then 'core' when k % 7 = 0 then 'arxiv' else 'metadata_only' end as via from candidates left join (select lower(trim(title)) as t, min('co' || k) as f from candidates where k % 5 = 0 group by 1) core on t = lower(trim(title))")
 def j11_core(spark, d):
     own = candidates(spark, d)
     works = own.select(F.col("id").alias("work"), F.expr("'W' || k").alias("openalex"), F.expr("'10.1/' || k").alias("doi"), "title", F.expr("case when k % 7 = 0 then '2401.1' end").alias("arxiv"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators import checks, graph, report
-from .adapters import landed, table
-from .registry import query
+from ..operators import checks, graph
+from .adapters import duckdb_text, landed, table
+from .registry import query, sql_of
 from .schema import edge_type_rows, sql_values
 
 TYPES = "et as (select * from " + sql_values([(r[0], r[3], r[4], r[5]) for r in edge_type_rows()]) + " v(name, reverse, sym, terminal))"
@@ -29,11 +30,6 @@ def l06(spark, d):
     return checks.check_missing_reverse(edges(spark, d)).select("file", "message")
 
 
-@query("findings_summary", f"with {TYPES}, m as ({MISSING}), c as (select * from (values ('L01'), ('L02'), ('L03'), ('L04'), ('L05'), ('L06'), ('L07'), ('L08'), ('L09'), ('L10'), ('L11'), ('L12'), ('L13'), ('L14'), ('L16'), ('L17')) v(check_id)), n as (select count(*) as k from m) select check_id, case when check_id = 'L06' then k else 0 end as n, case when check_id = 'L06' then k else 0 end as errors, cast(0 as bigint) as warnings, case when check_id = 'L06' then k else 0 end as fixable from c, n")
-def summary(spark, d):
-    return report.findings_summary(checks.run_checks({"edges": edges(spark, d)}, ["L06"]), checks.CHECKS)  # L06 alone, the rows its SQL asks for; l20_run_checks runs all
-
-
 @query("l07_symmetric_duplicates", f"""with {TYPES}, s as (select e.*, row_number() over (partition by type, src, dst order by seq) as rn from edges e join et on name = type where sym)
 select src as file, 'duplicate ' || src || ' ' || type || ' ' || dst as message from s where rn > 1 or (src <> dst and exists (select 1 from s r where r.type = s.type and r.src = s.dst and r.dst = s.src))""")
 def l07(spark, d):
@@ -50,12 +46,7 @@ def l17(spark, d):
     return checks.check_dangling_edges(edges(spark, d), notes(spark, d)).select("file", "message")
 
 
-@query("f02_edges_of", "with s as (select slug from notes where entity_type = 'people' and length(basename) < 4) select seq, src, type, dst, confidence, 'out' as direction from edges where src in (select slug from s) union all select seq, src, type, dst, confidence, 'in' from edges where dst in (select slug from s)")
-def f02(spark, d):
-    return graph.edges_of(edges(spark, d), notes(spark, d).where("entity_type = 'people' and length(basename) < 4"))
-
-
-@query("f02_edges_of_all_people", "with s as (select slug from notes where entity_type = 'people') select seq, src, type, dst, confidence, 'out' as direction from edges where src in (select slug from s) union all select seq, src, type, dst, confidence, 'in' from edges where dst in (select slug from s)")
+@query("f02_edges_of", "with s as (select slug from notes where entity_type = 'people') select seq, src, type, dst, confidence, 'out' as direction from edges where src in (select slug from s) union all select seq, src, type, dst, confidence, 'in' from edges where dst in (select slug from s)")
 def f02_all(spark, d):
     return graph.edges_of(edges(spark, d), notes(spark, d).where("entity_type = 'people'"))
 
@@ -112,6 +103,17 @@ def g01(spark, d):
     return graph.add_edges(e.where("seq % 3 <> 0"), e.where("seq % 3 = 0"))
 
 
+G01 = sql_of("g01_add_edges")
+
+
+@query("g01_edge_counts", f"select count(*) filter (where source = 'forward') as added, (select count(*) from lineitem_edges where seq % 3 = 0) - count(*) filter (where source = 'forward') as skipped, count(*) filter (where source = 'reverse') as reverses from ({G01}) g".replace("lineitem_edges", f"({duckdb_text('edges')})"))
+def g01_counts(spark, d):
+    """The counts of g01_add_edges, observed while its result is written."""
+    e, counts = edges(spark, d), Observation()
+    graph.add_edges(e.where("seq % 3 <> 0"), e.where("seq % 3 = 0"), counts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(counts.get[c] for c in ("added", "skipped", "reverses"))], "added long, skipped long, reverses long")
+
+
 @query("g02_dedup_edges", f"with {TYPES}, c as (select *, row_number() over (partition by src, type, dst order by seq) as rn from ({CANON} from edges join et on name = type) x) select seq, src, type, dst, confidence from c where rn = 1")
 def g02(spark, d):
     return graph.dedup_edges(edges(spark, d))
@@ -121,12 +123,23 @@ GONE = f"spec as (select distinct src, type, dst from ({CANON} from edges join e
 KEPT = "select x.seq, x.src, x.type, x.dst, x.confidence from (select e.*, case when sym and src > dst then dst else src end as a, case when sym and src > dst then src else dst end as b from edges e join et on name = type) x left join gone g on g.src = x.a and g.type = x.type and g.dst = x.b where g.src is null"
 
 
+MARKED = "marked as (select x.seq, g.named from (select e.*, case when sym and src > dst then dst else src end as a, case when sym and src > dst then src else dst end as b from edges e join et on name = type) x left join roled g on g.src = x.a and g.type = x.type and g.dst = x.b)"
+
+
 @query("g03_remove_edges", f"with {TYPES}, {GONE} {KEPT}")
 def g03(spark, d):
     e = edges(spark, d)
     return graph.remove_edges(e, e.where("type in ('uses_concept', 'related_to') and seq % 7 = 0"))
 
 
+@query("g03_removal_counts", f"with {TYPES}, {GONE}, roled as (select g.*, exists (select 1 from spec where spec.src = g.src and spec.type = g.type and spec.dst = g.dst) as named from gone g), {MARKED} select count(*) as before, count(*) filter (where named) as forward_removed, count(*) filter (where not named) as reverse_removed, count(*) filter (where named is null) as after from marked")
+def g03_counts(spark, d):
+    """The counts of g03_remove_edges, observed while its result is written."""
+    e, counts = edges(spark, d), Observation()
+    graph.remove_edges(e, e.where("type in ('uses_concept', 'related_to') and seq % 7 = 0"), counts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(counts.get[c] for c in ("before", "forward_removed", "reverse_removed", "after"))], "before long, forward_removed long, reverse_removed long, after long")
+
+
 @query("g04_replace_edges", f"""with {TYPES}, spec as (select distinct src, type, dst from edges where type = 'uses_concept' and seq % 70 = 0), gone as (select src, type, dst from spec union select dst, 'used_in', src from spec),
 kept as ({KEPT}), olds as (select seq, src, dst, confidence from (select e.*, row_number() over (partition by src, dst order by seq, confidence nulls first) as rn from edges e where type = 'uses_concept') x where rn = 1),
 new as (select o.seq, s.src, 'extends_concept' as type, s.dst, o.confidence from spec s join olds o on o.src = s.src and o.dst = s.dst)

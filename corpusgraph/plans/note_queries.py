@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import checks, notes, repair, report, verify
 from ..sources import files
 from . import graph_queries  # noqa: F401, its SQL is used here
-from .adapters import table
+from .adapters import landed, table
 from .registry import query, sql_of
 from .schema import ENUM_DEFAULTS, field_rows, sql_values
 
@@ -130,7 +130,7 @@ def corpus(spark, d):
     n = table(spark, d, "notes")
     listed = n.where("entity_type = 'people' and length(basename) <= 3").select(F.col("basename").alias("target"))
     return {
-        "notes": n, "note_fields": fields(spark, d), "links": notes.resolve_links(links(spark, d), n), "edges": table(spark, d, "edges"), "catalog_refs": listed,
+        "notes": n, "note_fields": fields(spark, d), "links": notes.resolve_links(links(spark, d), n), "edges": landed(spark, d, "edges"), "catalog_refs": listed,
         "foundations": table(spark, d, "foundations"), "files": raw_files(spark, d), "sources": sources(spark, d),
     }
 
@@ -149,7 +149,14 @@ COUNTS = " union all ".join(f"select '{c}' as check_id, count(*) as n, count(*)
 
 @query("l20_run_checks", COUNTS)
 def l20(spark, d):
-    return report.findings_summary(checks.run_checks(corpus(spark, d)), checks.CHECKS)
+    return report.findings_summary(checks.run_checks(corpus(spark, d), stored=["edges"]), checks.CHECKS)
+
+
+@query("findings_summary", f"with c as ({COUNTS}) select check_id, n, errors, warnings, fixable, n * 1000000 // (select sum(n) from c) as millionths from c")
+def summary(spark, d):
+    """All checks, with each one's share of the findings."""
+    counts = report.findings_summary(checks.run_checks(corpus(spark, d), stored=["edges"]), checks.CHECKS)
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("check_id", "n", "errors", "warnings", "fixable", F.expr("n * 1000000 div all").alias("millionths"))  # a row for each check, and one
 
 
 @query("p01_extract_fields", """with t as (select path, cast(substr(path, 10) as bigint) as o, o_custkey as c, o_orderpriority as pr from note_texts join orders on o_orderkey = cast(substr(path, 10) as bigint))
@@ -236,10 +243,26 @@ def r01(spark, d):
     return repair.fill_required(n, fields(spark, d), identity)
 
 
-@query("r02_rebuild_arrays", "select path, key, str as items from note_fields where key = 'authors' and kind = 'string'")
+#: Concepts whose number is divisible by 5 have no edges here, only links in their texts; line items are the links.
+HOLLOW = """cut as (select * from edges where not (src like 'concepts/%' and cast(substr(src, 11) as bigint) % 5 = 0) and not (dst like 'concepts/%' and cast(substr(dst, 11) as bigint) % 5 = 0)),
+open as (select path, 'key_sources' as key from notes where entity_type in ('concepts', 'people') union all select path, 'related_concepts' from notes where entity_type = 'concepts'),
+near as (select src as path, 'key_sources' as key, dst as other from cut where type in ('used_in', 'authored') union select dst, 'key_sources', src from cut where type in ('uses_concept', 'authored_by')
+  union select src, 'related_concepts', dst from cut where type = 'related_to' union select dst, 'related_concepts', src from cut where type = 'related_to'),
+graph as (select path, key, string_agg(other, ',' order by other) as items from (select distinct path, key, other from near where other <> path and other in (select path from notes)) x group by path, key),
+body as (select path, 'key_sources' as key, string_agg(other, ',' order by other) as items from (select distinct 'concepts/p' || l_partkey as path, 'sources/o' || l_orderkey as other from lineitem where l_linenumber <> 3) x where other in (select path from notes) group by path)"""
+
+
+@query("r02_rebuild_arrays", f"""with {HOLLOW} select path, key, str as items from note_fields where key = 'authors' and kind = 'string'
+union all select o.path, o.key, coalesce(g.items, b.items, '') from open o left join graph g on g.path = o.path and g.key = o.key left join body b on b.path = o.path and b.key = o.key""")
 def r02(spark, d):
-    n = table(spark, d, "notes")
-    return repair.rebuild_arrays(n, fields(spark, d), table(spark, d, "edges"), notes.resolve_links(links(spark, d), n)).select("path", "key", F.array_join("items", ",").alias("items"))
+    """Sources with one author as text; concepts and people with nulls, blanks and TODO: filled from edges, else from links, else empty."""
+    n, none = table(spark, d, "notes"), F.lit(None)
+    other = lambda key, kind, said, types: n.where(F.col("entity_type").isin(*types)).select("path", F.lit(key).alias("key"), F.lit(kind).alias("kind"), said.cast("string").alias("str"), none.cast("double").alias("num"), none.cast("array<string>").alias("items"))
+    own = fields(spark, d).union(other("key_sources", "null", none, ["concepts"])).union(other("key_sources", "string", F.lit(" "), ["people"])).union(other("related_concepts", "string", F.lit("TODO"), ["concepts"]))
+    hollow = lambda end: F.col(end).startswith("concepts/") & (F.expr(f"try_cast(substr({end}, 11) as bigint)") % 5 == 0)
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    linked = lines.select(F.expr("'concepts/p' || l_partkey").alias("src_path"), F.expr("'sources/o' || l_orderkey").alias("raw_target"), (F.col("l_linenumber") == 3).alias("in_fence"))
+    return repair.rebuild_arrays(n, own, landed(spark, d, "edges").where(~hollow("src") & ~hollow("dst")), notes.resolve_links(linked, n)).select("path", "key", F.array_join("items", ",").alias("items"))
 
 
 @query("r03_drop_legacy_fields", f"with {SRC} select s.path, s.key from note_fields s join src on src.path = s.path where s.key = 'slug' and s.str = s.path")
@@ -272,6 +295,54 @@ def r07(spark, d):
     return repair.apply_field_updates(src_notes(spark, d), f, change)[0].select("path", "key", "kind", "str")
 
 
+OBJECTS = """ob as (select 'sources/o' || o_orderkey as path, k as key, o_orderkey as o from orders cross join (values ('external_ids'), ('ranking')) ks(k) where o_orderkey % 50 <> 0 and not (k = 'ranking' and o_orderkey % 7 = 0)),
+base as (select path, key, 'doi' as name, '10.1/x' || o as text from ob where key = 'external_ids' union all select path, key, 'odd', 'kept' from ob where key = 'external_ids' union all select path, key, 's2', 's' || o from ob where key = 'external_ids' and o % 2 = 0
+  union all select path, key, 'citations', cast(o % 50 as varchar) from ob where key = 'ranking')"""
+#: Updates of objects from line items, some of them refused: op, key, up to two entries, and the kind of value.
+OBJECT_UPDATES = """up as (select 'sources/o' || l_orderkey as path, cast(l_linenumber as bigint) * 10000000000 + l_partkey * 10000 + l_suppkey as turn, case when l_partkey % 5 = 0 then 'set' else 'merge' end as op,
+  case when l_partkey % 2 = 0 then 'external_ids' else 'ranking' end as key, case when l_suppkey % 11 = 0 then 'string' else 'object' end as kind,
+  case when l_partkey % 2 = 1 then 'line' || l_linenumber when l_partkey % 3 = 0 then 's2' when l_partkey % 3 = 1 then 'openalex' else 'junk' end as n1, case when l_suppkey % 6 = 0 then null else 'v' || l_partkey end as t1,
+  case when l_partkey % 2 = 1 then 'score' when l_suppkey % 4 = 0 then 'doi' else 'arxiv' end as n2, case when l_suppkey % 13 = 0 then '' else 'w' || l_suppkey end as t2 from lineitem)"""
+JUDGED = """jd as (select u.*, case when s.path is null then 'unknown note' when op = 'merge' and kind <> 'object' then 'only objects merge' when kind <> 'object' then 'wrong type' end as problem from up u left join src s on s.path = u.path)"""
+
+
+def object_fields(spark, d):
+    """External ids and rankings of source notes as objects."""
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("o"))
+    both = o.select("o", F.explode(F.array(F.lit("external_ids"), F.lit("ranking"))).alias("key")).where("not (key = 'ranking' and o % 7 = 0)")
+    ids = F.expr("map_filter(map('doi', '10.1/x' || o, 'odd', 'kept', 's2', case when o % 2 = 0 then 's' || o end), (k, v) -> v is not null)")
+    entries = F.when(F.col("key") == "external_ids", ids).otherwise(F.expr("map('citations', cast(o % 50 as string))"))
+    return both.select(F.concat(F.lit("sources/o"), "o").alias("path"), "key", F.lit("object").alias("kind"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("array<string>").alias("items"), entries.alias("entries"))
+
+
+def object_updates(spark, d):
+    up = spark.sql(OBJECT_UPDATES[len("up as (") : -1].replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    entries = F.when(F.col("kind") == "object", F.map_from_arrays(F.array("n1", "n2"), F.array("t1", "t2")))
+    return up.select("path", "key", "kind", F.when(F.col("kind") == "string", F.lit("text")).alias("str"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("array<string>").alias("items"), entries.alias("entries"), "turn", "op")
+
+
+@query("r07_object_updates", f"""with {SRC}, {OBJECTS}, {OBJECT_UPDATES}, {JUDGED},
+ls as (select path, key, max(turn) as since from jd where problem is null and op = 'set' group by path, key),
+se as (select distinct j.path, j.key, unnest([n1, n2]) as name, unnest([t1, t2]) as text from jd j join ls on ls.path = j.path and ls.key = j.key and j.turn = since where problem is null and op = 'set'),
+ov as (select j.path, j.key, turn, unnest([n1, n2]) as name, unnest([t1, t2]) as text from jd j left join ls on ls.path = j.path and ls.key = j.key where problem is null and op = 'merge' and (since is null or turn >= since)),
+nw as (select path, key, name, text from (select *, row_number() over (partition by path, key, name order by turn desc, text desc nulls last) as rn from ov where key <> 'external_ids' or (name in ('doi', 'arxiv', 's2', 'url', 'openalex') and coalesce(text, 'x') <> '')) x where rn = 1),
+st as (select path, key, name, text from se union all select b.path, b.key, name, text from base b where not exists (select 1 from ls where ls.path = b.path and ls.key = b.key)),
+tk as (select path, key from ls union select path, key from nw),
+al as (select path, key, name, text from nw where text is not null union all select s.path, s.key, s.name, s.text from st s where not exists (select 1 from nw where nw.path = s.path and nw.key = s.key and nw.name = s.name)),
+cl as (select al.* from al left join tk on tk.path = al.path and tk.key = al.key where al.key <> 'external_ids' or tk.path is null or (name in ('doi', 'arxiv', 's2', 'url', 'openalex') and text <> '')),
+ks as (select path, key from ob union select path, key from tk)
+select ks.path, ks.key, coalesce(string_agg(name || '=' || coalesce(text, 'null'), ',' order by name), '') as entries from ks left join cl on cl.path = ks.path and cl.key = ks.key group by ks.path, ks.key""")
+def r07_objects(spark, d):
+    after = repair.apply_field_updates(src_notes(spark, d), object_fields(spark, d), object_updates(spark, d))[0]
+    flat = F.transform(F.array_sort(F.map_entries("entries")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return after.select("path", "key", F.array_join(flat, ",").alias("entries"))
+
+
+@query("r07_refused_updates", f"with {SRC}, {OBJECT_UPDATES}, {JUDGED} select path, key, turn, op, problem from jd where problem is not null")
+def r07_refused(spark, d):
+    return repair.apply_field_updates(src_notes(spark, d), object_fields(spark, d), object_updates(spark, d))[1].select("path", "key", "turn", "op", "problem")
+
+
 @query("r08_suggest_fixes", f"with {SRC} select 'L11' as check_id, path as file, 'see the message: confidence missing' as advice from src where path not in (select path from note_fields where key = 'confidence')")
 def r08(spark, d):
     return repair.suggest_fixes(checks.check_confidence(src_notes(spark, d), fields(spark, d)))
@@ -293,13 +364,7 @@ def p05(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(text.html_to_text("html")).alias("digest"))
 
 
-@query("p07_assign_slugs", "with t as (select doc_id, trim(substr(text, 1, 40)) as title from documents), s as (select doc_id, regexp_replace(trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g') as slug from t) select doc_id, slug, count(*) over (partition by slug) as collisions from s")
-def p07(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.trim(F.substring("text", 1, 40)).alias("title"))
-    return text.assign_slugs(docs, "title", "note").select("doc_id", "slug", "collisions")
-
-
-@query("p07_assign_slugs_whole_texts", "with s as (select doc_id, regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g') as slug from documents) select doc_id, md5(slug) as digest, count(*) over (partition by slug) as collisions from s")
+@query("p07_assign_slugs", "with s as (select doc_id, regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' +', '-', 'g') as slug from documents) select doc_id, md5(slug) as digest, count(*) over (partition by slug) as collisions from s")
 def p07_whole(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     return text.assign_slugs(docs, "text", "note").select("doc_id", F.md5("slug").alias("digest"), "collisions")

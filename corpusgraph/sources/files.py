@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import file_system, materialize, numbered
 
 EDGE_SCHEMA = "`from` string, type string, `to` string, confidence string"
 KINDS = (("pdf", "pdf"), ("docx", "document"), ("rtf", "document"), ("epub", "book"), ("html", "web"), ("htm", "web"), ("tex", "tex"), ("md", "text"), ("txt", "text"))
@@ -25,11 +25,18 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_edges(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
-    """Edges of JSON lines. lenient drops bad lines, strict fails on them. seq orders lines within and across files; write it once at landing."""
+    """Edges of JSON lines, with seq, their places from 0 by file, and by line in a file, however Spark packs the files.
+
+    lenient drops bad lines and lines without an end or a type, strict fails on bad ones. The edges are sorted and written
+    once for that: landing them is the time to do it.
+    """
     how = {"lenient": "DROPMALFORMED", "strict": "FAILFAST"}[mode]
     read = spark.read.schema(EDGE_SCHEMA).option("mode", how).json(path)
-    rows = read.select(F.monotonically_increasing_id().alias("seq"), F.col("from").alias("src"), "type", F.col("to").alias("dst"), "confidence")
-    return rows.where("src is not null and type is not null and dst is not null") if mode == "lenient" else rows
+    # a block of a file is read by one task from its first line to its last, so the running id orders its lines
+    rows = read.select(F.col("from").alias("src"), "type", F.col("to").alias("dst"), "confidence", F.expr("_metadata.file_path").alias("_file"), F.expr("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    if mode == "lenient":
+        rows = rows.where("src is not null and type is not null and dst is not null")
+    return numbered(rows, ["_file", "_block", "_line"], "seq").select("seq", "src", "type", "dst", "confidence")
 
 
 def scan_discovered(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -47,28 +54,78 @@ def scan_activity(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.try_to_date(part(1)).alias("day"), part(2).alias("skill"), part(3).alias("session"), part(4).alias("details"))
 
 
-def write_edges(edges: DataFrame, path: str) -> str:
-    """Write the whole set in order to a new version folder and point to it; returns the folder. Readers never see half a set."""
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    edges.orderBy("seq").select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.json(version)
-    edges.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    return version
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
+def _last_commit(spark: SparkSession, path: str) -> int:
+    """The number of the newest commit below path, 0 if there is none."""
+    log, fs = file_system(spark, f"{path}/commits")
+    return max((int(s.getPath().getName()) for s in (fs.listStatus(log) if fs.exists(log) else ())), default=0)
+
+
+def write_edges(edges: DataFrame, path: str, after: int | None = None) -> int:
+    """Write the whole set in order to a new version folder and commit it; returns the commit's number.
+
+    A commit is a file with the next number that names the version. It is created only if no file has that number, and none
+    is ever changed, so readers always find a whole set. Of two writers that start from the same commit (after; by
+    default the newest when this is called) the second raises Conflict and leaves the set alone.
+    """
+    spark = edges.sparkSession
+    number = (_last_commit(spark, path) if after is None else after) + 1
+    version = f"v-{uuid.uuid4().hex}"
+    edges.orderBy("seq").select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.json(f"{path}/{version}")
+    commit, fs = file_system(spark, f"{path}/commits/{number:020d}")
+    named, _ = file_system(spark, f"{path}/{version}/commit-name")
+    try:
+        if _last_commit(spark, path) >= number:
+            raise Conflict(f"commit {number} of {path} is there already")
+        out = fs.create(named, True)
+        out.write(bytearray(version, "ascii"))
+        out.close()
+        fs.mkdirs(commit.getParent())
+        _create_new(spark, fs, named, commit)
+    except Conflict:
+        fs.delete(file_system(spark, f"{path}/{version}")[0], True)
+        raise
+    return number
+
+
+def _create_new(spark: SparkSession, fs, named, commit) -> None:
+    """Move a whole small file to a name that must be free: a rename that does not replace, which file systems do at once."""
+    from py4j.protocol import Py4JJavaError
+
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(fs.makeQualified(named), fs.makeQualified(commit), options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise Conflict(f"{commit.toString()} is there already") from e
+        raise
 
 
 def read_current_edges(spark: SparkSession, path: str) -> DataFrame:
-    return scan_edges(spark, spark.read.text(f"{path}/current").first()["value"], "strict")
+    """The edges of the newest commit, in their order."""
+    version = spark.read.text(f"{path}/commits/{_last_commit(spark, path):020d}").first()["value"]
+    return scan_edges(spark, f"{path}/{version}/part-*.json", "strict")
 
 
 def write_discovered(records: DataFrame, root: str) -> int:
-    """Append records (day, item_id, source, id, ...) that are not there yet; an existing one is never overwritten. Returns how many."""
+    """Append records (day, item_id, source, id, ...) that are not there yet; an existing one is never overwritten. Returns how many.
+
+    Only the days and items of the new records are read of what is there: their folders are found before the join.
+    """
     spark = records.sparkSession
     keys = ["day", "item_id", "source", "id"]
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    new = records.dropDuplicates(keys)
-    if there:
-        new = new.join(spark.read.schema(records.schema).parquet(root).select(*keys), keys, "left_anti")
-    new = materialize(new)
+    where, fs = file_system(spark, root)
+    new = materialize(records.dropDuplicates(keys))
+    if fs.exists(where):
+        there = spark.read.schema(records.schema).parquet(root).select(*keys)
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # a run writes few days
+        new = materialize(new.join(there.where(F.col("day").isin(days)), keys, "left_anti"))
     new.write.partitionBy("day", "item_id").mode("append").parquet(root)
     return new.count()
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.checks import check_dangling_edges, check_missing_reverse
-from ..operators.discovery import cap_new, dedup_keys, run_watchlist
+from ..operators.discovery import dedup_keys, run_turns
 from ..operators.graph import first_per_key
 from ..sources.storage import materialize
 
@@ -41,57 +41,142 @@ def stream_new_entries(entries: DataFrame, days: int = DAYS) -> DataFrame:
     return entries.where("updated is not null").withWatermark("updated", f"{days} days").dropDuplicatesWithinWatermark(["feed_id", "entry_key"])
 
 
-def stream_new_entries_capped(entries: DataFrame, days: int = DAYS, most: int = MOST) -> DataFrame:
-    """feed_id, entry_key, updated: each key once for each feed, with at most so many keys kept in a feed's state, the newest."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = dict(zip(*state.get)) if state.exists else {}
-        for frame in frames:
-            frame = frame[frame["updated"].notna()].sort_values(["updated", "entry_key"]).drop_duplicates("entry_key")
-            new = frame[~frame["entry_key"].isin(list(seen))]
-            seen.update((k, int(t.timestamp())) for k, t in zip(frame["entry_key"], frame["updated"]))
-            if len(new):
-                yield pd.DataFrame({"feed_id": key[0], "entry_key": new["entry_key"].to_numpy(), "updated": new["updated"].to_numpy()})
-        newest = max(seen.values(), default=0)
-        kept = sorted(((t, k) for k, t in seen.items() if t >= newest - days * 86_400), reverse=True)[:most]
-        state.update(([k for _, k in kept], [t for t, _ in kept]))
+STORE_KEY, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY = "feed_id string, entry_key string, updated timestamp"
 
-    slim = entries.select("feed_id", "entry_key", "updated")
-    return slim.groupBy("feed_id").applyInPandasWithState(step, "feed_id string, entry_key string, updated timestamp", "keys array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
+def start_with_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a stream whose state is in RocksDB; a stream keeps the settings that it starts with."""
+    before = spark.conf.get(STORE_KEY)
+    spark.conf.set(STORE_KEY, STORE)
+    try:
+        return start()
+    finally:
+        spark.conf.set(STORE_KEY, before)
 
-def _table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
+def _string(name: str) -> T.StructType:
+    return T.StructType().add(name, T.StringType())
+
+
+def _long(name: str) -> T.StructType:
+    return T.StructType().add(name, T.LongType())
+
+
+def _in_micros(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int]]:
+    for frame in frames:
+        frame = frame[frame["updated"].notna()]
+        yield from zip(frame["entry_key"], frame["updated"].astype("datetime64[us]").astype("int64"))
+
+
+def _rows(feed: str, entries: list[tuple[str, int]]) -> pd.DataFrame:
+    keys, times = zip(*entries) if entries else ((), ())
+    return pd.DataFrame({"feed_id": [feed] * len(keys), "entry_key": list(keys), "updated": pd.to_datetime(list(times), unit="us").astype("datetime64[us]")})
+
+
+class KnownEntries(StatefulProcessor):
+    """A feed's known keys with their newest times, entry by entry in the store; the oldest go beyond days or most."""
+
+    def __init__(self, days: int, most: int):
+        self.days, self.most = days, most
 
-def capped_batch(out: str, backlog: str, max_new: int) -> Callable[[DataFrame, int], None]:
-    """A batch writer: emits at most max_new unseen entries of each feed; the others wait in the backlog for the next poll.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", _string("entry_key"), _long("updated"))
 
-    Output and backlog are written by batch number, so a batch that is run again replaces what it wrote.
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first: dict[str, int] = {}
+        last: dict[str, int] = {}
+        for k, t in _in_micros(rows):
+            first[k], last[k] = min(t, first.get(k, t)), max(t, last.get(k, t))
+        known = {k[0]: v[0] for k, v in self.known.iterator()}  # most keys at most
+        yield _rows(key[0], sorted(((k, t) for k, t in first.items() if k not in known), key=lambda x: (x[1], x[0])))
+        now = known | last
+        oldest = max(now.values(), default=0) - self.days * 86_400_000_000
+        kept = dict(sorted(((k, t) for k, t in now.items() if t >= oldest), key=lambda x: (x[1], x[0]), reverse=True)[: self.most])
+        for k in known.keys() - kept.keys():
+            self.known.removeKey((k,))
+        for k, t in kept.items():
+            if known.get(k) != t:
+                self.known.updateValue((k,), (t,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_new_entries_capped(entries: DataFrame, days: int = DAYS, most: int = MOST) -> DataFrame:
+    """feed_id, entry_key, updated: each key once for each feed, as long as it is known.
+
+    A feed knows at most so many keys, the newest, and none that is more days older than its newest one. A key that comes
+    again after it was forgotten is new again. Start the stream by start_with_state.
+    """
+    slim = entries.select("feed_id", "entry_key", "updated")
+    return slim.groupBy("feed_id").transformWithStateInPandas(KnownEntries(days, most), ENTRY, "append", "none")
+
+
+class WaitingEntries(StatefulProcessor):
+    """A feed's emitted keys, and its waiting ones with their times; a timer brings those back in the next batch."""
+
+    def __init__(self, max_new: int):
+        self.max_new = max_new
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", _string("entry_key"), _long("updated"))
+        self.waiting = handle.getMapState("waiting", _string("entry_key"), _long("updated"))
+        self.served = handle.getValueState("served", _long("at"))
+
+    def _poll(self, feed: str, offered: dict[str, int], now: int) -> pd.DataFrame:
+        held = {k[0]: v[0] for k, v in self.waiting.iterator()}
+        new = held | {k: min(t, held.get(k, t)) for k, t in offered.items() if not self.seen.containsKey((k,))}
+        order = sorted(new, key=lambda k: (-new[k], k))
+        for k in order[: self.max_new]:
+            self.seen.updateValue((k,), (new[k],))
+            if k in held:
+                self.waiting.removeKey((k,))
+        for k in order[self.max_new :]:
+            if held.get(k) != new[k]:
+                self.waiting.updateValue((k,), (new[k],))
+        self.served.update((now,))
+        if len(order) > self.max_new:
+            self.handle.registerTimer(now + 1)
+        return _rows(feed, [(k, new[k]) for k in order[: self.max_new]])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        offered: dict[str, int] = {}
+        for k, t in _in_micros(rows):
+            offered[k] = min(t, offered.get(k, t))
+        yield self._poll(key[0], offered, timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if self.served.exists() and self.served.get()[0] == now:  # this batch has polled the feed already
+            return
+        yield self._poll(key[0], {}, now)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_capped(entries: DataFrame, out: str, checkpoint: str, max_new: int) -> StreamingQuery:
+    """A poll is a micro-batch: at most max_new unseen entries of each feed, the newest; the others wait for the next poll.
+
+    What a feed has emitted and what waits is state of the stream, so a batch reads no earlier output. It is written by
+    batch number below out, so a batch that is run again replaces what it wrote. Entries without a time are left out
+    (stream_rejected).
     """
-    schema = "feed_id string, entry_key string, updated timestamp"
+    spark, slim = entries.sparkSession, entries.select("feed_id", "entry_key", "updated")
+    polled = slim.groupBy("feed_id").transformWithStateInPandas(WaitingEntries(max_new), ENTRY, "append", "processingTime")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        seen = _table(spark, out, schema + ", batch long").where(F.col("batch") < number)
-        waiting = _table(spark, backlog, schema + ", batch long").where(F.col("batch") == number - 1).drop("batch")
-        offered = batch.select("feed_id", "entry_key", "updated").unionByName(waiting)
-        new = offered.groupBy("feed_id", "entry_key").agg(F.min("updated").alias("updated")).join(seen.select("feed_id", "entry_key"), ["feed_id", "entry_key"], "left_anti")
-        new = new.persist()
-        now = cap_new(new, max_new, ["feed_id"], [F.desc("updated"), "entry_key"])
-        rest = new.join(now.select("feed_id", "entry_key"), ["feed_id", "entry_key"], "left_anti")
-        now.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        rest.write.mode("overwrite").parquet(f"{backlog}/batch={number}")
-        new.unpersist()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return write
+    return start_with_state(spark, lambda: polled.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def stream_capped(entries: DataFrame, out: str, backlog: str, checkpoint: str, max_new: int) -> StreamingQuery:
-    """A poll is a micro-batch; see capped_batch."""
-    return entries.writeStream.foreachBatch(capped_batch(out, backlog, max_new)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def discovery_batch(out: str, backlog: str, max_new: int, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
@@ -109,14 +194,15 @@ def discovery_batch(out: str, backlog: str, max_new: int, order: list[str] | Non
         waiting = _table(spark, backlog, schema).where(F.col("batch") == number - 1).drop("batch")
         named = lambda df: df.withColumn("_item", F.coalesce("item", F.lit("")))
         offered = named(keyed.unionByName(waiting)).join(stored.distinct(), "dedup_key", "left_anti")
-        offered = materialize(first_per_key(offered, ["_item", "dedup_key"], ["source", "rank"]))
+        offered = offered.withColumn("_source", F.coalesce("source", F.lit("")))
+        offered = materialize(first_per_key(offered, ["_item", "_source", "dedup_key"], ["rank"]))
         place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col("_item")), F.lit(0)) if order else F.lit(0)
         items = offered.select("_item").distinct().withColumn("_place", F.when(place > 0, place))
         items = items.select(F.col("_item").alias("item"), F.row_number().over(Window.orderBy(F.asc_nulls_last("_place"), "_item")).alias("pos"), F.lit(max_new).alias("max_new"))  # watch items are set by hand
-        slim = offered.select(F.col("_item").alias("item"), F.coalesce("source", F.lit("")).alias("source"), "rank", "dedup_key")
+        slim = offered.select(F.col("_item").alias("item"), F.col("_source").alias("source"), "rank", "dedup_key")
         none = slim.limit(0)
-        new = run_watchlist(items, slim, none, none.select("dedup_key")).withColumnRenamed("item", "_item")
-        now = materialize(offered.join(new, ["_item", "dedup_key"], "left_semi").select(*keyed.columns))
+        new = run_turns(items, slim, none, none.select("dedup_key")).where("not cut").select(F.col("item").alias("_item"), F.col("source").alias("_source"), "dedup_key")
+        now = materialize(offered.join(new, ["_item", "_source", "dedup_key"], "left_semi").select(*keyed.columns))
         now.write.mode("overwrite").parquet(f"{out}/batch={number}")
         offered.join(now.select("dedup_key"), "dedup_key", "left_anti").select(*keyed.columns).write.mode("overwrite").parquet(f"{backlog}/batch={number}")
 

@@ -185,16 +185,16 @@ def test_streams(spark, tmp_path):
     entry = lambda f, k, day: {"feed_id": f, "id": k, "title": "t", "updated": f"2024-01-{day:02d}T00:00:00"}
     land(tmp_path / "in", 1, [entry("f", k, d) for k, d in (("a", 1), ("b", 2), ("c", 3), ("a", 1))] + [{"feed_id": "g", "link": "http://x", "updated": "2024-01-01T00:00:00"}])
     stream = feeds.stream_feed_entries(spark, str(tmp_path / "in"))
-    out, back = str(tmp_path / "out"), str(tmp_path / "back")
-    run = lambda: feeds.stream_capped(stream, out, back, str(tmp_path / "check"), 2).awaitTermination()
+    out = str(tmp_path / "out")
+    run = lambda: feeds.stream_capped(stream, out, str(tmp_path / "check"), 2).awaitTermination()
     shown = lambda: sorted(tuple(r) for r in spark.read.parquet(out).select("batch", "feed_id", "entry_key").collect())
     run()
     assert shown() == [(0, "f", "b"), (0, "f", "c"), (0, "g", "link:http://x")]
     land(tmp_path / "in", 2, [entry("f", "c", 3), entry("f", "d", 4)])
     run()
     assert shown()[2:] == [(0, "g", "link:http://x"), (1, "f", "a"), (1, "f", "d")]
-    query = feeds.stream_new_entries_capped(stream, most=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check2")).option("path", str(tmp_path / "new")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    new = feeds.stream_new_entries_capped(stream, most=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check2")).option("path", str(tmp_path / "new")).trigger(availableNow=True)
+    feeds.start_with_state(spark, new.start).awaitTermination()
     got = sorted((r["feed_id"], r["entry_key"]) for r in spark.read.schema("feed_id string, entry_key string, updated timestamp").parquet(str(tmp_path / "new")).collect())
     assert got == [("f", "a"), ("f", "b"), ("f", "c"), ("f", "d"), ("g", "link:http://x")]
 

@@ -48,3 +48,30 @@ def test_a_key_that_one_source_leaves_goes_to_the_next(spark):
     none = found.limit(0)
     assert sorted(map(tuple, discovery.run_watchlist(items, found, none, none).collect())) == [("a", "k1"), ("a", "k2")]
     assert discovery.run_watchlist(items, none, none, none).collect() == []
+
+
+def test_tangled_turns_take_few_rounds(spark, monkeypatch):
+    """A thousand items that offer records of each other: as the plain loop, in far fewer rounds than items."""
+    draw = random.Random(5)
+    items = [(f"i{k}", k, draw.randint(0, 3), ["a"]) for k in range(1000)]
+    offers = {(f"i{k}", "a", r, f"k{(k * 2 + draw.randrange(9)) % 1500}") for k in range(1000) for r in range(7)}
+    made = spark.createDataFrame
+    args = made(items, "item string, pos int, max_new int, sources array<string>"), made(sorted(offers), CANDIDATES), made([], "item string, dedup_key string"), made([], "dedup_key string")
+    rows, _ = plain(items, sorted(offers), set(), set())
+    want = sorted((c[0], c[3]) for c in rows if c[-1] == "new")
+    rounds = []
+    assert sorted(map(tuple, discovery.run_watchlist(*args, rounds=rounds).collect())) == want
+    monkeypatch.setattr(discovery, "CHUNK_ROWS", 8000)  # many chunks: what they take is settled in rounds
+    assert sorted(map(tuple, discovery.run_watchlist(*args, rounds=rounds).collect())) == want
+    assert rounds[0] <= 6 and rounds[1] <= 20
+
+
+def test_items_that_all_offer_the_same_records(spark, monkeypatch):
+    """The longest chain there is: each item takes what all before it left."""
+    monkeypatch.setattr(discovery, "CHUNK_ROWS", 300)
+    items = [(f"i{k:03}", k, 2, ["a"]) for k in range(60)]
+    offers = [(f"i{k:03}", "a", r, f"k{r}") for k in range(60) for r in range(100)]
+    made, rounds = spark.createDataFrame, []
+    args = made(items, "item string, pos int, max_new int, sources array<string>"), made(offers, CANDIDATES), made([], "item string, dedup_key string"), made([], "dedup_key string")
+    got = sorted(map(tuple, discovery.run_watchlist(*args, rounds=rounds).collect()))
+    assert got == sorted((f"i{r // 2:03}", f"k{r}") for r in range(100)) and rounds[0] <= 7
