@@ -166,7 +166,7 @@ MOST, DAYS = 12, 20
 
 def _forgetting() -> str:
     """Three polls: what each emits, and what the feeds know after it."""
-    out = ["ev as (select cast(user_id as varchar) as feed_id, cast(event_id % 40 as varchar) as k, ts as t, (event_id // 40) % 3 as b from events)"]
+    out = ["ev as (select cast(user_id as varchar) as feed_id, cast(event_id % 40 as varchar) as k, date_trunc('milliseconds', ts) as t, (event_id // 40) % 3 as b from events)"]
     for b in range(3):
         out.append(f"f{b} as (select feed_id, k, min(t) as f, max(t) as l from ev where b = {b} group by feed_id, k)")
         before = f"known{b - 1}" if b else "(select feed_id, k, l from f0 where false)"
@@ -193,7 +193,7 @@ def t02_forgetting(spark, d):
 @query("t03_stream_capped", "with k as (select cast(user_id as varchar) as feed_id, cast(event_id % 3000 as varchar) as entry_key, min(ts) as updated from events group by user_id, event_id % 3000) select feed_id, entry_key from (select *, row_number() over (partition by feed_id order by updated desc, entry_key) as rn from k) x where rn <= 5")
 def t03(spark, d):
     def run(landed, out, checkpoint):
-        feeds.stream_capped(feeds.stream_feed_entries(spark, landed), out, checkpoint, 5).awaitTermination()
+        feeds.stream_capped(feeds.stream_feed_entries(spark, landed), out, out + "-backlog", checkpoint, 5).awaitTermination()
         return spark.read.schema("feed_id string, entry_key string").parquet(out).select("feed_id", "entry_key")
 
     return streamed(spark, d, "t03", run)

@@ -244,7 +244,7 @@ def r01(spark, d):
 
 
 #: Concepts whose number is divisible by 5 have no edges here, only links in their texts; line items are the links.
-HOLLOW = """cut as (select * from edges where not (src like 'concepts/%' and cast(substr(src, 11) as bigint) % 5 = 0) and not (dst like 'concepts/%' and cast(substr(dst, 11) as bigint) % 5 = 0)),
+HOLLOW = """cut as (select * from edges where not (src like 'concepts/%' and try_cast(substr(src, 11) as bigint) % 5 = 0) and not (dst like 'concepts/%' and try_cast(substr(dst, 11) as bigint) % 5 = 0)),
 open as (select path, 'key_sources' as key from notes where entity_type in ('concepts', 'people') union all select path, 'related_concepts' from notes where entity_type = 'concepts'),
 near as (select src as path, 'key_sources' as key, dst as other from cut where type in ('used_in', 'authored') union select dst, 'key_sources', src from cut where type in ('uses_concept', 'authored_by')
   union select src, 'related_concepts', dst from cut where type = 'related_to' union select dst, 'related_concepts', src from cut where type = 'related_to'),

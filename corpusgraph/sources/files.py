@@ -97,7 +97,7 @@ def _create_new(spark: SparkSession, fs, named, commit) -> None:
 
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark._gateway.new_array(rename, 1)
+    options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.NONE
     try:
         context.rename(fs.makeQualified(named), fs.makeQualified(commit), options)
