@@ -159,13 +159,12 @@ def add_edges(edges: DataFrame, batch: DataFrame, counts: Observation | None = N
     if judged["problem"]:
         raise ValueError(f"edge batch refused: {judged['problem']}")
     keys = ["src", "type", "dst"]
-    # The existing keys are summed and shuffled once; both joins below read that one exchange.
-    held = canonical(edges.select(*EDGE)).select(*keys).distinct()
-    forward = canonical(batch.select(*EDGE)).withColumn("turn", F.col("seq") * 2).withColumn("source", F.lit("forward"))
-    new = first_per_key(forward, keys, ["turn"]).join(held, keys, "left_anti")
-    back = reverses(new.select(*EDGE)).withColumn("turn", F.col("seq") * 2 + 1).withColumn("source", F.lit("reverse")).join(held, keys, "left_anti")
-    columns = [*EDGE, "turn", "source"]
-    added = first_per_key(new.select(*columns).unionByName(back.select(*columns)), keys, ["turn"]).select(*EDGE, "source")
+    # Rows of both sides meet once by key: an existing edge comes first (turn -1) and hides what the batch offers.
+    known = canonical(edges.select(*EDGE)).select(*keys, F.lit(-1).cast("long").alias("turn"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("confidence"), F.lit("existing").alias("source"))
+    forward = canonical(batch.select(*EDGE)).select(*keys, (F.col("seq") * 2).alias("turn"), "seq", "confidence", F.lit("forward").alias("source"))
+    new = materialize(first_per_key(known.unionByName(forward), keys, ["turn"]).where("turn >= 0"))
+    back = reverses(new.select(*EDGE)).select(*keys, (F.col("seq") * 2 + 1).alias("turn"), "seq", "confidence", F.lit("reverse").alias("source"))
+    added = first_per_key(known.unionByName(new.select(*known.columns)).unionByName(back), keys, ["turn"]).where("turn >= 0").select(*EDGE, "source")
     if counts is not None:
         n = F.count_if(F.col("source") == "forward")
         added = added.observe(counts, n.alias("added"), (F.lit(judged["n"]) - n).alias("skipped"), F.count_if(F.col("source") == "reverse").alias("reverses"))
