@@ -196,10 +196,10 @@ def fused_edge_checks(edges: DataFrame, needing: DataFrame | None, wanted: set[s
     """
     spark = edges.sparkSession
     asked = edge_types(spark).where("false").select(F.col("name").alias("type")) if needing is None else needing.select("type").distinct()
-    typed = _typed(edges).join(F.broadcast(asked.withColumn("asked", F.lit(True))), "type", "left")
+    told = edges.join(F.broadcast(asked.withColumn("asked", F.lit(True))), "type", "left")
     bad = F.col("asked") & ~F.coalesce(F.col("confidence").isin(*EDGE_CONFIDENCE), F.lit(False))
-    facts = [F.any_value(F.col("reverse")).alias("reverse"), F.any_value(_needs_reverse()).alias("needs"), F.any_value("symmetric").alias("symmetric")]
-    each = typed.groupBy("src", "type", "dst").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), *facts)
+    each = told.groupBy("src", "type", "dst").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))  # numbers alone, so that it is hashed and not sorted
+    each = _typed(each).withColumn("needs", _needs_reverse())
     pair = each.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.collect_list(F.struct("src", "type", "dst", "n", "bad", "reverse", "needs", "symmetric")).alias("all"))
 
     def decide(e: Column) -> Column:
