@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..plans.schema import EDGE_CONFIDENCE, ENTITY_TYPES, LEGACY_KEYS, edge_types, enum_defaults, field_defs
+from ..functions.ids import once
+from ..plans.schema import EDGE_CONFIDENCE, ENTITY_TYPES, ENUM_DEFAULTS, LEGACY_KEYS, edge_type_rows, edge_types, enum_defaults, field_defs, field_rows
 from ..sources.storage import materialize
 from .graph import _needs_reverse, _typed, glob_regex
 
@@ -43,9 +44,9 @@ def check_required(notes: DataFrame, note_fields: DataFrame) -> DataFrame:
     return finding(missing, "L01", "path", F.concat(F.lit("missing "), "key"), derivable)
 
 
-def value_is_valid(of=F.col) -> Column:
-    """Whether a metadata value (kind, str, num) has its declared type (field_type, allowed); of gives each of them."""
-    kind, said, num, field_type, allowed = (of(c) for c in ("kind", "str", "num", "field_type", "allowed"))
+def value_is_valid() -> Column:
+    """Whether a metadata value (kind, str, num) has its declared type (field_type, allowed)."""
+    kind, said, num, field_type, allowed = (F.col(c) for c in ("kind", "str", "num", "field_type", "allowed"))
     text = (kind == "string") & (F.trim(said) != "TODO")
     as_text = F.when(kind == "number", F.when(num == F.floor(num), num.cast("bigint").cast("string")).otherwise(num.cast("string"))).otherwise(said)
     return (
@@ -190,63 +191,80 @@ def check_dangling_edges(edges: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def fused_edge_checks(edges: DataFrame, needing: DataFrame | None, wanted: set[str]) -> DataFrame:
-    """L06, L07 and L08 in one pass: equal edges are summed, then the edges of a pair of ends meet in one row and decide.
+    """L06, L07 and L08 in one pass: each edge says what it asks for and what it answers, and counts by these keys decide.
 
-    A pair has no more different edges than there are types, both ways.
+    The counts are summed in the tasks before the one shuffle, so a hot end or an edge of many copies is a row a task.
     """
     spark = edges.sparkSession
     asked = edge_types(spark).where("false").select(F.col("name").alias("type")) if needing is None else needing.select("type").distinct()
-    told = edges.join(F.broadcast(asked.withColumn("asked", F.lit(True))), "type", "left")
-    bad = F.col("asked") & ~F.coalesce(F.col("confidence").isin(*EDGE_CONFIDENCE), F.lit(False))
-    each = told.groupBy("src", "type", "dst").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))  # numbers alone, so that it is hashed and not sorted
-    each = _typed(each).withColumn("needs", _needs_reverse())
-    pair = each.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.collect_list(F.struct("src", "type", "dst", "n", "bad", "reverse", "needs", "symmetric")).alias("all"))
-
-    def decide(e: Column) -> Column:
-        back = lambda kind: F.exists("all", lambda x: (x["src"] == e["dst"]) & (x["type"] == kind) & (x["dst"] == e["src"]))
-        missing = F.when(F.coalesce(e["needs"], F.lit(False)) & ~back(e["reverse"]), e["n"]).otherwise(F.lit(0).cast("long"))
-        both = (e["src"] != e["dst"]) & back(e["type"])
-        twice = F.when(F.coalesce(e["symmetric"], F.lit(False)), F.when(both, e["n"]).otherwise(e["n"] - 1)).otherwise(F.lit(0).cast("long"))
-        said = {
-            "L06": (missing, F.concat_ws(" ", F.lit("missing"), e["dst"], e["reverse"], e["src"]), True), "L07": (twice, F.concat_ws(" ", F.lit("duplicate"), e["src"], e["type"], e["dst"]), True),
-            "L08": (e["bad"], F.concat_ws(" ", F.lit("needs confidence"), e["src"], e["type"], e["dst"]), False),
-        }
-        return F.array(*(F.struct(F.lit(c).alias("check_id"), e["src"].alias("file"), message.alias("message"), F.lit(fixable).alias("fixable"), n.alias("n")) for c, (n, message, fixable) in said.items() if c in wanted))
-
-    found = pair.select(F.explode(F.flatten(F.transform("all", decide))).alias("x")).select("x.*").where("n > 0").withColumn("copy", F.explode(F.expr("sequence(1, n)")))
-    return found.select("check_id", F.lit("error").alias("severity"), "fixable", "file", F.lit(None).cast("int").alias("line"), "message")
+    told = _typed(edges.select("src", "type", "dst", "confidence").join(F.broadcast(asked.withColumn("asked", F.lit(True))), "type", "left"))
+    answers = sorted({r[3] for r in edge_type_rows() if r[3] and not r[4] and not r[5]})
+    one, zero, whole = F.lit(1).cast("long"), F.lit(0).cast("long"), F.col("src").isNotNull() & F.col("dst").isNotNull()
+    turned = F.col("src") > F.col("dst")
+    tag = lambda check, when, a, kind, b, x, y: F.when(when, F.struct(F.lit(check).alias("check_id"), a.alias("a"), kind.alias("type"), b.alias("b"), x.alias("x"), y.alias("y")))
+    src, kind, dst = F.col("src"), F.col("type"), F.col("dst")
+    tags = {
+        "L06": [tag("L06", _needs_reverse(), dst, F.col("reverse"), src, one, zero), tag("L06", kind.isin(*answers) & whole, src, kind, dst, zero, one)],
+        "L07": [tag("L07", F.col("symmetric"), F.least(src, dst), kind, F.greatest(src, dst), F.when(turned, zero).otherwise(one), F.when(turned, one).otherwise(zero))],
+        "L08": [tag("L08", F.col("asked") & ~F.coalesce(F.col("confidence").isin(*EDGE_CONFIDENCE), F.lit(False)), src, kind, dst, one, zero)],
+    }
+    each = told.select(F.explode(F.array(*(t for c in sorted(wanted) for t in tags[c]))).alias("t")).where("t is not null").select("t.*")
+    counted = each.groupBy("check_id", "a", "type", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    both = (F.col("x") > 0) & (F.col("y") > 0)
+    less = lambda n: F.when(both, F.col(n)).otherwise(F.col(n) - 1)
+    said = lambda file, first, a, b, fixable, n: F.struct(F.col(file).alias("file"), F.concat_ws(" ", F.lit(first), a, "type", b).alias("message"), F.lit(fixable).alias("fixable"), n.alias("n"))
+    of = lambda check, n: F.when(F.col("check_id") == check, n).otherwise(zero)
+    found = F.array(
+        said("b", "missing", "a", "b", True, of("L06", F.when(F.col("y") == 0, F.col("x")).otherwise(zero))), said("a", "duplicate", "a", "b", True, of("L07", less("x"))),
+        said("b", "duplicate", "b", "a", True, of("L07", less("y"))), said("a", "needs confidence", "a", "b", False, of("L08", F.col("x"))),
+    )
+    rows = counted.select("check_id", F.explode(found).alias("f")).select("check_id", "f.*").where("n > 0").withColumn("copy", F.explode(F.expr("sequence(1, n)")))
+    return rows.select("check_id", F.lit("error").alias("severity"), "fixable", "file", F.lit(None).cast("int").alias("line"), "message")
 
 
 def fused_field_checks(notes: DataFrame, note_fields: DataFrame, wanted: set[str]) -> DataFrame:
-    """L01, L02 and L11 in one pass: a note meets all of its fields in one row and the declarations of its type."""
+    """L01, L02 and L11 in one pass: fields meet their note and are judged row by row; a note keeps a bit for each declared
+    key it has, the wrong ones, and the values of older and newer forms of a key."""
     spark = notes.sparkSession
-    defs = field_defs(spark).join(enum_defaults(spark).select("entity_type", "key", F.lit(True).alias("has_default")), ["entity_type", "key"], "left")
-    defs = defs.groupBy("entity_type").agg(F.collect_list(F.struct("key", "field_type", "required", "allowed", "has_default")).alias("defs"))
-    fields = note_fields.where(_present()).groupBy("path").agg(F.collect_list(F.struct("key", "kind", "str", "num", "items")).alias("fields"))
-    whole = notes.select("path", "entity_type").join(fields, "path", "left").join(F.broadcast(defs), "entity_type", "left")
-    none = lambda c, like: F.coalesce(F.col(c), F.slice(like, 1, 0))
-    whole = whole.withColumns({"fields": none("fields", F.array(F.struct(*(F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("kind", "string"), ("str", "string"), ("num", "double"), ("items", "array<string>")))))), "defs": F.coalesce("defs", F.array().cast(defs.schema["defs"].dataType))})
+    derivable = lambda t, k, of: of in ("array", "object", "iso-date") or (of == "string" and k in ("id", "type", "title")) or (t, k) in {d[:2] for d in ENUM_DEFAULTS}
+    bits: dict[str, int] = {}
+    rows, needed = [], {}
+    for t, k, of, required, allowed in field_rows():
+        bits[t] = bits.get(t, 0) + 1
+        rows.append((t, k, of, allowed, 1 << (bits[t] - 1)))
+        if required:
+            needed.setdefault(t, []).append((k, rows[-1][4], derivable(t, k, of)))
+    defs = F.broadcast(spark.createDataFrame(rows, "entity_type string, key string, field_type string, allowed array<string>, bit long"))
+    needs = F.broadcast(spark.createDataFrame(list(needed.items()), "entity_type string, needs array<struct<key:string,bit:bigint,derivable:boolean>>"))
+    olds, news = sorted({o for o, _ in LEGACY_KEYS}), sorted({n for _, n in LEGACY_KEYS})
+    slim = note_fields.where(_present()).select("path", "key", "kind", "str", "num", F.when(F.col("key").isin(*news), F.col("items")).alias("items"))
+    own = notes.groupBy("path", "entity_type").agg(F.count("*").alias("copies"))
+    told = own.join(slim, "path", "left").join(defs, ["entity_type", "key"], "left").withColumn("good", F.coalesce(value_is_valid(), F.lit(False)))
+    declared = F.col("field_type").isNotNull()
+    whole = told.groupBy("path", "entity_type").agg(
+        F.max("copies").alias("copies"), F.coalesce(F.bit_or(F.col("bit")), F.lit(0).cast("long")).alias("has"), F.coalesce(F.bool_or(F.col("key") == "confidence"), F.lit(False)).alias("sure"),
+        F.collect_list(F.when(declared & ~F.col("good"), F.col("key"))).alias("wrong"), F.collect_list(F.when(F.col("key").isin(*olds), F.struct("key", "str"))).alias("olds"),
+        F.collect_list(F.when(F.col("key").isin(*news) & F.col("good"), F.struct("key", F.coalesce("items", F.array("str")).alias("held")))).alias("news"),
+    ).join(needs, "entity_type", "left")
     said = lambda check, severity, fixable, message: F.struct(F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), fixable.alias("fixable"), message.alias("message"))
-    has = lambda key: F.exists("fields", lambda x: x["key"] == key)
+    none = F.slice(F.array(said("L01", "error", F.lit(False), F.lit(""))), 1, 0)
     parts = []
     if "L01" in wanted:
-        derivable = lambda d: d["field_type"].isin("array", "object", "iso-date") | ((d["field_type"] == "string") & d["key"].isin("id", "type", "title")) | F.coalesce(d["has_default"], F.lit(False))
-        parts.append(F.transform(F.filter("defs", lambda d: d["required"] & ~has(d["key"])), lambda d: said("L01", "error", derivable(d), F.concat(F.lit("missing "), d["key"]))))
+        lacking = F.filter("needs", lambda d: F.col("has").bitwiseAND(d["bit"]) == 0)
+        parts.append(F.coalesce(F.transform(lacking, lambda d: said("L01", "error", d["derivable"], F.concat(F.lit("missing "), d["key"]))), none))
     if "L02" in wanted:
-        joined = lambda d, x: F.coalesce(value_is_valid(lambda c: d[c] if c in ("field_type", "allowed") else x[c]), F.lit(False))
-        wrong = F.flatten(F.transform("defs", lambda d: F.filter("fields", lambda x: (x["key"] == d["key"]) & ~joined(d, x))))
-        parts.append(F.transform(wrong, lambda x: said("L02", "error", F.lit(False), F.concat(F.lit("invalid "), x["key"]))))
+        parts.append(F.transform("wrong", lambda k: said("L02", "error", F.lit(False), F.concat(F.lit("invalid "), k))))
+        nothing = F.array(F.lit(None).cast("array<string>"))
         for old, new in LEGACY_KEYS:
-            # valid values of the new key; each old value is a warning for each of them, or one if there is none
-            news = F.flatten(F.transform(F.filter("defs", lambda d: d["key"] == new), lambda d: F.filter("fields", lambda x: (x["key"] == new) & joined(d, x))))
-            removable = F.transform(news, lambda y: F.coalesce(y["items"], F.array(y["str"])))
-            removable = F.when(F.size(removable) > 0, removable).otherwise(F.array(F.lit(None).cast("array<string>")))
-            warn = lambda x: F.transform(removable, lambda held: said("L02", "warning", F.coalesce(F.array_contains(held, x["str"]), F.lit(False)), F.lit(f"legacy {old}")))  # noqa: E731, B023
-            parts.append(F.flatten(F.transform(F.filter("fields", lambda x: x["key"] == old), warn)))
+            # each old value is a warning for each valid value of the new key, or one if there is none
+            held = F.transform(F.filter("news", lambda y: y["key"] == new), lambda y: y["held"])  # noqa: B023
+            warn = lambda x, old=old, held=held: once(held, lambda h: F.transform(F.when(F.size(h) > 0, h).otherwise(nothing), lambda y: said("L02", "warning", F.coalesce(F.array_contains(y, x["str"]), F.lit(False)), F.lit(f"legacy {old}"))))
+            parts.append(F.flatten(F.transform(F.filter("olds", lambda x: x["key"] == old), lambda x: warn(x))))  # noqa: B023
     if "L11" in wanted:
-        lacking = F.col("entity_type").isin("sources", "concepts") & ~has(F.lit("confidence"))
-        parts.append(F.when(lacking, F.array(said("L11", "warning", F.lit(False), F.lit("confidence missing")))).otherwise(F.slice(F.array(said("L11", "warning", F.lit(False), F.lit(""))), 1, 0)))
-    return whole.select("path", F.explode(F.concat(*parts)).alias("x")).select("x.check_id", "x.severity", "x.fixable", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), "x.message")
+        unsure = F.col("entity_type").isin("sources", "concepts") & ~F.col("sure")
+        parts.append(F.when(unsure, F.array(said("L11", "warning", F.lit(False), F.lit("confidence missing")))).otherwise(none))
+    found = whole.select("path", "copies", F.explode(F.concat(*parts)).alias("x")).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    return found.select("x.check_id", "x.severity", "x.fixable", F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), "x.message")
 
 
 def fused_id_checks(sources: DataFrame, wanted: set[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import once
 from ..plans.schema import ENTITY_TYPES
 
 # The shapes of links and numbers, and the mark of a catalog.
@@ -39,18 +40,17 @@ def _with_fences(lines: Column) -> Column:
         return F.when(acc["open"] != "", F.array_append(acc["out"], rest)).otherwise(acc["out"])
 
     fences = F.aggregate(F.filter(lines, lambda x: x["mark"] != ""), start, step, finish)
-    inside = lambda n: F.exists(fences, lambda s: (s["a"] <= n) & (n <= s["b"]))
-    return F.transform(lines, lambda x: F.struct(x["n"].cast("int").alias("n"), x["line"].alias("line"), inside(x["n"]).alias("fenced")))
+    return once(fences, lambda f: F.transform(lines, lambda x: F.struct(x["n"].cast("int").alias("n"), x["line"].alias("line"), F.exists(f, lambda s: (s["a"] <= x["n"]) & (x["n"] <= s["b"])).alias("fenced"))))
 
 
 def note_lines(notes: DataFrame, text_col: str = "content") -> DataFrame:
     """path, line_no, line, fenced."""
-    return notes.select("path", F.inline(_with_fences(_lines(F.col(text_col)))).alias("line_no", "line", "fenced"))
+    return notes.select("path", F.inline(once(_lines(F.col(text_col)), _with_fences)).alias("line_no", "line", "fenced"))
 
 
 def mask_code_fences(notes: DataFrame, text_col: str = "content") -> DataFrame:
     """notes with the lines of fenced blocks blanked; the number of lines stays."""
-    kept = F.transform(_with_fences(_lines(F.col(text_col))), lambda x: F.when(x["fenced"], F.lit("")).otherwise(x["line"]))
+    kept = F.transform(once(_lines(F.col(text_col)), _with_fences), lambda x: F.when(x["fenced"], F.lit("")).otherwise(x["line"]))
     return notes.withColumn(text_col, F.array_join(kept, "\n"))
 
 

@@ -47,11 +47,18 @@ def extract_quotes(notes: DataFrame, text_col: str = "content") -> DataFrame:
     A page number of more than 64 bits gives null, a citation that no page answers.
     """
     lines = F.transform(F.split(text_col, "\n"), lambda s, i: F.struct((i + 1).alias("n"), s.alias("line")))
-    dashes = F.transform(F.filter(lines, lambda x: F.trim(x["line"]) == "---"), lambda x: x["n"])
-    head = F.when(F.col(text_col).startswith("---") & (F.size(dashes) > 1), F.element_at(dashes, 2)).otherwise(F.lit(0))
-    fences = F.transform(F.filter(lines, lambda x: x["line"].rlike(r"^\s*(```|~~~)") & (x["n"] > head)), lambda x: x["n"])
-    inside = lambda x: F.size(F.filter(fences, lambda f: f <= x["n"])) % 2 == 1
-    some = notes.where(F.col(text_col).rlike(CITATION)).select(F.col("path").alias("note"), F.explode(F.filter(lines, lambda x: x["line"].rlike(CITATION) & (x["n"] > head) & ~inside(x))).alias("x"))
+
+    def head(ls: Column) -> Column:
+        dashes = F.transform(F.filter(ls, lambda x: F.trim(x["line"]) == "---"), lambda x: x["n"])
+        return F.when(F.col(text_col).startswith("---"), F.coalesce(F.try_element_at(dashes, F.lit(2)), F.lit(0))).otherwise(F.lit(0))
+
+    def fences(ls: Column, h: Column) -> Column:
+        return F.transform(F.filter(ls, lambda x: x["line"].rlike(r"^\s*(```|~~~)") & (x["n"] > h)), lambda x: x["n"])
+
+    # what the lines have in common is found once a note; the fences before a line are looked at for cited lines alone
+    cited = lambda ls, h, f: F.filter(ls, lambda x: x["line"].rlike(CITATION) & (x["n"] > h) & (F.size(F.filter(f, lambda at: at <= x["n"])) % 2 == 0))
+    found = ids.once(lines, lambda ls: ids.once(head(ls), lambda h: ids.once(fences(ls, h), lambda f: cited(ls, h, f))))
+    some = notes.where(F.col(text_col).rlike(CITATION)).select(F.col("path").alias("note"), F.explode(found).alias("x"))
     a, b = (F.nullif(F.regexp_extract("x.line", CITATION, k), F.lit("")).try_cast("long") for k in (1, 2))
     spans = F.filter(F.transform(F.regexp_extract_all("x.line", F.lit(QUOTED), F.lit(1)), lambda x: F.trim(x)), lambda q: F.size(F.split(q, r"\s+")) >= QUOTE_WORDS)
     last = F.coalesce(b, a)
