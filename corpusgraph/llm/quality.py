@@ -6,8 +6,10 @@ vector of the shapes it shows (capitals, digits, repeats, runs of signs) and two
 scores it; a temperature fitted on rows that the training did not see calibrates the probability.
 
 Null texts count as empty; an empty text has zero vectors and is scored like any other. Labels are used only for
-fitting. Without labelled rows, or with one class only, every score is 0.5. Repeated rows are scored one by one. Columns
-beside the id and the text are not read.
+fitting. Without labelled rows, or with one class only, every score is 0.5. Repeated rows are scored one by one, and equal
+texts have equal scores. A null id is scored too; the query's held_out is null for it, as its remainder is, and such a
+row is never learnt from. Texts are read whole, SLICE words at a time. An empty table gives an empty result. Columns
+beside the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

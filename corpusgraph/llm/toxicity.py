@@ -8,7 +8,7 @@ a short list of insults has a weight from the start.
 
 Null texts count as empty; a text without terms, empty ones too, has the score of no finding. Labels are used only for
 fitting. If there are no labelled documents, or only one class, the listed insults alone decide. Repeated rows are
-scored one by one, null ids too. Texts are read whole, in time linear in their length. An empty table gives an empty
+scored one by one, null ids too (the query's held_out is null for them, as their remainder is). Texts are read whole, in time linear in their length. An empty table gives an empty
 result. Columns beside the id and the text are not read, whatever their names.
 
 Terms are beginnings of words of SHORTEST to LONGEST letters; the TERMS that differ most from chance are kept. The
