@@ -5,8 +5,8 @@ one token t for which the encoding of what is before t may stand beside t; so on
 token and the count of every prefix. Units (white space and the word behind it) do not influence each other, so their
 tables are kept and joined. A text's table has one signed byte a code point: by how much the count grows there.
 
-Null texts count as empty: no tokens. Any text is read whole, in time linear in its length but for single pieces without
-a break. A null id stays null, repeated rows are counted one by one, an empty table gives an empty result. Columns beside
+Null texts count as empty: no tokens. Any text is read whole. A null id stays null, repeated rows are counted one by one,
+an empty table gives an empty result. Columns beside
 the id and the text are not read, whatever their names.
 """
 
