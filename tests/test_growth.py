@@ -2,7 +2,8 @@
 
 import duckdb
 
-from corpusgraph.plans import adapters, graph_queries
+from corpusgraph.operators import graph
+from corpusgraph.plans import adapters
 
 
 def plan(df):
@@ -17,3 +18,17 @@ def test_edges_are_a_view_of_line_items(spark, sf_dir):
     con.sql(f"create view lineitem as select * from '{sf_dir}/lineitem.parquet'")
     want = con.sql(f"select seq, src, type, dst, confidence from ({adapters.duckdb_text('edges')}) e").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in edges.select("seq", "src", "type", "dst", "confidence").collect())
+
+
+def test_both_sides_of_a_diff_meet_once(spark):
+    schema = "seq long, src string, type string, dst string, confidence string"
+    a = spark.createDataFrame([(1, "x", "related_to", "y", None), (2, "x", "cites", None, None), (3, "x", "cites", "y", None)], schema)
+    b = spark.createDataFrame([(9, "y", "related_to", "x", "low"), (8, "x", "cites", None, None), (7, "y", "cites", "x", None)], schema)
+    diff = graph.edge_diff(a, b)
+    assert sorted(map(tuple, diff.collect())) == [("added", "y", "cites", "x"), ("removed", "x", "cites", "y")]  # a null end equals itself, as in SQL
+    left = graph.remove_edges(b, a.where("seq = 1"))
+    assert "_row" not in plan(left) and sorted(r["seq"] for r in left.collect()) == [7, 8]
+    kept = graph.remove_edges(b, a.where("seq = 3")).where("seq = 9").first()
+    assert tuple(kept) == (9, "y", "related_to", "x", "low")  # turned back
+    hiding = graph.close_reverse(spark.createDataFrame([(1, "a", "cites", "b", None), (2, "b", "cited_by", "a", None), (3, "a", "cites", "c", None), (4, "a", "related_to", "z", None)], schema))
+    assert sorted(map(repr, map(tuple, hiding.where("seq = 3").collect()))) == ["(3, 'a', 'cites', 'c', None)", "(3, 'c', 'cited_by', 'a', None)"] and hiding.count() == 5
