@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import file_system, materialize, numbered
+from .storage import file_system, materialize
 
 EDGE_SCHEMA = "`from` string, type string, `to` string, confidence string"
 KINDS = (("pdf", "pdf"), ("docx", "document"), ("rtf", "document"), ("epub", "book"), ("html", "web"), ("htm", "web"), ("tex", "tex"), ("md", "text"), ("txt", "text"))
@@ -27,16 +27,20 @@ def scan_notes(spark: SparkSession, root: str) -> DataFrame:
 def scan_edges(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
     """Edges of JSON lines, with seq, their places from 0 by file, and by line in a file, however Spark packs the files.
 
-    lenient drops bad lines and lines without an end or a type, strict fails on bad ones. The edges are sorted and written
-    once for that: landing them is the time to do it.
+    lenient drops bad lines and lines without an end or a type, strict fails on bad ones. The edges are written once for that,
+    as they are read: a line's place is its block's first one, from the counts of the blocks before it, and its place in the block.
     """
     how = {"lenient": "DROPMALFORMED", "strict": "FAILFAST"}[mode]
     read = spark.read.schema(EDGE_SCHEMA).option("mode", how).json(path)
-    # a block of a file is read by one task from its first line to its last, so the running id orders its lines
-    rows = read.select(F.col("from").alias("src"), "type", F.col("to").alias("dst"), "confidence", F.expr("_metadata.file_path").alias("_file"), F.expr("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    rows = read.select(F.col("from").alias("src"), "type", F.col("to").alias("dst"), "confidence", F.expr("_metadata.file_path").alias("_file"), F.expr("_metadata.file_block_start").alias("_block"))
     if mode == "lenient":
         rows = rows.where("src is not null and type is not null and dst is not null")
-    return numbered(rows, ["_file", "_block", "_line"], "seq").select("seq", "src", "type", "dst", "confidence")
+    # a block of a file is read by one task from its first line to its last, so the running id counts its lines without gaps
+    laid = materialize(rows.withColumn("_line", F.monotonically_increasing_id()))
+    blocks = laid.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")  # a row for each block
+    starts = blocks.select("_file", "_block", (before - F.col("_first")).alias("_start"))
+    return laid.join(F.broadcast(starts), ["_file", "_block"]).select((F.col("_line") + F.col("_start")).alias("seq"), "src", "type", "dst", "confidence")
 
 
 def scan_discovered(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -74,7 +78,7 @@ def write_edges(edges: DataFrame, path: str, after: int | None = None) -> int:
     spark = edges.sparkSession
     number = (_last_commit(spark, path) if after is None else after) + 1
     version = f"v-{uuid.uuid4().hex}"
-    edges.orderBy("seq").select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.json(f"{path}/{version}")
+    edges.orderBy("seq").select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.option("compression", "gzip").json(f"{path}/{version}")
     commit, fs = file_system(spark, f"{path}/commits/{number:020d}")
     named, _ = file_system(spark, f"{path}/{version}/commit-name")
     try:
@@ -110,7 +114,7 @@ def _create_new(spark: SparkSession, fs, named, commit) -> None:
 def read_current_edges(spark: SparkSession, path: str) -> DataFrame:
     """The edges of the newest commit, in their order."""
     version = spark.read.text(f"{path}/commits/{_last_commit(spark, path):020d}").first()["value"]
-    return scan_edges(spark, f"{path}/{version}/part-*.json", "strict")
+    return scan_edges(spark, f"{path}/{version}/part-*.json*", "strict")
 
 
 def write_discovered(records: DataFrame, root: str) -> int:

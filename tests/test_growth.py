@@ -2,8 +2,10 @@
 
 import duckdb
 
-from corpusgraph.operators import graph
+from corpusgraph.functions import ids
+from corpusgraph.operators import discovery, graph
 from corpusgraph.plans import adapters
+from corpusgraph.sources import files
 
 
 def plan(df):
@@ -32,3 +34,24 @@ def test_both_sides_of_a_diff_meet_once(spark):
     assert tuple(kept) == (9, "y", "related_to", "x", "low")  # turned back
     hiding = graph.close_reverse(spark.createDataFrame([(1, "a", "cites", "b", None), (2, "b", "cited_by", "a", None), (3, "a", "cites", "c", None), (4, "a", "related_to", "z", None)], schema))
     assert sorted(map(repr, map(tuple, hiding.where("seq = 3").collect()))) == ["(3, 'a', 'cites', 'c', None)", "(3, 'c', 'cited_by', 'a', None)"] and hiding.count() == 5
+
+
+def test_long_arxiv_numbers_are_not_cut(spark):
+    row = lambda n: (None, f"arXiv:2401.{n}v2", "t", ["a"], 2024, None, "s2", str(n))
+    own = spark.createDataFrame([row(130000), row(130001), row(10001)], "doi string, arxiv string, title string, authors array<string>, year int, url string, source string, id string")
+    assert sorted(r["dedup_key"] for r in discovery.dedup_keys(own).collect()) == ["arxiv:2401.10001", "arxiv:2401.130000", "arxiv:2401.130001"]
+
+
+def test_long_arxiv_dois_are_crossed(spark):
+    maps = spark.createDataFrame([({"doi": "10.48550/arXiv.2401.130000v2"},), ({"doi": "10.48550/arXiv.2401.1"},)], "ids map<string,string>")
+    assert [r["ids"] for r in ids.crosswalk_ids(maps).collect()] == [{"doi": "10.48550/arXiv.2401.130000v2", "arxiv": "2401.130000v2"}, {"doi": "10.48550/arXiv.2401.1"}]
+
+
+def test_scanned_edges_are_numbered_without_a_sort(spark, tmp_path):
+    for f in range(2):
+        (tmp_path / f"{f}.json").write_text("\n".join(f'{{"from":"f{f}","type":"cites","to":"{k}"}}' if k % 4 else "broken" for k in range(40)))
+    got = files.scan_edges(spark, str(tmp_path))
+    assert "rangepartitioning" not in plan(got) and "Window" in plan(got)  # blocks are numbered, not lines
+    assert [(r["seq"], r["src"], r["dst"]) for r in got.orderBy("seq").collect()] == list((n, *x) for n, x in enumerate((f"f{f}", str(k)) for f in range(2) for k in range(40) if k % 4))
+    files.write_edges(got, str(tmp_path / "set"))
+    assert all(x.suffix == ".gz" for x in (tmp_path / "set").glob("v-*/part-*")) and files.read_current_edges(spark, str(tmp_path / "set")).count() == 60
