@@ -3,7 +3,7 @@
 import duckdb
 
 from corpusgraph.functions import ids
-from corpusgraph.operators import discovery, graph
+from corpusgraph.operators import discovery, graph, verify
 from corpusgraph.plans import adapters
 from corpusgraph.sources import files
 
@@ -55,3 +55,11 @@ def test_scanned_edges_are_numbered_without_a_sort(spark, tmp_path):
     assert [(r["seq"], r["src"], r["dst"]) for r in got.orderBy("seq").collect()] == list((n, *x) for n, x in enumerate((f"f{f}", str(k)) for f in range(2) for k in range(40) if k % 4))
     files.write_edges(got, str(tmp_path / "set"))
     assert all(x.suffix == ".gz" for x in (tmp_path / "set").glob("v-*/part-*")) and files.read_current_edges(spark, str(tmp_path / "set")).count() == 60
+
+
+def test_drift_is_summed_by_hash(spark):
+    rows = [("sources/a", "raw_paths", None, ["f"]), ("sources/a", "provenance", "partial", None), ("sources/b", "raw_paths", None, ["f", "g"]), ("sources/b", "provenance", "a", None), ("sources/c", "raw_paths", None, ["f"]), ("sources/c", "provenance", "missing", None), ("sources/d", "raw_paths", None, ["f"]), ("sources/e", "provenance", "partial", None), ("sources/f", "raw_paths", None, []), ("notes/a", "raw_paths", None, ["f"]), ("sources/g", "raw_paths", None, ["f"]), ("sources/g", "provenance", "missing", None), ("sources/g", "provenance", "partial", None)]
+    got = verify.raw_drift(spark.createDataFrame(rows, "path string, key string, str string, items array<string>"), spark.createDataFrame([("f",), ("f",)], "path string"))
+    assert "SortAggregate" not in plan(got)
+    want = {"a": "replayable", "b": "drift_detected", "c": "skipped", "d": "skipped", "e": "skipped", "f": "skipped", "g": "replayable"}
+    assert {r["path"][8:]: r["drift"] for r in got.collect()} == want
