@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..plans.schema import NAMESPACES, enum_defaults, field_defs
+from ..sources.storage import materialize
 from .checks import KEBAB, _present, value_is_valid
 from .notes import LINK, note_lines
 
@@ -32,6 +33,12 @@ def fill_required(notes: DataFrame, note_fields: DataFrame, identity: DataFrame)
     return missing.join(identity, "path", "left").select("path", "key", value.alias("new_value")).where("new_value is not null")
 
 
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """path, key and the distinct others in order. Repeats go by hash, in the tasks first, so no sets are kept and moved."""
+    one = rows.select("path", "key", "other").distinct()
+    return one.groupBy("path", "key").agg(F.sort_array(F.collect_list("other")).alias(name))
+
+
 def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """path, key, items: arrays for array fields that hold something else. A scalar is wrapped. Nulls, blanks, TODO and empty
     objects are filled from the edges, else from the body's links (src_path, resolved, in_fence; not for reflections), else they
@@ -40,20 +47,23 @@ def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame, l
     defs = F.broadcast(field_defs(spark).where("field_type = 'array'").select("entity_type", "key"))
     hollow = (F.col("kind") == "object") & (F.coalesce(F.size("entries"), F.lit(0)) <= 0) if "entries" in note_fields.columns else F.lit(False)
     bad = note_fields.where(~F.col("kind").isin("array", "object") | hollow).join(notes.select("path", "slug", "entity_type"), "path").join(defs, ["entity_type", "key"])
+    bad = materialize(bad)  # three passes read these few rows
     blank = F.col("kind").isin("null", "object") | ((F.col("kind") == "string") & F.trim(F.coalesce("str", F.lit(""))).isin("", "TODO"))
     open_ = bad.where(blank).select("path", "slug", "entity_type", "key")
     known = notes.select(F.col("slug").alias("other")).distinct()
     rules = F.broadcast(spark.createDataFrame(list(ARRAY_EDGES), "entity_type string, key string, type string, direction string"))
-    ends = edges.select("type", F.col("src").alias("slug"), F.col("dst").alias("other"), F.lit("out").alias("way")).union(edges.select("type", "dst", "src", F.lit("in")))
+    # an edge comes only from the end, or both, at which some rule asks for its type
+    asked = lambda way: edges.where(F.col("type").isin(*sorted({t for _, _, t, direction in ARRAY_EDGES if direction in (way, "both")})))
+    ends = asked("out").select("type", F.col("src").alias("slug"), F.col("dst").alias("other"), F.lit("out").alias("way")).union(asked("in").select("type", "dst", "src", F.lit("in")))
     near = open_.join(rules, ["entity_type", "key"]).join(ends, ["slug", "type"]).where("(direction = 'both' or direction = way) and other <> slug")
-    filled = near.join(known, "other", "left_semi").groupBy("path", "key").agg(F.sort_array(F.collect_set("other")).alias("graph"))
+    filled = _gathered(near.join(known, "other", "left_semi"), "graph")
     bad = bad.join(filled, ["path", "key"], "left")
     body = F.lit(None).cast("array<string>")
     if links is not None:
         kinds = F.broadcast(spark.createDataFrame(list(ARRAY_LINKS), "key string, wanted string"))
         own = links.where(~F.col("in_fence") & F.col("resolved").isNotNull()).select(F.col("src_path").alias("path"), F.col("resolved").alias("other"))
         linked = open_.where("entity_type <> 'reflections'").join(kinds, "key").join(own, "path").where("other <> slug and other like wanted || '/%'").join(known, "other", "left_semi")
-        bad = bad.join(linked.groupBy("path", "key").agg(F.sort_array(F.collect_set("other")).alias("body")), ["path", "key"], "left")
+        bad = bad.join(_gathered(linked, "body"), ["path", "key"], "left")
         body = F.col("body")
     number = F.when(F.col("num") == F.floor("num"), F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))
     scalar = F.when(~blank, F.when(F.col("kind") == "number", F.array(number)).otherwise(F.array("str")))

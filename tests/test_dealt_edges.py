@@ -12,6 +12,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_arrays_are_gathered_without_sets(spark):
+    rows = spark.createDataFrame([("n", "k", "b"), ("n", "k", "a"), ("n", "k", "b"), ("m", "k", "c")], "path string, key string, other string")
+    got = repair._gathered(rows, "items")
+    assert "collect_set" not in plan(got) and {r["path"]: r["items"] for r in got.collect()} == {"n": ["a", "b"], "m": ["c"]}
+
+
 def test_only_edges_of_named_types_meet_the_keys(spark, monkeypatch):
     e = spark.createDataFrame([(1, "sources/a", "cites", "sources/b", "low"), (2, "sources/b", "cited_by", "sources/a", None), (3, "x", "related_to", "a", None), (4, "x", None, "a", None), (5, "sources/a", "cites", "sources/b", None)], EDGE)
     specs = spark.createDataFrame([("sources/a", "cites", "sources/b", "surveys", None), ("a", "related_to", "x", "same_problem_as", "high"), ("no", "cites", "one", "surveys", None)], "src string, type string, dst string, new_type string, confidence string")
