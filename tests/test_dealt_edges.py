@@ -12,6 +12,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [5, 0])
+def test_few_slugs_go_to_all_tasks(spark, monkeypatch, few):
+    e = spark.createDataFrame([(1, "a", "cites", "b", None), (2, "b", "cites", "b", None), (3, "c", "cites", None, "low")], EDGE)
+    slugs = spark.createDataFrame([("b",), ("b",), (None,)], "slug string")
+    monkeypatch.setattr(graph, "FEW_SLUGS", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = graph.edges_of(e, slugs)
+        assert ("BroadcastHashJoin" in plan(found)) == (few > 0) and ("SortMergeJoin" in plan(found)) == (few == 0)
+        assert sorted((r["seq"], r["direction"]) for r in found.collect()) == [(1, "in"), (2, "in"), (2, "out")]
+        assert sorted(map(tuple, graph.neighbors(e, slugs).collect())) == [("b", "a"), ("b", "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_arrays_are_gathered_without_sets(spark):
     rows = spark.createDataFrame([("n", "k", "b"), ("n", "k", "a"), ("n", "k", "b"), ("m", "k", "c")], "path string, key string, other string")
     got = repair._gathered(rows, "items")
