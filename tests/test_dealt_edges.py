@@ -12,6 +12,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_are_dealt_by_bytes(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(adapters, "PART_BYTES", 8 << 10)
+    few = adapters.landed(spark, sf_dir, "edges").where("type = 'cites'")
+    assert few.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # more bytes, more tasks
+    assert "Arguments: hashpartitioning(l_orderkey" in few._jdf.queryExecution().explainString(few.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 @pytest.mark.parametrize("few", [5, 0])
 def test_few_slugs_go_to_all_tasks(spark, monkeypatch, few):
     e = spark.createDataFrame([(1, "a", "cites", "b", None), (2, "b", "cites", "b", None), (3, "c", "cites", None, "low")], EDGE)
