@@ -4,6 +4,8 @@ import pytest
 
 from corpusgraph.operators import graph, repair
 from corpusgraph.plans import adapters
+from corpusgraph.sources import storage
+from corpusgraph.streaming import findings
 
 EDGE = "seq long, src string, type string, dst string, confidence string"
 
@@ -52,3 +54,17 @@ def test_only_edges_of_named_types_meet_the_keys(spark, monkeypatch):
     monkeypatch.undo()
     offered = graph.add_edges(e.where("type is not null"), spark.createDataFrame([(9, "sources/c", "cited_by", "sources/a", None), (7, "sources/a", "cites", "sources/c", "high"), (8, "sources/b", "cited_by", "sources/a", None)], EDGE))
     assert sorted(map(repr, map(tuple, offered.where("source <> 'existing'").collect()))) == sorted(map(repr, [(7, "sources/c", "cited_by", "sources/a", "high", "reverse"), (7, "sources/a", "cites", "sources/c", "high", "forward")]))  # the reverse of 7 comes before 9
+
+
+def test_a_batch_of_findings_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    change = lambda op, *edge: ("edge", op, *edge, None)
+    held = tmp_path / "scratch"
+    held.mkdir()
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{held}")
+    write = findings.findings_batch(f"file://{tmp_path}/out")
+    for number, rows in enumerate(([change("add", "b", "cites", "a")] * 2, [change("add", "a", "cited_by", "b"), ("note", "add", None, None, None, "a")], [change("remove", "b", "cites", "a")])):
+        write(spark.createDataFrame(rows, findings.CHANGE_SCHEMA), number)
+        assert not list(held.iterdir())  # the tables between the steps of a batch go with it
+    got = {tuple(r) for r in findings.current_findings(spark, f"file://{tmp_path}/out").collect()}
+    # one copy of the first is left, and both are answered; b is no note, and both edges name it
+    assert got == {("L17", "b", "dangling b cites", 1), ("L17", "a", "dangling b cited_by", 1)}
