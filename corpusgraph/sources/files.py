@@ -68,6 +68,18 @@ def _last_commit(spark: SparkSession, path: str) -> int:
     return max((int(s.getPath().getName()) for s in (fs.listStatus(log) if fs.exists(log) else ())), default=0)
 
 
+#: Edges that a task sorts at most when a set is written; they fit its memory, so a sort does not spill as the set grows.
+SORTED_ROWS = 1_000_000
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """edges by seq, in as many ranges as keep each within SORTED_ROWS, or about so."""
+    usual, rows = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.select("seq").count()
+    if rows <= usual * SORTED_ROWS:
+        return edges.orderBy("seq")
+    return edges.repartitionByRange(-(-rows // SORTED_ROWS), "seq").sortWithinPartitions("seq")
+
+
 def write_edges(edges: DataFrame, path: str, after: int | None = None) -> int:
     """Write the whole set in order to a new version folder and commit it; returns the commit's number.
 
@@ -78,7 +90,7 @@ def write_edges(edges: DataFrame, path: str, after: int | None = None) -> int:
     spark = edges.sparkSession
     number = (_last_commit(spark, path) if after is None else after) + 1
     version = f"v-{uuid.uuid4().hex}"
-    edges.orderBy("seq").select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.option("compression", "gzip").json(f"{path}/{version}")
+    _in_order(edges).select(F.col("src").alias("from"), "type", F.col("dst").alias("to"), "confidence").write.option("compression", "gzip").json(f"{path}/{version}")
     commit, fs = file_system(spark, f"{path}/commits/{number:020d}")
     named, _ = file_system(spark, f"{path}/{version}/commit-name")
     try:
