@@ -31,3 +31,8 @@ def test_a_change_is_an_addition_and_a_removal(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [("a", "b"), ("b", "a"), (None, "c"), ("c", None), ("x", "y"), (None, None)]))  # a null end equals none
     assert got.columns == ["src", "dst"] and graph.change_citations(held.limit(0), added.limit(0), removed).count() == 0
+
+
+def test_a_lookup_of_citations_moves_no_lines(spark, sf_dir):
+    text = plan(registry.queries()["f03_citations_of"](spark, sf_dir))
+    assert "l_orderkey" in text and "hashpartitioning(l_orderkey" not in text
