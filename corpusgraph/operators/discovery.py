@@ -86,12 +86,15 @@ def shortlist(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def dedup_keys(candidates: DataFrame) -> DataFrame:
-    """candidates (doi, arxiv, title, authors, year, url, source, id) with dedup_key. An arXiv number counts with all its digits."""
+    """candidates (doi, arxiv, title, authors, year, url, source, id) with dedup_key. An arXiv number counts with all its digits.
+
+    In a URL an old number (archive/7 digits) counts only behind arXiv's prefix, since any host or folder before digits looks like one.
+    """
     some = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     authors = F.lower(F.array_join(F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda a: a != ""), "|"))
     paper = F.concat(F.lit("title:"), F.sha2(F.concat_ws("|", F.lower(F.coalesce(some("title"), F.lit(""))), authors, F.coalesce(F.col("year").cast("string"), F.lit(""))), 256))
-    ax = lambda c: F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arXiv:)?([a-z.-]+/\d{7}|\d{4}\.\d{4,})(?:v\d+)?", 1)), F.lit(""))
-    arxiv = F.coalesce(ax("arxiv"), F.when(F.col("source") == "arxiv", ax("id")), ax("url"))
+    ax = lambda c, behind="": F.nullif(F.lower(F.regexp_extract(F.coalesce(F.col(c), F.lit("")), rf"(?i)(?:arxiv\.org/(?:abs|pdf)/|arXiv:)?({behind}[a-z.-]+/\d{{7}}|\d{{4}}\.\d{{4,}})(?:v\d+)?", 1)), F.lit(""))
+    arxiv = F.coalesce(ax("arxiv"), F.when(F.col("source") == "arxiv", ax("id")), ax("url", r"(?<=arxiv\.org/(?:abs|pdf)/|arxiv:)"))
     known = some("title").isNotNull() & ((authors != "") | F.col("year").isNotNull())
     key = F.coalesce(F.concat(F.lit("doi:"), F.lower(some("doi"))), F.concat(F.lit("arxiv:"), arxiv), F.when(known, paper), F.concat(F.lit("url:"), F.sha2(F.regexp_replace(some("url"), "/$", ""), 256)), F.concat(F.col("source"), F.lit(":"), F.lower(some("id"))), paper)
     return candidates.withColumn("dedup_key", key)

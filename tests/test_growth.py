@@ -1,5 +1,7 @@
 """What a query moves and writes grows with its rows and no faster."""
 
+import hashlib
+
 import duckdb
 
 from corpusgraph.functions import ids
@@ -42,6 +44,14 @@ def test_long_arxiv_numbers_are_not_cut(spark):
     assert sorted(r["dedup_key"] for r in discovery.dedup_keys(own).collect()) == ["arxiv:2401.10001", "arxiv:2401.130000", "arxiv:2401.130001"]
 
 
+def test_urls_that_end_in_seven_digits_are_no_arxiv_numbers(spark):
+    urls = ["https://x.org/1000003/", "https://y.org/p/1000003", "https://arxiv.org/abs/hep-th/9901001v2", "https://arxiv.org/pdf/math.GT/0309136", "https://x.org/2401.12345"]
+    own = spark.createDataFrame([(None, None, "", ["a"], None, u, "s2", "1") for u in urls], "doi string, arxiv string, title string, authors array<string>, year int, url string, source string, id string")
+    got = [r["dedup_key"] for r in discovery.dedup_keys(own).collect()]
+    want = ["url:" + hashlib.sha256(u.encode()).hexdigest() for u in ("https://x.org/1000003", "https://y.org/p/1000003")]
+    assert got == [*want, "arxiv:hep-th/9901001", "arxiv:math.gt/0309136", "arxiv:2401.12345"]
+
+
 def test_long_arxiv_dois_are_crossed(spark):
     maps = spark.createDataFrame([({"doi": "10.48550/arXiv.2401.130000v2"},), ({"doi": "10.48550/arXiv.2401.1"},)], "ids map<string,string>")
     assert [r["ids"] for r in ids.crosswalk_ids(maps).collect()] == [{"doi": "10.48550/arXiv.2401.130000v2", "arxiv": "2401.130000v2"}, {"doi": "10.48550/arXiv.2401.1"}]
