@@ -44,3 +44,32 @@ def test_missing_reverses_are_found_in_one_meeting(spark, planned_whole):
         if kind in BACK and dst is not None and not dst.startswith(("foundations/", "https:")) and (dst, BACK[kind], src) not in there:
             wanted.setdefault((dst, BACK[kind], src), (seq, dst, BACK[kind], src, confidence))
     assert wanted and sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, [*rows, *wanted.values()]))
+
+
+def added_by_loops(held, batch):
+    symmetric = {r[0] for r in graph.edge_type_rows() if r[4]}
+    key = lambda src, kind, dst: (min(src, dst), kind, max(src, dst)) if kind in symmetric else (src, kind, dst)
+    have, offers, seen = {key(*r[1:4]) for r in held if r[1] is not None and r[3] is not None}, [], set()
+    for seq, src, kind, dst, confidence in sorted(batch):
+        k = key(src, kind, dst)
+        if k in have or k in seen:
+            continue
+        seen.add(k)
+        offers.append((seq, 0, *k, confidence, "forward"))
+        if kind in BACK and not dst.startswith(("foundations/", "https:")):
+            offers.append((seq, 1, dst, BACK[kind], src, confidence, "reverse"))
+    out = {}
+    for seq, _, src, kind, dst, confidence, source in sorted(offers, key=lambda o: o[:2]):
+        if (src, kind, dst) not in have:
+            out.setdefault((src, kind, dst), (seq, src, kind, dst, confidence, source))
+    return sorted(map(repr, out.values()))
+
+
+@pytest.mark.parametrize("types", [["cites", "cited_by", "uses_concept", "related_to", "grounded_in"], ["features", "tagged_with", "appears_in", "cites", "cited_by"]])
+def test_added_edges_are_decided_in_one_meeting(spark, planned_whole, types):
+    rng = random.Random(6)
+    ends = [f"n{k}" for k in range(6)] + ["foundations/f", "https://x.org"]
+    held, batch = some_edges(rng, 120, types, [*ends, None], ["low", None]), some_edges(rng, 150, types, ends, ["high", "low", None])
+    made = graph.add_edges(spark.createDataFrame(held, EDGE), spark.createDataFrame(batch, EDGE))
+    assert (plan(made).count("HashAggregate") == 2) == ("features" not in types)  # one sum, in the tasks and where its keys meet
+    assert sorted(map(repr, map(tuple, made.where("source <> 'existing'").collect()))) == added_by_loops(held, batch)
