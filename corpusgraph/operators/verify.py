@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,10 +98,58 @@ def _first_words(words: Column, n: Column) -> Column:
 
 def _ends_with_start(folded: Column, words: Column) -> Column:
     """The numbers of first words of a quote with which a page ends, all of the quote's words but the last one at most."""
-    counts = F.when(F.size(words) > 1, F.expr("sequence(1, size(words) - 1)")).otherwise(F.expr("slice(array(1), 1, 0)"))
+    counts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.expr("slice(array(1), 1, 0)"))
     return F.filter(counts, lambda n: folded.endswith(_first_words(words, n)))
 
 
+#: Quotes that go on at so many pages are sent to all tasks, so that the texts need not move for them; more of them meet the texts by page.
+FEW_OPEN = 100_000
+
+
+def _folded_at(pages: DataFrame, rows: DataFrame, few: bool = False) -> DataFrame:
+    """rows (source_id, page_no and more) with folded, the page's text; pages without words go.
+
+    Only pages that rows name are folded, once each, and a text moves once for all, by page, or not at all if rows are few.
+    """
+    on = ["source_id", "page_no"]
+    sent = F.broadcast if few else lambda df: df
+    asked = pages.join(sent(rows.select(*on).distinct()), on, "left_semi")
+    # the array keeps Spark from folding a text twice, to test it and to show it
+    return asked.select(*on, F.explode(F.array(fold_text("text"))).alias("folded")).where("folded <> ''").join(sent(rows), on)
+
+
+def _next_pages(keys: DataFrame) -> DataFrame:
+    """source_id, page_no, next: the number of the source's next page here, ordered in blocks as in _with_next."""
+    dealt = keys.select("source_id", "page_no").distinct().withColumn("_b", F.floor(F.col("page_no") / BLOCK))
+    led = dealt.withColumn("_in", F.lead("page_no").over(Window.partitionBy("source_id", "_b").orderBy("page_no")))
+    firsts = dealt.groupBy("source_id", "_b").agg(F.min("page_no").alias("_first"))
+    after = firsts.select("source_id", "_b", F.lead("_first").over(Window.partitionBy("source_id").orderBy("_b")).alias("_after"))
+    return led.join(after, ["source_id", "_b"]).select("source_id", "page_no", F.coalesce("_in", "_after").alias("next")).where("next is not null")
+
+
+def _wide_hits(asked: DataFrame, own: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+    """(hits of the quotes whose range is wide, the pages with words of their sources); see verify_quotes."""
+    distant, short = asked.where("far"), asked.where(~F.col("far") & (F.col("hi") - F.col("lo") >= wide))
+    spans = distant.unionByName(short).groupBy("source_id").agg((F.min("lo") - 1).alias("_from"), (F.max("hi") + 1).alias("_to"))
+    pages = _with_next(own.join(spans, "source_id").where("page_no between _from and _to").select("source_id", "page_no", "text"))
+    rest = ["quote_id", "source_id", "lo", "hi", "needle", "words"]
+    none = F.expr("slice(array(1), 1, 0)")
+    # one or two words give the index no inner word: their ranges are joined with the pages that there are
+    met = short.select(*rest).join(pages, "source_id").where("page_no between lo - 1 and hi + 1")
+    hits = [met.select(*rest, "page_no", F.col("folded").contains(F.col("needle")).alias("holds"), _ends_with_start(F.col("folded"), F.col("words")).alias("begun"))]
+    index = distant.withColumn("size", F.least(F.lit(3), F.size("words") - 2)).select(*rest, "size", F.xxhash64(F.array_join(F.slice("words", F.lit(2), F.col("size")), " ")).alias("gram"))
+    worded = pages.join(distant.select("source_id").distinct(), "source_id", "left_semi").withColumn("words", F.split("folded", " "))
+    grams = F.array_distinct(F.concat(*(_grams(F.col("words"), n) for n in (1, 2, 3))))
+    inner = worded.select("source_id", "page_no", "folded", F.inline(grams)).join(index, ["source_id", "size", "gram"]).where("page_no between lo - 1 and hi + 1 and contains(folded, needle)")
+    hits.append(inner.select(*rest, "page_no", F.lit(True).alias("holds"), none.alias("begun")))
+    ends = F.array(F.struct(F.lit("last").alias("side"), F.element_at("words", -1).alias("word")), F.struct(F.lit("next").alias("side"), F.col("opens").alias("word")))
+    borders = worded.select("source_id", "page_no", "next", "folded", F.inline(ends))
+    sides = distant.select(*rest, F.posexplode(F.expr("transform(sequence(1, size(words) - 1), n -> if(n = 1, struct('next' as side, words[1] as word), struct('last' as side, words[n - 1] as word)))")).alias("at", "s")).select(*rest, (F.col("at") + 1).alias("n"), "s.side", "s.word")
+    crossed = borders.join(sides, ["source_id", "side", "word"]).where("page_no between lo - 1 and hi and next is not null").where(F.col("folded").endswith(_first_words(F.col("words"), F.col("n"))))
+    hits.append(crossed.select(*rest, "page_no", F.lit(False).alias("holds"), F.array("n").alias("begun")))
+    return reduce(DataFrame.unionByName, hits), pages
+
+
 def verify_quotes(quotes: DataFrame, source_pages: DataFrame, wide: int = WIDE) -> DataFrame:
     """quotes (quote_id, source_id, lo, hi, quote) with verdict: OK on the cited pages, NEAR with one page more at either side, else FAIL.
 
@@ -115,43 +162,36 @@ def verify_quotes(quotes: DataFrame, source_pages: DataFrame, wide: int = WIDE)
     far = 1 << 60
     number = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("long"), F.lit(-far)), F.lit(far))).alias(c)
     asked = quotes.select("quote_id", "source_id", number("lo"), number("hi"), fold_text("quote").alias("needle")).where("lo <= hi").withColumn("words", F.split("needle", " "))
-    asked = materialize(asked.withColumn("far", (F.col("hi") - F.col("lo") >= wide) & (F.size("words") > 2)))
-    ranged = asked.where(~F.col("far") & (F.col("hi") - F.col("lo") < wide))
-    listed = ranged.select("source_id", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("page_no")).distinct().withColumn("_listed", F.lit(True))
-    spans = asked.where(F.col("hi") - F.col("lo") >= wide).groupBy("source_id").agg((F.min("lo") - 1).alias("_from"), (F.max("hi") + 1).alias("_to"))
+    is_wide = F.col("hi") - F.col("lo") >= wide
+    asked = materialize(asked.withColumn("far", is_wide & (F.size("words") > 2)))
     own = source_pages.select("source_id", F.col("page_no").cast("long").alias("page_no"), "text")
-    own = own.join(listed, ["source_id", "page_no"], "left").join(spans, "source_id", "left").where("_listed or page_no between _from and _to")
-    pages = _with_next(own.select("source_id", "page_no", "text"))
-    rest = ["quote_id", "source_id", "lo", "hi", "needle", "words"]
-    by_number = ranged.select(*rest, F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("page_no")).join(pages, ["source_id", "page_no"])
-    # one or two words give the index no inner word: their ranges are joined with the pages that there are
-    short = asked.where(~F.col("far") & (F.col("hi") - F.col("lo") >= wide)).select(*rest).join(pages, "source_id").where("page_no between lo - 1 and hi + 1")
-    met = by_number.unionByName(short.select(*by_number.columns))
-    met = met.select(*rest, "page_no", "next", F.col("folded").contains(F.col("needle")).alias("holds"), _ends_with_start(F.col("folded"), F.col("words")).alias("begun"))
-    hits = [met.where("holds or size(begun) > 0")]
-    distant = asked.where("far")
-    index = distant.withColumn("size", F.least(F.lit(3), F.size("words") - 2)).select(*rest, "size", F.xxhash64(F.array_join(F.slice("words", F.lit(2), F.col("size")), " ")).alias("gram"))
-    worded = pages.join(distant.select("source_id").distinct(), "source_id", "left_semi").withColumn("words", F.split("folded", " "))
-    grams = F.array_distinct(F.concat(*(_grams(F.col("words"), n) for n in (1, 2, 3))))
-    inner = worded.select("source_id", "page_no", "next", "folded", F.inline(grams)).join(index, ["source_id", "size", "gram"]).where("page_no between lo - 1 and hi + 1 and contains(folded, needle)")
-    hits.append(inner.select(*rest, "page_no", "next", F.lit(True).alias("holds"), F.expr("slice(array(1), 1, 0)").alias("begun")))
-    ends = F.array(F.struct(F.lit("last").alias("side"), F.element_at("words", -1).alias("word")), F.struct(F.lit("next").alias("side"), F.col("opens").alias("word")))
-    borders = worded.select("source_id", "page_no", "next", "folded", F.inline(ends))
-    sides = distant.select(*rest, F.posexplode(F.expr("transform(sequence(1, size(words) - 1), n -> if(n = 1, struct('next' as side, words[1] as word), struct('last' as side, words[n - 1] as word)))")).alias("at", "s")).select(*rest, (F.col("at") + 1).alias("n"), "s.side", "s.word")
-    crossed = borders.join(sides, ["source_id", "side", "word"]).where("page_no between lo - 1 and hi and next is not null").where(F.col("folded").endswith(_first_words(F.col("words"), F.col("n"))))
-    hits.append(crossed.select(*rest, "page_no", "next", F.lit(False).alias("holds"), F.array("n").alias("begun")))
-    hits = materialize(hits[0].unionByName(hits[1]).unionByName(hits[2]))
+    words = lambda use: ids.once(F.split("needle", " "), use)
+    shown = ["quote_id", "source_id", "lo", "hi", "page_no", "holds", "begun", "needle"]
+    listed = asked.where(~is_wide).select("quote_id", "source_id", "lo", "hi", "needle", F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("page_no"))
+    met = _folded_at(own, listed).select("quote_id", "source_id", "lo", "hi", "page_no", F.col("folded").contains(F.col("needle")).alias("holds"), words(lambda w: _ends_with_start(F.col("folded"), w)).alias("begun"), "needle")
+    # all asked pages with words, for their order; the quote itself is needed only where it goes on
+    met = materialize(met.withColumn("needle", F.when(F.size("begun") > 0, F.col("needle"))))
+    hits, keys = met.where("holds or size(begun) > 0"), met.select("source_id", "page_no")
+    if not asked.where(is_wide).isEmpty():
+        some, pages = _wide_hits(asked, own, wide)
+        hits, keys = hits.unionByName(materialize(some.select(*shown))), keys.union(pages.select("source_id", "page_no"))
+    # a page's next one counts if it is in a quote's range, and then it is among the keys
+    nexts = materialize(_next_pages(keys))
+    goes_on = lambda df: df.join(nexts, ["source_id", "page_no"]).where("next <= hi + 1")
     found = [hits.where("holds").select("quote_id", "lo", "hi", F.col("page_no").alias("first"), F.col("page_no").alias("last"))]
     # quotes begun at a page's end: the next page holds the rest, or all of it is the next words of the rest
-    open_ = hits.where("next <= hi + 1").select(*rest, F.col("page_no").alias("first"), F.col("next").alias("page_no"), F.explode("begun").alias("n")).distinct()
-    for _ in count():  # each round eats a word of the quote at least
-        left = F.array_join(F.slice("words", F.col("n") + 1, F.size("words")), " ")
-        step = open_.join(pages, ["source_id", "page_no"]).withColumn("_done", F.col("folded").startswith(left)).withColumn("_more", left.startswith(F.concat("folded", F.lit(" ")))).where("_done or _more")
-        step = materialize(step.select(*rest, "first", "page_no", "next", "_done", "_more", (F.col("n") + F.size(F.split("folded", " "))).alias("n")))
-        found.append(step.where("_done").select("quote_id", "lo", "hi", "first", F.col("page_no").alias("last")))
-        open_ = step.where("_more and not _done and next <= hi + 1").select(*rest, "first", F.col("next").alias("page_no"), "n")
+    rest = ["quote_id", "source_id", "lo", "hi", "needle"]
+    open_ = goes_on(hits.where("size(begun) > 0")).select(*rest, F.col("page_no").alias("first"), F.col("next").alias("page_no"), F.explode("begun").alias("n")).distinct()
+    while True:  # each round eats a word of the quote at least
+        open_ = materialize(open_)
         if open_.isEmpty():
             break
+        left = words(lambda w: F.array_join(F.slice(w, F.col("n") + 1, F.size(w)), " "))
+        step = _folded_at(own, open_, open_.limit(FEW_OPEN + 1).count() <= FEW_OPEN).withColumn("_left", left)
+        step = step.withColumn("_done", F.col("folded").startswith(F.col("_left"))).withColumn("_more", F.col("_left").startswith(F.concat("folded", F.lit(" ")))).where("_done or _more")
+        step = materialize(step.select(*rest, "first", "page_no", "_done", "_more", (F.col("n") + F.size(F.split("folded", " "))).alias("n")))
+        found.append(step.where("_done").select("quote_id", "lo", "hi", "first", F.col("page_no").alias("last")))
+        open_ = goes_on(step.where("_more and not _done")).select(*rest, "first", F.col("next").alias("page_no"), "n")
     whole = reduce(DataFrame.unionByName, found).groupBy("quote_id").agg(F.max((F.col("first") >= F.col("lo")) & (F.col("last") <= F.col("hi"))).alias("ok"))
     return quotes.join(whole, "quote_id", "left").withColumn("verdict", F.when(F.col("ok"), "OK").when(F.col("ok").isNotNull(), "NEAR").otherwise("FAIL")).drop("ok")
 

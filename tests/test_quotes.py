@@ -43,3 +43,12 @@ def test_verdicts_are_those_of_the_joined_pages(spark):
     for wide in (1, 4, 100_000):
         got = {r["quote_id"]: r["verdict"] for r in verify.verify_quotes(made.where("quote_id <> 903") if wide > 4 else made, shown, wide).collect()}
         assert {(k, v, want[k], quotes[k][1:] if k < 900 else k) for k, v in got.items() if v != want[k]} == set() and len(got) >= len(quotes) - 1
+
+
+def test_texts_of_narrow_ranges_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(verify, "materialize", lambda df, own=verify.materialize: written.append(df.columns) or own(df))
+    pages = spark.createDataFrame([("s", 1, "One two"), ("s", 2, " -- "), ("s", 3, "three four"), ("s", 4, "five")], "source_id string, page_no long, text string")
+    quotes = spark.createDataFrame([(1, "s", 1, 3, "two, three"), (2, "s", 1, 1, "two"), (3, "s", 3, 3, "four five"), (4, "s", 1, 1, "four")], "quote_id int, source_id string, lo long, hi long, quote string")
+    assert {r["quote_id"]: r["verdict"] for r in verify.verify_quotes(quotes, pages).collect()} == {1: "OK", 2: "OK", 3: "NEAR", 4: "FAIL"}
+    assert written and all(not {"folded", "text"} & set(columns) for columns in written)
