@@ -9,6 +9,7 @@ from ..functions.text import slug
 from ..plans.schema import NAMESPACES, enum_defaults, field_defs
 from ..sources.storage import materialize
 from .checks import KEBAB, _present, value_is_valid
+from .graph import few_slugs
 from .notes import LINK, note_lines
 
 # Which edges fill which array field: (entity type, key, edge type, direction); and of which kind of note the body's links may fill it.
@@ -33,10 +34,10 @@ def fill_required(notes: DataFrame, note_fields: DataFrame, identity: DataFrame)
     return missing.join(identity, "path", "left").select("path", "key", value.alias("new_value")).where("new_value is not null")
 
 
-def _gathered(rows: DataFrame, name: str) -> DataFrame:
-    """path, key and the distinct others in order. Repeats go by hash, in the tasks first, so no sets are kept and moved."""
-    one = rows.select("path", "key", "other").distinct()
-    return one.groupBy("path", "key").agg(F.sort_array(F.collect_list("other")).alias(name))
+def _gathered(rows: DataFrame, name: str, by: tuple[str, ...] = ("path", "key")) -> DataFrame:
+    """by and the distinct others in order. Repeats go by hash, in the tasks first, so no sets are kept and moved."""
+    one = rows.select(*by, "other").distinct()
+    return one.groupBy(*by).agg(F.sort_array(F.collect_list("other")).alias(name))
 
 
 def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -50,20 +51,24 @@ def rebuild_arrays(notes: DataFrame, note_fields: DataFrame, edges: DataFrame, l
     bad = materialize(bad)  # three passes read these few rows
     blank = F.col("kind").isin("null", "object") | ((F.col("kind") == "string") & F.trim(F.coalesce("str", F.lit(""))).isin("", "TODO"))
     open_ = bad.where(blank).select("path", "slug", "entity_type", "key")
-    known = notes.select(F.col("slug").alias("other")).distinct()
     rules = F.broadcast(spark.createDataFrame(list(ARRAY_EDGES), "entity_type string, key string, type string, direction string"))
-    # an edge comes only from the end, or both, at which some rule asks for its type
-    asked = lambda way: edges.where(F.col("type").isin(*sorted({t for _, _, t, direction in ARRAY_EDGES if direction in (way, "both")})))
-    ends = asked("out").select("type", F.col("src").alias("slug"), F.col("dst").alias("other"), F.lit("out").alias("way")).union(asked("in").select("type", "dst", "src", F.lit("in")))
-    near = open_.join(rules, ["entity_type", "key"]).join(ends, ["slug", "type"]).where("(direction = 'both' or direction = way) and other <> slug")
-    filled = _gathered(near.join(known, "other", "left_semi"), "graph")
-    bad = bad.join(filled, ["path", "key"], "left")
+    # an edge comes only from the end, or both, at which some rule asks for its type; an edge and its answer fill the same field
+    # from one task, and go on as one row to the fields that are open, where they are gathered
+    ways = F.array(*(F.struct(F.col(a).alias("slug"), F.col(b).alias("other"), F.lit(way).alias("way")) for a, b, way in (("src", "dst", "out"), ("dst", "src", "in"))))
+    ends = edges.where(F.col("type").isin(*sorted({r[2] for r in ARRAY_EDGES}))).select("type", F.inline(ways))
+    told = ends.join(rules, "type").where("(direction = 'both' or direction = way) and other <> slug").select("slug", "entity_type", "key", "other")
+    # ends that are no notes are looked up once for each slug
+    away = materialize(told.select(F.col("other").alias("slug")).distinct().join(notes.select("slug"), "slug", "left_anti"))
+    field = ("slug", "entity_type", "key")
+    near = told.join(few_slugs(away).withColumnRenamed("slug", "other"), "other", "left_anti").join(open_.select(*field).distinct(), [*field], "left_semi")
+    filled = _gathered(near, "graph", field)
+    bad = bad.join(filled, [*field], "left")
     body = F.lit(None).cast("array<string>")
     if links is not None:
         kinds = F.broadcast(spark.createDataFrame(list(ARRAY_LINKS), "key string, wanted string"))
         own = links.where(~F.col("in_fence") & F.col("resolved").isNotNull()).select(F.col("src_path").alias("path"), F.col("resolved").alias("other"))
-        linked = open_.where("entity_type <> 'reflections'").join(kinds, "key").join(own, "path").where("other <> slug and other like wanted || '/%'").join(known, "other", "left_semi")
-        bad = bad.join(_gathered(linked, "body"), ["path", "key"], "left")
+        linked = open_.where("entity_type <> 'reflections'").join(kinds, "key").join(own, "path").where("other <> slug and other like wanted || '/%'").join(notes.select(F.col("slug").alias("other")), "other", "left_semi")
+        bad = bad.join(_gathered(linked, "body", field), [*field], "left")
         body = F.col("body")
     number = F.when(F.col("num") == F.floor("num"), F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))
     scalar = F.when(~blank, F.when(F.col("kind") == "number", F.array(number)).otherwise(F.array("str")))

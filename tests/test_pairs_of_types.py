@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corpusgraph.operators import graph
+from corpusgraph.operators import graph, repair
 from corpusgraph.plans import adapters
 
 EDGE = "seq long, src string, type string, dst string, confidence string"
@@ -73,3 +73,12 @@ def test_added_edges_are_decided_in_one_meeting(spark, planned_whole, types):
     made = graph.add_edges(spark.createDataFrame(held, EDGE), spark.createDataFrame(batch, EDGE))
     assert (plan(made).count("HashAggregate") == 2) == ("features" not in types)  # one sum, in the tasks and where its keys meet
     assert sorted(map(repr, map(tuple, made.where("source <> 'existing'").collect()))) == added_by_loops(held, batch)
+
+
+def test_arrays_are_filled_from_one_reading_of_the_edges(spark, sf_dir, planned_whole):
+    n = spark.createDataFrame([(s, s, s[:2], kind) for s, kind in (("c1", "concepts"), ("c2", "concepts"), ("p1", "people"), ("s1", "sources"))], "path string, slug string, basename string, entity_type string")
+    own = spark.createDataFrame([("c1", "key_sources", "null", None, None), ("c1", "related_concepts", "string", "TODO", None), ("p1", "key_sources", "string", " ", None), ("c2", "key_sources", "null", None, None)], "path string, key string, kind string, str string, num double")
+    rows = [("s1", "uses_concept", "c1"), ("c1", "used_in", "s1"), ("c1", "used_in", "away"), ("c2", "related_to", "c1"), ("c1", "related_to", "c1"), ("p1", "authored", "s1"), ("s1", "authored", "p1"), ("c2", None, "s1"), (None, "used_in", "s1")]
+    made = repair.rebuild_arrays(n, own, spark.createDataFrame([(k, *r, None) for k, r in enumerate(rows)], EDGE), spark.createDataFrame([("c2", "s1", False)], "src_path string, resolved string, in_fence boolean").where("resolved = 's1'"))
+    assert "Union" not in plan(made)
+    assert {(r["path"], r["key"]): r["items"] for r in made.collect()} == {("c1", "key_sources"): ["s1"], ("c1", "related_concepts"): ["c2"], ("p1", "key_sources"): ["s1"], ("c2", "key_sources"): []}
