@@ -109,7 +109,8 @@ FEW_OPEN = 100_000
 def _folded_at(pages: DataFrame, rows: DataFrame, few: bool = False) -> DataFrame:
     """rows (source_id, page_no and more) with folded, the page's text; pages without words go.
 
-    Only pages that rows name are folded, once each, and a text moves once for all, by page, or not at all if rows are few.
+    Only pages that rows name are folded, once each. A text moves by page, to be chosen and, folded, to meet the rows; if these
+    are few it does not move.
     """
     on = ["source_id", "page_no"]
     sent = F.broadcast if few else lambda df: df
